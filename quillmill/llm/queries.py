@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .copies import collapse_copies, copy_pairs
+from .leaks import leaked_items
+from .packing import container_fill, pack_documents
 from .pieces import split_oversized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,11 +36,38 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return copy_pairs(table(spark, root, "chunks"))
 
 
+def p7_packed(spark: SparkSession, root: str) -> DataFrame:
+    """Every text of the corpus in its container."""
+    return pack_documents(table(spark, root, "documents"))
+
+
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    """How full the containers are, by their length."""
+    return container_fill(p7_packed(spark, root))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with the evaluation items they hold a passage of."""
+    return leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_items(spark: SparkSession, root: str) -> DataFrame:
+    """Every evaluation item with the number of documents and sources that leak it."""
+    items = table(spark, root, "eval_items").where("item_id IS NOT NULL").select("item_id", "suite").dropDuplicates(["item_id"])
+    sources = table(spark, root, "documents").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("source").alias("source"))
+    hits = p8_found(spark, root).join(sources, "doc_id").groupBy("item_id").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"))
+    return items.join(hits, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("sources", F.lit(0)).alias("sources"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p5_found": p5_found,
     "p5_records": p5_records,
+    "p7_packed": p7_packed,
+    "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
 }
 
 ORACLES: dict[str, str] = {
