@@ -12,6 +12,7 @@ from .copies import collapse_copies, copy_pairs
 from .leaks import leaked_items
 from .packing import container_fill, pack_documents
 from .pieces import split_oversized
+from .secrets import credential_spans, redact_credentials
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,21 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).where("piece_index = 0").select("chunk_id")
 
 
+def p3_spans(spark: SparkSession, root: str) -> DataFrame:
+    """Every live credential with its rule and byte span."""
+    return credential_spans(table(spark, root, "chunks"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """The lines on which a live credential begins."""
+    return p3_spans(spark, root).select("chunk_id", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks that hold credentials, with placeholders in their place."""
+    return redact_credentials(table(spark, root, "chunks"))
+
+
 def p5_records(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk with its record and the record's number of copies."""
     return collapse_copies(table(spark, root, "chunks"))
@@ -62,6 +78,9 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_spans": p3_spans,
+    "p3_redacted": p3_redacted,
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p7_packed": p7_packed,
