@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .copies import collapse_copies, copy_pairs
+from .garbled import garbled_lines, restored_chunks
 from .leaks import leaked_items
 from .packing import container_fill, pack_documents
 from .pieces import split_oversized
@@ -42,6 +43,21 @@ def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
     return redact_credentials(table(spark, root, "chunks"))
 
 
+def p4_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Every garbled line with its mapping and, where it can be restored, the original."""
+    return garbled_lines(table(spark, root, "chunks"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks that hold garbled text."""
+    return p4_lines(spark, root).select("chunk_id").distinct()
+
+
+def p4_restored(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks that hold garbled text, restored as far as possible."""
+    return restored_chunks(table(spark, root, "chunks"))
+
+
 def p5_records(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk with its record and the record's number of copies."""
     return collapse_copies(table(spark, root, "chunks"))
@@ -81,6 +97,9 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_spans": p3_spans,
     "p3_redacted": p3_redacted,
+    "p4_found": p4_found,
+    "p4_lines": p4_lines,
+    "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p7_packed": p7_packed,

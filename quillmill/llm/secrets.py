@@ -224,6 +224,7 @@ def find_credentials(text: str) -> list[Found]:
     found: list[Found] = []
     for a, b in regions:
         found += _search_region(text[a:b], a)
+    found = [f for f in found if f.rule != "private_key_header" or re.search(r"[^xX0\W_]|\A[\W_]*\Z", re.sub(r"\\n|-----END.*", "", text[f.end : f.end + 200], flags=re.S))]
     found.sort(key=lambda f: (f.start, -f.end))
     out: list[Found] = []
     for f in found:
