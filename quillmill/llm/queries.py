@@ -14,6 +14,7 @@ from .leaks import leaked_items
 from .packing import container_fill, pack_documents
 from .pieces import split_oversized
 from .secrets import credential_spans, redact_credentials
+from .syntax import invalid_rates, judged_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +69,21 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return copy_pairs(table(spark, root, "chunks"))
 
 
+def p6_judged(spark: SparkSession, root: str) -> DataFrame:
+    """Every judged file with what speaks against it."""
+    return judged_files(table(spark, root, "files"), table(spark, root, "chunks"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """The files that don't parse."""
+    return p6_judged(spark, root).where("NOT valid").select("file_id")
+
+
+def p6_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Share of files that don't parse per repository and language."""
+    return invalid_rates(table(spark, root, "files"), table(spark, root, "chunks"))
+
+
 def p7_packed(spark: SparkSession, root: str) -> DataFrame:
     """Every text of the corpus in its container."""
     return pack_documents(table(spark, root, "documents"))
@@ -102,6 +118,9 @@ QUERIES: dict[str, Query] = {
     "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_records": p5_records,
+    "p6_found": p6_found,
+    "p6_judged": p6_judged,
+    "p6_rates": p6_rates,
     "p7_packed": p7_packed,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
