@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .abuse import abuse_scores, source_rates
 from .copies import collapse_copies, copy_pairs
 from .garbled import garbled_lines, restored_chunks
 from .leaks import leaked_items
@@ -107,6 +108,21 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
     return items.join(hits, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("sources", F.lit(0)).alias("sources"))
 
 
+def p9_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its score and the spans found."""
+    return abuse_scores(table(spark, root, "documents"), table(spark, root, "content_labels"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The documents with abusive, hateful or sexual language."""
+    return p9_scores(spark, root).where("flagged").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Share of flagged documents per source."""
+    return source_rates(p9_scores(spark, root))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -125,6 +141,9 @@ QUERIES: dict[str, Query] = {
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 ORACLES: dict[str, str] = {
