@@ -12,6 +12,7 @@ from .abuse import abuse_scores, source_rates
 from .copies import collapse_copies, copy_pairs
 from .garbled import garbled_lines, restored_chunks
 from .leaks import leaked_items
+from .origin import made_scores
 from .packing import container_fill, pack_documents
 from .pieces import split_oversized
 from .secrets import credential_spans, redact_credentials
@@ -20,6 +21,16 @@ from .syntax import invalid_rates, judged_files
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every file with the scores of both classifiers."""
+    return made_scores(table(spark, root, "files"), table(spark, root, "chunks"))[0]
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """The files that weren't written by hand."""
+    return p1_scores(spark, root).where("made").select("file_id")
+
+
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Every piece of every oversized chunk."""
     return split_oversized(table(spark, root, "chunks"))
@@ -124,6 +135,8 @@ def p9_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_scores": p1_scores,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
