@@ -241,11 +241,11 @@ def fit(examples: list[Example]) -> Model:
             labels.append(y)
             held.append(out)
     # Conventions as examples of their own, so that small corpora know them too. Each stands beside a plain text.
-    plain = [(e.path, e.text) for e in examples if seed_label(e) == (-1, False)][:40] or [("repo/src/a/b.py", "x = 1\n")]
+    plain = [(e.path, e.text) for e in examples if seed_label(e) == (-1, False)][:160] or [("repo/src/a/b.py", "x = 1\n")]
     k = 0
     for seeds, y in ((MADE_DIRS, 1), (HAND_DIRS, -1)):
         for d in sorted(seeds):
-            for _ in range(3):
+            for _ in range(10):
                 path, text = plain[k % len(plain)]
                 k += 1
                 parts = path.split("/")
