@@ -48,6 +48,13 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("generic_secret", r"(?i)((?:api[_\-]?key|apikey|secret[_\-]?key|secretkey|auth[_\-]?token|authtoken|access[_\-]?token|accesstoken|password|passwd|pwd|credentials?|bearer))(['\"]?\s*[:=]\s*['\"]?)([A-Za-z0-9\-_./+=]{16,})(['\"]?)", "$1$2[SECRET_REDACTED]$4"),
     ("env_secret", r"(?i)(export\s+(?:API_KEY|SECRET_KEY|AUTH_TOKEN|ACCESS_TOKEN|PASSWORD|DATABASE_URL|PRIVATE_KEY)[=])([^\s\n]+)", "$1[SECRET_REDACTED]"),
 )
+#: What a text (in lower case) must hold for a rule to be worth trying. Rules not named are always tried.
+NEEDED = {
+    "aws_access_key": ("akia",), "aws_secret_key": ("secret",), "github_token": ("ghp_",), "github_oauth": ("gho_",), "github_app_token": ("ghu_",), "github_refresh_token": ("ghr_",), "gitlab_token": ("glpat-",), "slack_token": ("xox",), "slack_webhook": ("hooks.slack.com",),
+    "stripe_key": ("sk_live_",), "stripe_test_key": ("sk_test_",), "twilio_api_key": ("sk",), "sendgrid_key": ("sg.",), "mailchimp_key": ("-us",), "google_api_key": ("aiza",), "google_oauth": (".apps.googleusercontent.com",), "firebase_key": ("aaaa",), "heroku_api_key": ("heroku",),
+    "npm_token": ("npm_",), "pypi_token": ("pypi-",), "openai_key": ("sk-",), "private_key_header": ("-----begin",), "jwt_token": ("eyj",), "connection_string": ("://",), "url_auth": ("://",), "url_credential": ("=",), "auth_bearer": ("bearer",), "auth_basic": ("basic",),
+    "x_api_key_header": ("x-api-key",), "generic_secret": ("key", "token", "passw", "pwd", "credential", "bearer"), "env_secret": ("export",),
+}
 #: Values no pass touches: UUIDs, digests, versions, integrity hashes. Fixed values.
 SAFE_VALUE = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32}|v?\d+\.\d+\.\d+(?:-[\w.]+)?(?:\+[\w.]+)?|sha(?:256|384|512)-[A-Za-z0-9+/=]+)$"
 CODE_REFERENCE = re.compile(r"[_A-Za-z][_A-Za-z0-9]*(?:\.[_A-Za-z][_A-Za-z0-9]*)*")
@@ -126,8 +133,11 @@ class Redactor:
     def redact(self, text: str, language: str = "", path: str = "") -> tuple[str, dict[str, int], list[tuple]]:
         counts: dict[str, int] = {}
         spans: list[tuple] = []
-        out = text
+        out, low = text, text.lower()
         for name, pattern, replacement in self.rules:
+            if (needed := NEEDED.get(name)) and not any(k in low for k in needed):
+                continue
+
             def make(m: re.Match, replacement: str = replacement, name: str = name) -> str | None:
                 if name == "generic_secret" and language in PROGRAMMING and not m[4] and m[2].rstrip()[-1:] not in "\"'" and CODE_REFERENCE.fullmatch(m[3]):
                     return None

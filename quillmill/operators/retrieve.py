@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamped_priority, col, symbols_of, words
+from ..session import checkpointed
 
 K1, B = 1.5, 0.75
 MAX_SEEDS, MAX_SUPPORT_FILES, MAX_SUPPORT_CHUNKS = 64, 128, 128
@@ -119,8 +120,10 @@ def plan(chunks: DataFrame, files: DataFrame, edges: DataFrame, task: str) -> Da
     ``files`` has path, is_readme, is_config, tags. Where no chunk speaks of the task, every chunk counts with its file's
     priority. Caps on seeds and support are features of the plan: the highest scores, ties by path.
     """
-    all_seeds = seeds(chunks, task)
-    top = all_seeds.orderBy(F.desc("score"), "path", "start_line", "id").limit(MAX_SEEDS)
+    all_seeds = checkpointed(seeds(chunks, task))
+    # At most MAX_SEEDS rows.
+    best_seeds = all_seeds.orderBy(F.desc("score"), "path", "start_line", "id").limit(MAX_SEEDS).collect()
+    top = chunks.sparkSession.createDataFrame(best_seeds, all_seeds.schema)
     files = files.groupBy("path").agg(F.max("is_readme").alias("is_readme"), F.max("is_config").alias("is_config"), F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"), F.max("priority").alias("file_priority"))
     n = neighbours(top, edges).withColumnRenamed("path", "to")
     near = top.join(n, F.col("path") == F.col("start")).select(F.col("to").alias("path"), (F.col("score") * F.col("decay")).alias("score"), "depth", "reason")

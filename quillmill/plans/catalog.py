@@ -399,13 +399,14 @@ _STEM = "lower(regexp_replace(regexp_replace(regexp_replace({p}, '^.*/', ''), '^
 _ISTEST = "(regexp_matches(lower({p}), '(^|/)tests?(/|$)') OR contains(lower({p}), '_test.') OR contains(lower({p}), '.test.'))"
 
 
-@query(f"""WITH f AS (SELECT DISTINCT path, split_part(path, '/', 1) || '/' || split_part(path, '/', 3) AS area, {_STEM.format(p='path')} AS stem, {_ISTEST.format(p='path')} AS test FROM files)
-SELECT a.path AS source, b.path AS test FROM f a JOIN f b ON a.area = b.area AND NOT a.test AND b.test AND a.stem <> '' AND b.stem <> '' AND (contains(a.stem, b.stem) OR contains(b.stem, a.stem))""")
+@query(f"""WITH f AS (SELECT DISTINCT path, split_part(path, '/', 1) AS repo, regexp_replace({_STEM.format(p='path')}, '^test_', '') AS core, {_ISTEST.format(p='path')} AS test FROM files)
+SELECT a.path AS source, b.path AS test FROM f a JOIN f b ON a.repo = b.repo AND a.core = b.core WHERE NOT a.test AND b.test AND a.core <> ''""")
 def stem_related(spark: SparkSession, root: str) -> DataFrame:
-    """Tests and the sources they are named after, within a repository's area (joined by the area, not all pairs)."""
-    f = table(spark, root, "files").select("path").distinct().select("path", F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(1)), F.split_part("path", F.lit("/"), F.lit(3))).alias("area"), retrieve.path_stem("path").alias("stem"), retrieve.is_test_path("path").alias("is_test"))
-    a, b = f.where("NOT is_test AND stem <> ''"), f.where("is_test AND stem <> ''").select(F.col("path").alias("test"), "area", F.col("stem").alias("stem2"))
-    return a.join(b, "area").where(F.col("stem").contains(F.col("stem2")) | F.col("stem2").contains(F.col("stem"))).select(F.col("path").alias("source"), "test")
+    """Tests and the sources they are named after, within a repository: joined by repository and stem, never all pairs."""
+    core = F.regexp_replace(retrieve.path_stem("path"), "^test_", "")
+    f = table(spark, root, "files").select("path").distinct().select("path", F.split_part("path", F.lit("/"), F.lit(1)).alias("repo"), core.alias("core"), retrieve.is_test_path("path").alias("is_test")).where("core <> ''")
+    tests = f.where("is_test").select(F.col("path").alias("test"), "repo", "core")
+    return f.where("NOT is_test").join(tests, ["repo", "core"]).select(F.col("path").alias("source"), "test")
 
 
 # ---- budgets, accounting ---------------------------------------------------------------------------------------------
@@ -464,19 +465,19 @@ def source_context_tokens(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- index, impact ---------------------------------------------------------------------------------------------------
 
-_CUT = "(SELECT quantile_disc(scanned_at, 0.5) FROM files)"
+_CUT = "(SELECT quantile_disc(epoch_us(scanned_at), 0.5) FROM files)"
 
 
 def _sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The files as scanned up to the median time of all scans, and as of the last scan without the first tenth of them."""
     f = table(spark, root, "files").where("path IS NOT NULL")
-    cut = f.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY scanned_at)").alias("c")).first()["c"]
+    cut = f.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(scanned_at))").alias("c")).first()["c"]
     last = lambda d: d.groupBy("path").agg(F.max_by("content_hash", F.struct("scanned_at", "ingested_at")).alias("content_hash"))
-    return last(f.where(F.col("repo_id") % 11 != 3)), last(f.where(F.col("scanned_at") <= F.lit(cut)))
+    return last(f.where(F.col("repo_id") % 11 != 3)), last(f.where(F.unix_micros("scanned_at") <= F.lit(int(cut or 0))))
 
 
 _SIDES = f"""a AS (SELECT path, max_by(content_hash, struct_pack(s := scanned_at, i := ingested_at)) AS h FROM files WHERE repo_id % 11 <> 3 GROUP BY path),
-b AS (SELECT path, max_by(content_hash, struct_pack(s := scanned_at, i := ingested_at)) AS h FROM files WHERE scanned_at <= {_CUT} GROUP BY path)"""
+b AS (SELECT path, max_by(content_hash, struct_pack(s := scanned_at, i := ingested_at)) AS h FROM files WHERE epoch_us(scanned_at) <= {_CUT} GROUP BY path)"""
 
 
 @query(f"WITH {_SIDES} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'removed' WHEN b.path IS NULL THEN 'added' WHEN a.h IS DISTINCT FROM b.h THEN 'updated' ELSE 'reused' END AS action FROM a FULL JOIN b ON a.path = b.path")
@@ -496,12 +497,13 @@ def removed_paths(spark: SparkSession, root: str) -> DataFrame:
 l AS (SELECT DISTINCT file_path AS path, CASE WHEN chunk_index % 2 = 0 THEN 'old' ELSE 'new' END AS side, start_line AS line FROM chunks), t AS (SELECT * FROM s WHERE EXISTS (SELECT 1 FROM l WHERE l.path = s.path AND l.side = s.side AND l.line BETWEEN s.a AND s.b)),
 k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY path, side, kind, name ORDER BY a DESC, b DESC) = 1), o AS (SELECT * FROM k WHERE side = 'old'), n AS (SELECT * FROM k WHERE side = 'new')
 SELECT coalesce(o.path, n.path) AS path, coalesce(o.kind, n.kind) AS kind, coalesce(o.name, n.name) AS name, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS status,
- o.a AS old_start_line, o.b AS old_end_line, n.a AS new_start_line, n.b AS new_end_line FROM o FULL JOIN n ON o.path = n.path AND o.kind = n.kind AND o.name = n.name""")
+ coalesce(o.a, -1) AS old_start_line, coalesce(o.b, -1) AS old_end_line, coalesce(n.a, -1) AS new_start_line, coalesce(n.b, -1) AS new_end_line FROM o FULL JOIN n ON o.path = n.path AND o.kind = n.kind AND o.name = n.name""")
 def symbol_diff_outer(spark: SparkSession, root: str) -> DataFrame:
     """Symbols of even chunks as the old side against those of odd chunks as the new one."""
     c = table(spark, root, "chunks").select(F.col("id").alias("chunk_id"), F.col("file_path").alias("path"), F.when(F.col("chunk_index") % 2 == 0, "old").otherwise("new").alias("side"), "start_line", "end_line").distinct()
     s = table(spark, root, "symbols").join(c, "chunk_id").select("path", "side", "kind", "name", F.col("start_line").alias("start"), F.col("end_line").alias("end")).distinct()
-    return impact.symbol_changes(s, c.select("path", "side", F.col("start_line").alias("line")).distinct())
+    changes = impact.symbol_changes(s, c.select("path", "side", F.col("start_line").alias("line")).distinct())
+    return changes.fillna(-1, ["old_start_line", "old_end_line", "new_start_line", "new_end_line"])
 
 
 @query("""WITH n(name) AS (SELECT unnest(['importer', 'cached', 'retry', 'snapshot', 'quorum'])) SELECT DISTINCT doc_id AS id, name FROM documents, n WHERE contains(lower(text), name)""")
