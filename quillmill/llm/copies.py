@@ -8,7 +8,8 @@ Method: code points are streamed through one skip-and-fold lookup table (0 = ski
 modulo 31-bit primes plus the folded length; a batch is hashed as one array, and no canonical string is made. A flat record
 gets a second fingerprint, the sum of its mixed field fingerprints, in which the order of the fields has no part. Only
 fingerprints are grouped. Rows that collide are then compared with the record's first row by two pointers that skip ahead
-block by block; a row that differs (a hash collision) is taken out and grouped by its exact folded text.
+block by block; records with a row that differs (a hash collision, or a chain of equal letters and equal fields) are grouped
+again by digests of their exact folded text and fields.
 """
 
 from __future__ import annotations
@@ -228,25 +229,36 @@ def same_record(a: str, b: str) -> bool:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
+    """Keys of the records that hold a row which isn't the same as their first."""
     for batch in batches:
-        ids, keys, text, first = (batch.column(i).to_pylist() for i in range(4))
         out, memo = [], {}
-        for k, t, f in zip(keys, text, first):
+        for k, t, f in zip(*(batch.column(i).to_pylist() for i in range(3))):
             same = memo.get((t, f))
             if same is None:
                 if len(memo) > 2000:
                     memo.clear()
                 same = memo[(t, f)] = same_record(t, f)
-            out.append(k if same else k + hashlib.sha256(exact_key(t)).hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], ["id", "record_key"])
+            if not same:
+                out.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record_key"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import hashlib
+
+    for batch in batches:
+        seq, fields = [], []
+        for text in batch.column(1).to_pylist():
+            seq.append(hashlib.sha256(exact_key(text)).hexdigest())
+            flat = flat_fields(text)
+            fields.append(hashlib.sha256(repr(sorted((exact_key(n), exact_key(v)) for n, v in flat)).encode()).hexdigest() if flat else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.string()), pa.array(fields, pa.string())], ["id", "seq_key", "field_key"])
 
 
-def record_keys(items: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``id, record_key``: one row per id, equal keys for equal records. Texts never enter a shuffle here."""
+def record_keys(items: DataFrame, id_col: str = "id", text_col: str = "content", exact: bool = False) -> DataFrame:
+    """``id, record_key``: equal keys for equal records, by rolling hashes or by digests. Texts never enter a shuffle here."""
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    hashed = rows.mapInArrow(_hashed, "id string, seq_key string, field_key string").dropDuplicates(["id", "seq_key"])
+    hashed = rows.mapInArrow(_exact if exact else _hashed, "id string, seq_key string, field_key string").dropDuplicates(["id", "seq_key"])
     hashed = checkpointed(hashed)
     # Flat records join classes of equal letters through their field sets.
     flat = hashed.where("field_key IS NOT NULL").select("seq_key", "field_key").distinct()
@@ -268,7 +280,7 @@ def collapse_copies(items: DataFrame, id_col: str = "id", text_col: str = "conte
     """``record_id, id, copies``: each id with the least id of its record and the record's number of copies.
 
     Defined results: null ids or texts give no row; an id delivered again with an equal text counts once; an id delivered
-    with different texts belongs to the record of its least key; texts without letters or digits are one record; extra
+    with different texts belongs to one of their records; records chain (A like B by letters, B like C by fields); texts without letters or digits are one record; extra
     columns are ignored; an empty table gives an empty result.
     """
     keys = checkpointed(record_keys(items, id_col, text_col).groupBy("id").agg(F.min("record_key").alias("record_key")))
@@ -278,9 +290,12 @@ def collapse_copies(items: DataFrame, id_col: str = "id", text_col: str = "conte
     member_text = members.join(texts, "id")
     firsts = texts.join(classes.select(F.col("first_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     pairs = member_text.join(firsts.select(F.col("id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
-    checked = pairs.select("id", "record_key", "text", "first_text").mapInArrow(_verified, "id string, record_key string")
-    checked = checked.groupBy("id").agg(F.min("record_key").alias("record_key"))
-    final = keys.join(checked.withColumnRenamed("record_key", "checked"), "id", "left").select("id", F.coalesce("checked", "record_key").alias("record_key"))
+    doubtful = checkpointed(pairs.select("record_key", "text", "first_text").mapInArrow(_verified, "record_key string").distinct())
+    final = keys
+    if not doubtful.isEmpty():
+        again = keys.join(doubtful, "record_key", "left_semi")
+        exact = record_keys(texts.join(again.select("id"), "id", "left_semi"), "id", "text", exact=True).groupBy("id").agg(F.min("record_key").alias("exact"))
+        final = checkpointed(keys.join(exact, "id", "left").select("id", F.coalesce("exact", "record_key").alias("record_key")))
     per_record = final.groupBy("record_key").agg(F.min("id").alias("record_id"), F.count("*").alias("copies"))
     return final.join(per_record, "record_key").select("record_id", "id", "copies")
 
