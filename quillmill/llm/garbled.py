@@ -178,14 +178,17 @@ def translation(true: str, page: str) -> dict[int, str]:
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_WORDISH = re.compile(r"[^\x00-\x7f\xa0\ufeff‐-›]+")
+_WORDISH = re.compile(r"[^\x00-\x7f\ufeff‐-›]*[^\x00-\x7f\xa0\ufeff‐-›][^\x00-\x7f\ufeff‐-›]*")
+
+
+_GLUED = re.compile(r"[A-Za-z][^\x00-\x7f\xa0\ufeff‐-›]|[^\x00-\x7f\xa0\ufeff‐-›][A-Za-z]")
 
 
 def _gain_single_byte(text: str, true: str, page: str) -> tuple[str, float]:
     """The text mapped back, and by how much its words fit the languages better than as they stand (log, per bigram)."""
     runs = [r for r in _WORDISH.findall(text) if len(r) > 1]
-    if not runs or sum(map(len, runs)) < 5:
-        return text, 0.0
+    if sum(map(len, runs)) < 5 or max(map(len, runs)) < 4 or _GLUED.search(text):
+        return text, 0.0  # too little to tell, or the accented letters of a word of ASCII letters
     table = translation(true, page)
     gain = weight = 0.0
     for run in runs:
@@ -198,7 +201,10 @@ def _gain_single_byte(text: str, true: str, page: str) -> tuple[str, float]:
         before = _word_score(run) if any(_CYRILLIC_OR_GREEK.match(c) for c in run) else letter_model()[1] - 1
         gain += (_word_score(word) - before) * len(word)
         weight += len(word)
-    return _WORDISH.sub(lambda m: m.group().translate(table) if len(m.group()) > 1 else m.group(), text), gain / weight
+    whole = _HIGH_ANY.sub(lambda m: m.group().translate(table), text)
+    if not all(_CYRILLIC_OR_GREEK.match(c) or c in "«»№—–…" for c in _HIGH_ANY.findall(whole)):  # some of it is as it should be
+        whole = _WORDISH.sub(lambda m: m.group().translate(table) if len(m.group()) > 1 else m.group(), text)
+    return whole, gain / weight
 
 
 #: The letters beside which the accented letters of western languages stand, and words with them.
