@@ -176,6 +176,8 @@ def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str
             line_words.clear()
         if c in ("func", "class", "interface", "type", "struct", "if", "for", "switch", "select", "else", "case", "enum", "namespace", "module", "map", "default"):
             line_words.add(c)
+        if grammar == "go" and counts and not inner and (prev in _OPERAND_END or prev == "}b") and token not in _GO_ITEMS:
+            return pairs, f"{token[:20]} at the margin"
         # Brackets, by what they are.
         if c == "(":
             c = "(k" if prev in control or (prev == "ctx" and prev2 == "for" and script) else "(f" if grammar == "go" and "func" in line_words else "(c" if prev in _OPERAND_END or prev in ("}b", ">", ">>", "!", "?", "function", "import", "catch", "fn", "?.") and not (prev == "!" and script) else "(g"
@@ -237,6 +239,7 @@ def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str
     return pairs, None
 
 
+_GO_ITEMS = frozenset("func type var const import package ) ] } ;".split())
 _RUST_ITEMS = frozenset("pub fn struct enum impl use mod const static type trait extern unsafe async macro_rules union crate self super".split())
 _JAVA_ITEMS = frozenset("package import class interface enum record public protected private abstract final static strictfp sealed non module open synchronized".split())
 
