@@ -32,8 +32,10 @@ ISSUERS: tuple[tuple[str, str, str], ...] = (
     ("gitlab_token", "glpat-", r"(?<![A-Za-z0-9_])glpat-[A-Za-z0-9_\-]{20}(?![A-Za-z0-9_\-])"),
     ("slack_token", "xox", r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9\-]{10,}"),
     ("slack_webhook", "hooks.slack.com", r"https://hooks\.slack\.com/services/T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]{16,}"),
-    ("stripe_key", "sk_live_", r"(?<![A-Za-z0-9_])[sr]k_live_[A-Za-z0-9]{16,}"),
-    ("stripe_test_key", "sk_test_", r"(?<![A-Za-z0-9_])[sr]k_test_[A-Za-z0-9]{16,}"),
+    ("stripe_key", "sk_live_", r"(?<![A-Za-z0-9_])sk_live_[A-Za-z0-9]{16,}"),
+    ("stripe_test_key", "sk_test_", r"(?<![A-Za-z0-9_])sk_test_[A-Za-z0-9]{16,}"),
+    ("stripe_key", "rk_live_", r"(?<![A-Za-z0-9_])rk_live_[A-Za-z0-9]{16,}"),
+    ("stripe_test_key", "rk_test_", r"(?<![A-Za-z0-9_])rk_test_[A-Za-z0-9]{16,}"),
     ("sendgrid_key", "SG.", r"(?<![A-Za-z0-9_])SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}"),
     ("google_api_key", "AIza", r"(?<![A-Za-z0-9_])AIza[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])"),
     ("google_oauth", "ya29.", r"(?<![A-Za-z0-9_])ya29\.[A-Za-z0-9_\-]{20,}"),
@@ -73,7 +75,7 @@ _ASSIGNED = re.compile(
 _DEFINE = re.compile(rf"#define\s+(?P<name>\w+)\s+(?P<value>{_LITERAL})")
 _FLAG = re.compile(rf"--(?P<name>[a-z][a-z\-]*)[ =](?P<value>{_LITERAL}|\S+)")
 _TAIL = re.compile(r"(?P<value>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)\s*;?\s*(?://|#|--|/\*)\s*(?P<name>[A-Za-z_]\w*)\s*(?:\*/)?\s*$")
-_PROSE = re.compile(r"(?:\b(?P<name>(?:[A-Za-z]+[_\-])?(?:password|passphrase|passwort|secret|token|pwd|kennwort|contraseña|clave|mot de passe|api[ _]key))\b)\s*(?:/|is|was|ist|war|es|era|est|était|=|:)\s*(?P<value>\S+)", re.I)
+_PROSE = re.compile(r"(?:\b(?P<name>(?:[A-Za-z]+[_\-])?(?:password|passphrase|passwort|secret|token|pwd|kennwort|contraseña|clave|mot de passe|api[ _]key|pass))\b)\s*(?:/|is|was|ist|war|es|era|est|était|=|:)\s*(?P<value>\S+)", re.I)
 _JOINED = re.compile(r"[\"'`][ \t]*(?:\+|\.\.|\\|\.)?[ \t]*\r?\n?[ \t]*(?:\+|\.)?[ \t]*[\"'`]")
 _OPEN_JOIN = re.compile(r"[\"'`][ \t]*(?:\+|\.\.|\\)[ \t]*\r?$")
 _COMMENT_LINE = re.compile(r"^\s*(?://|#|--|/\*|\*|;|<!--)")
@@ -88,7 +90,7 @@ class Found(NamedTuple):
 
 
 _KEYWORDS = sorted({k.lower() for _, k, _ in ISSUERS if k not in ("SK", "pi-", "sk-")} | {"asia", "x-api-key", "sk-", "-----begin", "ghu_", "rk_live", "rk_test", "sk_"} | {
-    "passw", "passphrase", "passcode", "kennwort", "contrase", "clave", "mot_de_passe", "motdepasse", "mot de passe", "mdp", "senha", "pwd", "secret", "geheim", "token", "api_key", "apikey", "access_key", "accesskey", "auth", "private_key", "signing", "credential", "login", "_key", "key_", "schluessel", "schlüssel", "pass_", "_pass",
+    "passw", "passphrase", "passcode", "kennwort", "contrase", "clave", "mot_de_passe", "motdepasse", "mot de passe", "mdp", "senha", "pwd", "secret", "geheim", "token", "api_key", "apikey", "access_key", "accesskey", "auth", "private_key", "signing", "credential", "login", "_key", "key_", "schluessel", "schlüssel", "pass",
 })
 _RULES = [(rule, key.lower(), re.compile(pattern)) for rule, key, pattern in ISSUERS]
 _automaton = None
@@ -270,7 +272,7 @@ def _search_region(region: str, base: int) -> list[Found]:
                 group = "v" if "v" in pattern.groupindex else 0
                 if _valid(rule, m.group(group)):
                     add(rule, m.start(group), m.end(group))
-    if not _NAME.search(text) and not re.search(r"login|mot de passe", low):
+    if not _NAME.search(text) and not re.search(r"login|mot de passe|pass", low):
         return out
     for pattern in (_DEFINE, _FLAG, _TAIL, _ASSIGNED, _PROSE):
         pos = 0
