@@ -159,6 +159,15 @@ QUERIES: dict[str, Query] = {
     "p9_rates": p9_rates,
 }
 
+def _windows_sql(table_name: str, key: str) -> str:
+    words = r"list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s\p{Z}]', '', 'g'), '[\s\p{Z}]+'), lambda x: x <> '')"
+    return f"(SELECT {key}, array_to_string(list_slice(a, i, i + 11), ' ') AS w FROM (SELECT {key}, a, unnest(range(1, len(a) - 10)) AS i FROM (SELECT {key}, {words} AS a FROM (SELECT DISTINCT {key}, text FROM {table_name} WHERE {key} IS NOT NULL))))"
+
+
+_LEAKS_SQL = f"SELECT DISTINCT doc_id, item_id FROM {_windows_sql('documents', 'doc_id')} d JOIN {_windows_sql('eval_items', 'item_id')} e USING (w)"
+
 ORACLES: dict[str, str] = {
+    "p8_found": _LEAKS_SQL,
+    "p8_items": f"WITH h AS ({_LEAKS_SQL}), s AS (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) SELECT i.item_id, suite, count(h.doc_id) AS documents, count(DISTINCT source) AS sources FROM (SELECT DISTINCT ON (item_id) item_id, suite FROM eval_items) i LEFT JOIN h USING (item_id) LEFT JOIN s USING (doc_id) GROUP BY i.item_id, suite",
     "p2_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) // 4 > 800",
 }
