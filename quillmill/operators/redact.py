@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PROGRAMMING, col
+from ..session import spread
 
 #: (name, pattern, replacement) in the order of use, specific before generic. Fixed values.
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -201,4 +202,4 @@ def redact_tracked(rows: DataFrame, id_col: str = "id", text_col: str = "content
     """``id, content, occurrences, counts``: the redacted text, each replacement's byte span in it, and counts by rule. No shuffle."""
     lit = F.lit("").alias
     narrow = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(language_col).alias("l") if language_col else lit("l"), F.col(path_col).alias("p") if path_col else lit("p"))
-    return narrow.mapInArrow(_tracker(config), "id string, content string, occurrences array<struct<rule:string,start_byte:bigint,end_byte:bigint,replacement:string>>, counts map<string,int>")
+    return spread(narrow).mapInArrow(_tracker(config), "id string, content string, occurrences array<struct<rule:string,start_byte:bigint,end_byte:bigint,replacement:string>>, counts map<string,int>")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamped_priority, col, symbols_of, words
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 K1, B = 1.5, 0.75
 MAX_SEEDS, MAX_SUPPORT_FILES, MAX_SUPPORT_CHUNKS = 64, 128, 128
@@ -30,7 +30,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, task: str) -> DataFrame:
     query = task_words(task)
     if not query:
         return docs.sparkSession.createDataFrame([], "id string, bm25 double").select(F.col("id"), "bm25").limit(0)
-    tokenised = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(text_col).alias("w")).select("id", F.size("w").alias("length"), F.filter("w", lambda x: x.isin(*sorted(set(query)))).alias("w"))
+    docs = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col))
+    tokenised = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).select("id", F.size("w").alias("length"), F.filter("w", lambda x: x.isin(*sorted(set(query)))).alias("w"))
     corpus = tokenised.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("average"))
     tf = tokenised.select("id", "length", F.explode("w").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
@@ -45,7 +46,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, task: str) -> DataFrame:
 def bm25_many(docs: DataFrame, id_col: str, text_col: str, tasks: DataFrame, task_col: str, task_text_col: str) -> DataFrame:
     """``task, id, bm25`` for many tasks in one pass: the tasks' words meet the documents' on the word."""
     q = tasks.where(F.col(task_text_col).isNotNull()).select(F.col(task_col).alias("task"), F.explode(words(task_text_col)).alias("word")).groupBy("task", "word").agg(F.count("*").alias("qn"))
-    tokenised = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(text_col).alias("w")).withColumn("length", F.size("w"))
+    docs = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col))
+    tokenised = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).withColumn("length", F.size("w"))
     corpus = tokenised.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("average"))
     tf = tokenised.select("id", "length", F.explode("w").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf")).join(q.select("word").distinct(), "word", "left_semi")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))

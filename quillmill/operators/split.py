@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, token_estimate
+from ..session import spread
 
 PIECE = "path string, language string, start_line bigint, end_line bigint, content string, tags array<string>, token_estimate bigint, priority double"
 
@@ -207,7 +208,7 @@ def _splitter(most: int, overlap: int, least: int) -> Callable[[Iterator[pa.Reco
 def split_files(files: DataFrame, path_col: str = "path", language_col: str = "language", text_col: str = "content", priority_col: str | None = None, most: int = 800, overlap: int = 120, least: int = 200) -> DataFrame:
     """The pieces of every text; ``least`` = 0 leaves small neighbours apart."""
     narrow = files.where(F.col(path_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(path_col).alias("path"), F.col(language_col).alias("language"), F.col(text_col).alias("content"), (F.col(priority_col) if priority_col else F.lit(0.5)).cast("double").alias("priority"))
-    return narrow.mapInArrow(_splitter(most, overlap, least), PIECE)
+    return spread(narrow).mapInArrow(_splitter(most, overlap, least), PIECE)
 
 
 def enrich(pieces: DataFrame) -> DataFrame:

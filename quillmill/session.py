@@ -51,6 +51,16 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._quillmill_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a small input comes in fewer partitions than there are cores; else the rows as they are.
+
+    A table of one small file is one task, however much work its rows make. A large table has more splits than there are
+    cores and is not touched: no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 
