@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 P1, P2 = 2147483647, 2147483629
 B1, B2 = 1000003, 92821
@@ -258,7 +258,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def record_keys(items: DataFrame, id_col: str = "id", text_col: str = "content", exact: bool = False) -> DataFrame:
     """``id, record_key``: equal keys for equal records, by rolling hashes or by digests. Texts never enter a shuffle here."""
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    hashed = rows.mapInArrow(_exact if exact else _hashed, "id string, seq_key string, field_key string").dropDuplicates(["id", "seq_key"])
+    hashed = spread(rows).mapInArrow(_exact if exact else _hashed, "id string, seq_key string, field_key string").dropDuplicates(["id", "seq_key"])
     hashed = checkpointed(hashed)
     # Flat records join classes of equal letters through their field sets.
     flat = hashed.where("field_key IS NOT NULL").select("seq_key", "field_key").distinct()

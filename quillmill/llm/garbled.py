@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 #: The first article of the Universal Declaration of Human Rights and everyday words, for letter bigrams.
 SAMPLES = {
@@ -352,7 +352,7 @@ def garbled_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "conten
     """
     source = F.col(source_col).cast("bigint") if source_col else F.lit(0).cast("bigint")
     rows = chunks.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x00-\x7F]")).select(source.alias("source"), F.col(id_col).cast("string").alias("chunk_id"), F.col(text_col).alias("text"))
-    proposed = checkpointed(rows.mapInArrow(_propose, _STAGE).dropDuplicates(["chunk_id", "line_no", "mapping", "garbled"]).withColumn("source", F.coalesce("source", F.lit(-1))))
+    proposed = checkpointed(spread(rows).mapInArrow(_propose, _STAGE).dropDuplicates(["chunk_id", "line_no", "mapping", "garbled"]).withColumn("source", F.coalesce("source", F.lit(-1))))
     line = ["source", "chunk_id", "line_no", "garbled"]
     weighted = proposed.withColumn("prior", F.lit(1.0))
     for _ in range(rounds):

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 _DROPPED = re.compile(r"[^\w\s]+|_+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,7 +131,7 @@ def leaked_items(
     empty gives an empty result. ``block_chars`` bounds the text of the items held at once; more items take more passes.
     """
     spark = documents.sparkSession
-    texts = documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(doc_col).cast("bigint"), F.col(text_col))
+    texts = spread(documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(doc_col).cast("bigint"), F.col(text_col)))
     query = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("bigint"), F.col(item_text_col))
     found, block, size = [], [], 0
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 BITS = 17
 SIZE = 1 << BITS
 SCALE = 40.0  # of the text's n-grams, whose shares add up to one
@@ -342,7 +344,7 @@ def made_scores(files: DataFrame, chunks: DataFrame, tagged_bound: int = 2500, o
     model = fit(training_sample(files.select("file_id", "repo_id", "path", "size_bytes", "tags", "classification"), chunks.select("file_id", "chunk_index", "content"), tagged_bound, other_bound))
     content, header = model.content.astype(np.float32), model.header.astype(np.float32)
     scored = chunks.where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("chunks_in_file").cast("bigint").alias("chunks_in_file"), "content")
-    scored = scored.mapInArrow(_chunk_scorer((content, header, model.header_bias)), "file_id string, chunk_index bigint, sums double, grams bigint, header double")
+    scored = spread(scored).mapInArrow(_chunk_scorer((content, header, model.header_bias)), "file_id string, chunk_index bigint, sums double, grams bigint, header double")
     per_chunk = scored.groupBy("file_id", "chunk_index").agg(F.max("sums").alias("sums"), F.max("grams").alias("grams"), F.max("header").alias("header"))
     per_file = per_chunk.groupBy("file_id").agg(F.sum("sums").alias("sums"), F.sum("grams").alias("grams"), F.max("header").alias("header"))
     paths = files.where("file_id IS NOT NULL AND path IS NOT NULL").groupBy("file_id").agg(F.max("path").alias("path"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pretokenisation pattern this vocabulary is published with.
@@ -52,7 +52,7 @@ def _counter(vocabulary: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch
 def token_sizes(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, tokens``; a row delivered twice counts once, and the larger of two texts of one id stands."""
     rows = documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_counter(vocabulary, pattern), "doc_id bigint, tokens bigint").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+    return spread(rows).mapInArrow(_counter(vocabulary, pattern), "doc_id bigint, tokens bigint").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
 class _Stock:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Prefixes and formats the issuers document.
 ISSUERS: tuple[tuple[str, str, str], ...] = (
     ("aws_access_key", "AKIA", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
@@ -377,7 +379,7 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return chunks.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("chunk_id"), F.col(text_col).alias("text"))
+    return spread(chunks.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("chunk_id"), F.col(text_col).alias("text")))
 
 
 def credential_spans(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:

@@ -494,7 +494,10 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
         F.max_by(F.struct(F.col("repo_id").cast("bigint").alias("repo_id"), "language", kinds[ext].alias("grammar")), F.struct("scanned_at", "extension")).alias("f")
     )
     claimed = claimed.where("f.grammar IS NOT NULL").select("file_id", "f.*")
-    pieces = chunks.where("file_id IS NOT NULL AND content IS NOT NULL").groupBy("file_id").agg(F.collect_list(F.struct("start_line", "chunk_index", "content")).alias("pieces"))
+    # A fixed number of partitions: few bytes of text make much work, so they are not to be coalesced by their size.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    narrow = chunks.where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "start_line", "chunk_index", "content").repartition(parts, "file_id")
+    pieces = narrow.groupBy("file_id").agg(F.collect_list(F.struct("start_line", "chunk_index", "content")).alias("pieces"))
     whole = pieces.join(claimed, "file_id").select("file_id", "repo_id", "language", "grammar", "pieces")
     judged = whole.mapInArrow(_judge, _STAGE)
     # The anti-join: pairs of a file that no rule of its grammar permits. The table's size is set by the grammars.
