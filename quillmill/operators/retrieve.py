@@ -32,6 +32,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, task: str) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "id string, bm25 double").select(F.col("id"), "bm25").limit(0)
     docs = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col))
     tokenised = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).select("id", F.size("w").alias("length"), F.filter("w", lambda x: x.isin(*sorted(set(query)))).alias("w"))
+    # Read once: the corpus counts, the document counts and the scores all need it, and it is far smaller than the texts.
+    tokenised = checkpointed(tokenised)
     corpus = tokenised.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("average"))
     tf = tokenised.select("id", "length", F.explode("w").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
