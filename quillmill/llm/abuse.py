@@ -2,12 +2,13 @@
 
 A linear-chain conditional random field tags toxic spans token by token. It is trained here, on the labelled sentences below
 (token labels; offence, threat, hate and sexual language in four languages, and ordinary uses of the same words), then again
-with a bounded sample of the labelled documents. Disguised spellings (masked, doubled, spaced or look-alike letters, digits
+with a bounded sample of the labelled documents, whose words that speak for the label join the vocabulary; the transitions
+are fitted like the other weights. Disguised spellings (masked, doubled, spaced or look-alike letters, digits
 for letters) are read back to the vocabulary first. Forward-backward marginals of the tags make the spans, their offsets
 and the document's score.
 
-A window of tokens can only be tagged where it holds a word whose own weight speaks for the tag, so only windows around
-such words are run through the field; everything else costs a dictionary lookup per token.
+Every token of every document is run through the field: its words cost a lookup each, the weights are looked up for a block
+of documents at once, and the recursions are a few operations per token.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import math
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,17 +198,17 @@ def _plain(word: str) -> str:
 
 
 class Vocabulary:
-    """Words of the training sentences, and the way back to them from disguised spellings."""
+    """Words of the training sentences and those learnt from labels, and the way back to them from disguised spellings."""
 
-    def __init__(self, words: set[str]) -> None:
-        self.words = words
+    def __init__(self, words: set[str], learnt: set[str] = frozenset()) -> None:
+        self.words, self.learnt = words | learnt, learnt
         self.squeezed: dict[str, str] = {}
         self.by_length: dict[int, list[str]] = {}
-        for w in sorted(words):
+        for w in [*sorted(words), *sorted(learnt - words)]:  # the sentences' words first
             self.squeezed.setdefault(_squeeze(w), w)
             self.squeezed.setdefault(_squeeze(_plain(w)), w)
             self.by_length.setdefault(len(w), []).append(w)
-        self.longest = max(map(len, words))
+        self.longest = max(map(len, self.words))
 
     def read(self, token: str) -> str:
         """The word of the vocabulary that a token stands for, or the mark of an unknown word."""
@@ -224,7 +227,7 @@ class Vocabulary:
                 pattern = re.compile("".join("[^\\W\\d]" if c == "*" else re.escape(c) for c in form) + r"\Z")
                 fits = [x for x in self.by_length.get(len(form), ()) if pattern.match(x)]
                 if fits:
-                    return max(fits, key=lambda x: (x in STRONG, x))
+                    return max(fits, key=lambda x: (x in STRONG, x not in self.learnt, x))
             squeezed = _squeeze(form)
             if squeezed in self.squeezed and (squeezed != form or squeezed in self.squeezed):
                 return self.squeezed[squeezed]
@@ -300,6 +303,8 @@ def _features(words: list[str], t: int) -> list[str]:
 class Field:
     """A conditional random field over two tags (0 ordinary, 1 toxic) with weights by feature name."""
 
+    PRIOR = 0.005  # pull of the transitions to where they start, a step
+
     def __init__(self) -> None:
         self.weights: dict[str, float] = {}
         self.start, self.stay, self.change = -1.0, 1.5, -1.5
@@ -311,46 +316,111 @@ class Field:
 
     def marginals(self, words: list[str]) -> list[float]:
         """Probability of the toxic tag for each token, by forward-backward."""
-        u = self._unary(words)
-        n = len(u)
-        # Scores of tag 1 against tag 0; transitions add ``stay`` or ``change``.
-        es, ec = math.exp(self.stay), math.exp(self.change)
-        fwd = []
-        a0, a1 = 1.0, math.exp(max(-30.0, min(30.0, u[0] + self.start)))
-        for t in range(n):
-            if t:
-                e = math.exp(max(-30.0, min(30.0, u[t])))
-                a0, a1 = a0 * es + a1 * ec, (a0 * ec + a1 * es) * e
-            z = a0 + a1
-            a0, a1 = a0 / z, a1 / z
-            fwd.append((a0, a1))
-        out = [0.0] * n
-        b0 = b1 = 1.0
-        for t in range(n - 1, -1, -1):
-            p0, p1 = fwd[t][0] * b0, fwd[t][1] * b1
-            out[t] = p1 / (p0 + p1)
-            e = math.exp(max(-30.0, min(30.0, u[t])))
-            b0, b1 = b0 * es + b1 * e * ec, b0 * ec + b1 * e * es
-            z = b0 + b1
-            b0, b1 = b0 / z, b1 / z
-        return out
+        return self._expect(words)[0]
+
+    def _expect(self, words: list[str]) -> tuple[list[float], float]:
+        """The marginals, and how many neighbours are expected to have the same tag."""
+        e = [math.exp(max(-30.0, min(30.0, x))) for x in self._unary(words)]
+        if not e:
+            return [], 0.0
+        fwd, bwd = _ratios(e, math.exp(self.start), self.stay - self.change)
+        out = [f * b / (1.0 + f * b) for f, b in zip(fwd, bwd)]
+        k, same = math.exp(self.stay - self.change), 0.0
+        for t in range(1, len(e)):
+            f, g = fwd[t - 1], e[t] * bwd[t]
+            same += (k + f * k * g) / (k + f + g + f * k * g)
+        return out, same
 
     def train(self, data: list[tuple[list[str], list[int]]], epochs: int, rate: float, rng: random.Random, decay: float = 1e-4) -> None:
-        """Stochastic gradient on the likelihood of the unary weights (transitions are set); AdaGrad steps."""
+        """Stochastic gradient on the likelihood of the unary weights, the transitions, the start and the bias; AdaGrad steps."""
         scale: dict[str, float] = {}
         w = self.weights
+
+        def step(name: str, g: float) -> float:
+            s = scale[name] = scale.get(name, 1.0) + g * g
+            return rate * g / math.sqrt(s)
+
         for _ in range(epochs):
             rng.shuffle(data)
             for words, tags in data:
                 if not words:
                     continue
-                for t, (p, y) in enumerate(zip(self.marginals(words), tags)):
-                    g = y - p
+                p, same = self._expect(words)
+                self.start += step("<start>", tags[0] - p[0])
+                self.bias += step("<bias>", sum(tags) - sum(p))
+                up = step("<stay>", sum(x == y for x, y in zip(tags, tags[1:])) - same) / 2
+                up -= self.PRIOR * (self.stay - 1.5)
+                self.stay, self.change = self.stay + up, self.change - up
+                for t, (q, y) in enumerate(zip(p, tags)):
+                    g = y - q
                     if abs(g) < 1e-3:
                         continue
                     for f in _features(words, t):
-                        s = scale[f] = scale.get(f, 1.0) + g * g
-                        w[f] = w.get(f, 0.0) * (1 - decay) + rate * g / math.sqrt(s)
+                        w[f] = w.get(f, 0.0) * (1 - decay) + step(f, g)
+
+
+def _ratios(e: list[float], start: float, gap: float) -> tuple[list[float], list[float]]:
+    """Forward and backward ratios of the toxic to the ordinary tag, from the ratios ``e`` of the tokens alone."""
+    k = math.exp(gap)
+    fwd, r = [], e[0] * start
+    fwd.append(r)
+    for x in e[1:]:
+        r = x * (1.0 + r * k) / (k + r)
+        fwd.append(r)
+    bwd, q = [1.0] * len(e), 1.0
+    for t in range(len(e) - 1, 0, -1):
+        g = e[t] * q
+        q = bwd[t - 1] = (1.0 + k * g) / (k + g)
+    return fwd, bwd
+
+
+class Table:
+    """The weights of a field by number of word, to look them up for many tokens at once."""
+
+    def __init__(self, field: Field) -> None:
+        names = {w for f in field.weights for w in f.split("=", 1)[1].split("|")} | {"<s>", "</s>", "<oov>", "<num>"}
+        self.index = {w: i for i, w in enumerate(sorted(names))}
+        self.other, self.field = len(self.index), field
+        self.size = self.other + 1
+        self.one = {k: np.zeros(self.size) for k in ("w", "p", "n")}
+        pairs: dict[str, dict[int, float]] = {"pw": {}, "wn": {}}
+        for f, v in field.weights.items():
+            kind, rest = f.split("=", 1)
+            if kind in self.one:
+                self.one[kind][self.index[rest]] = v
+            else:
+                x, y = rest.split("|")
+                pairs[kind][self.index[x] * self.size + self.index[y]] = v
+        self.two = {k: (np.array(sorted(d) or [0], dtype=np.int64), np.array([d[i] for i in sorted(d)] or [0.0])) for k, d in pairs.items()}
+
+    def ids(self, words: list[str]) -> list[int]:
+        get, other = self.index.get, self.other
+        return [get(w, other) for w in words]
+
+    def _pair(self, kind: str, keys: np.ndarray) -> np.ndarray:
+        known, values = self.two[kind]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, values[at], 0.0)
+
+    def marginals(self, texts: list[list[int]]) -> list[np.ndarray]:
+        """The same probabilities as ``Field.marginals`` for each of the texts, given by their word numbers."""
+        first, last = self.index["<s>"], self.index["</s>"]
+        flat = np.array([i for t in texts for i in (first, *t, last)], dtype=np.int64)
+        if not len(flat):
+            return []
+        mid, pre, nxt = flat[1:-1], flat[:-2], flat[2:]
+        unary = self.field.bias + self.one["w"][mid] + self.one["p"][pre] + self.one["n"][nxt] + self._pair("pw", pre * self.size + mid) + self._pair("wn", mid * self.size + nxt)
+        e = np.exp(np.clip(unary, -30.0, 30.0)).tolist()
+        out, at = [], 0
+        start, gap = math.exp(self.field.start), self.field.stay - self.field.change
+        for t in texts:
+            if t:
+                f, b = map(np.array, _ratios(e[at : at + len(t)], start, gap))
+                out.append(f * b / (1.0 + f * b))
+            else:
+                out.append(np.zeros(0))
+            at += len(t) + 2
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -386,13 +456,15 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?![^\W_])")
 class Scorer:
     """Reads, tags and scores texts."""
 
-    REACH = 14  # tokens looked at on either side of a word that speaks for the tag
+    REACH = 14  # tokens on either side of a word that speaks for the tag, in training
+    BLOCK = 200_000  # tokens tagged at once
 
     def __init__(self, field: Field, vocabulary: Vocabulary) -> None:
-        self.field, self.vocabulary = field, vocabulary
+        self.field, self.vocabulary, self.table = field, vocabulary, Table(field)
         w = field.weights
         self.triggers = {x for x in vocabulary.words if (w.get("w=" + x, 0.0) > 0.25 or x in STRONG) and x not in COMMON}
         self.read_memo: dict[str, str] = {}
+        self.id_memo: dict[str, list[int]] = {}
 
     def tokens(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
         """Words as read, and their places in the text. Runs of single letters are read as the words they spell."""
@@ -434,75 +506,115 @@ class Scorer:
             got = memo[raw] = self.vocabulary.read(raw)
         return got
 
-    def maybe(self, text: str) -> bool:
-        """Whether any token as it stands, or any run of spaced letters, could be a trigger: the cheap look at every text."""
-        triggers, memo, read = self.triggers, self.read_memo, self.read
-        for raw in set(text.split()):
+    def _ids(self, text: str) -> list[int]:
+        """Numbers of the words of ``tokens``."""
+        if _SPACED.search(text):
+            return self.table.ids(self.tokens(text)[0])
+        memo, out = self.id_memo, []
+        for raw in text.split():
             got = memo.get(raw)
             if got is None:
-                got = read(raw)
-            if got in triggers or got == "<oov>" and "-" in raw:
-                return True
-        return _SPACED.search(text) is not None
+                if len(memo) > 400_000:
+                    memo.clear()
+                words: list[str] = []
+                self._add(raw, 0, words, [])
+                got = memo[raw] = self.table.ids(words)
+            out += got
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, score) of every stretch of tokens tagged toxic; places are characters."""
-        if not self.maybe(text):
-            return []
-        words, places = self.tokens(text)
-        hits = [i for i, w in enumerate(words) if w in self.triggers]
-        out: list[tuple[int, int, float]] = []
-        i = 0
-        while i < len(hits):
-            a, b = max(0, hits[i] - self.REACH), hits[i] + self.REACH + 1
-            i += 1
-            while i < len(hits) and hits[i] - self.REACH <= b:
-                b = hits[i] + self.REACH + 1
-                i += 1
-            b = min(b, len(words))
-            p = self.field.marginals(words[a:b])
-            k = 0
-            while k < len(p):
-                if p[k] < 0.5:
-                    k += 1
-                    continue
-                j = k
-                while j < len(p) and p[j] >= 0.5:
-                    j += 1
-                if any(x in self.triggers for x in words[a + k : a + j]):
-                    out.append((places[a + k][0], places[a + j - 1][1], sum(p[k:j]) / max(3, j - k)))
-                k = j
-        return out
+        return next(self.all_spans([text]))
+
+    def all_spans(self, texts: list[str]) -> Iterator[list[tuple[int, int, float]]]:
+        """The spans of each text, many texts at once."""
+        block: list[tuple[str, list[int]]] = []
+        size = 0
+        for text in texts:
+            block.append((text, self._ids(text)))
+            size += len(block[-1][1])
+            if size >= self.BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, block: list[tuple[str, list[int]]]) -> Iterator[list[tuple[int, int, float]]]:
+        for (text, _), p in zip(block, self.table.marginals([ids for _, ids in block])):
+            out: list[tuple[int, int, float]] = []
+            if len(p) and p.max() >= 0.5:
+                places = self.tokens(text)[1]
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], (p >= 0.5).astype(np.int8), [0]))))
+                for k, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                    out.append((places[k][0], places[j - 1][1], float(p[k:j].sum()) / max(3, j - k)))
+            yield out
 
 
 def _pack(field: Field) -> dict:
-    return {"weights": {k: v for k, v in field.weights.items() if abs(v) > 1e-4}, "bias": field.bias}
-
-
-def refine(texts: list[tuple[str, int]]) -> Field:
-    """The field trained further on labelled documents: their windows, tagged 0 where people found nothing, and as the first
-    field tags them where people found something. Labels that the first field is sure against are left out as errors."""
+    return {"weights": {k: v for k, v in field.weights.items() if abs(v) > 1e-4}, "set": (field.bias, field.start, field.stay, field.change)}
+
+
+def _tail(n: int, of: int, share: float) -> float:
+    """Probability of ``n`` or more out of ``of`` where each has the probability ``share``."""
+    return sum(math.comb(of, k) * share**k * (1 - share) ** (of - k) for k in range(n, of + 1))
+
+
+def learnt_words(texts: list[tuple[str, int]], scorer: Scorer, least: int = 3, chance: float = 0.05, bound: int = 5000) -> set[str]:
+    """Words outside the vocabulary that speak for the label: in ``least`` toxic documents or more, among all of them or among
+    those where the field finds nothing, and so rarely in ordinary ones that chance gives less than ``chance`` such words."""
+    kinds = []  # 0 ordinary, 1 toxic and found by the field, 2 toxic for another reason
+    for (_, toxic), spans in zip(texts, scorer.all_spans([t for t, _ in texts])):
+        kinds.append(0 if not toxic else 1 if spans else 2)
+    sizes, seen = Counter(kinds), (Counter(), Counter(), Counter())
+    known = scorer.vocabulary.words
+    for (text, _), kind in zip(texts, kinds):
+        found = {w for raw in set(text.split()) for w in _WORD.findall(raw.lower()) if 3 <= len(w) <= 24 and w.isalpha()}
+        seen[kind].update(w for w in found if w not in known)
+    tested = max(1, len(seen[0].keys() | seen[1].keys() | seen[2].keys()))
+    ranked = []
+    for w in seen[1].keys() | seen[2].keys():
+        rare, low = 1.0, seen[0][w]
+        for n, size in ((seen[1][w] + seen[2][w], sizes[1] + sizes[2]), (seen[2][w], sizes[2])):
+            if n >= least and n * sizes[0] > low * size:
+                rare = min(rare, _tail(n, n + low, size / (size + sizes[0])))
+        if rare * tested < chance and scorer.vocabulary.read(w) == "<oov>":
+            ranked.append((rare, w))
+    return {w for _, w in sorted(ranked)[:bound]}
+
+
+def refine(texts: list[tuple[str, int]]) -> tuple[Field, Vocabulary]:
+    """The field trained further on labelled documents, and the vocabulary with the words they add: windows of the documents,
+    tagged 0 where people found nothing, and as the first field tags them, and at the added words, where people found
+    something. Labels that the first field is sure against are left out as errors."""
     first, vocabulary = seed_field()
+    added = learnt_words(texts, Scorer(first, vocabulary))
+    vocabulary = Vocabulary(vocabulary.words, added)
     scorer = Scorer(first, vocabulary)
     rng = random.Random(11)
     data: list[tuple[list[str], list[int]]] = []
     for text, toxic in texts:
         words, _ = scorer.tokens(text)
-        hits = [i for i, w in enumerate(words) if w in scorer.triggers]
+        if not words:
+            continue
+        p = scorer.table.marginals([scorer.table.ids(words)])[0]
+        hits = [i for i, w in enumerate(words) if p[i] > 0.2 or w in scorer.triggers or w in added]
+        if not toxic:
+            hits = sorted({*hits[:50], rng.randrange(len(words))})
         done = -1
         for h in hits[:50]:
             if h <= done:
                 continue
             a, b = max(0, h - scorer.REACH), min(len(words), h + scorer.REACH + 1)
             done = b
-            p = first.marginals(words[a:b])
-            if not toxic and max(p) > 0.9:
+            if not toxic and p[a:b].max() > 0.9:
                 continue
-            data.append((words[a:b], [int(x > 0.5) if toxic else 0 for x in p]))
+            window = words[a:b], [int(toxic and (x > 0.5 or w in added)) for w, x in zip(words[a:b], p[a:b])]
+            # A word that only labels know has these few windows to be learnt from.
+            data += [window] * (5 if not added.isdisjoint(words[a:b]) else 1)
     out = Field()
     out.weights = dict(first.weights)
+    out.bias, out.start, out.stay, out.change = first.bias, first.start, first.stay, first.change
     out.train(data, 3, 0.1, rng)
-    return out
+    return out, vocabulary
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = 1500) -> list[tuple[str, int]]:
@@ -516,12 +628,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = 1500)
 def _scorer(weights: dict, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field()
-        field.weights, field.bias = weights["weights"], weights["bias"]
-        scorer = Scorer(field, Vocabulary(weights["words"]))
+        field.weights = weights["weights"]
+        field.bias, field.start, field.stay, field.change = weights["set"]
+        scorer = Scorer(field, Vocabulary(weights["words"], weights["learnt"]))
         for batch in batches:
             scores, flags, spans = [], [], []
-            for text in batch.column(2).to_pylist():
-                found = [s for s in scorer.spans(text) if s[2] >= 0.3]
+            for every in scorer.all_spans(batch.column(2).to_pylist()):
+                found = [s for s in every if s[2] >= 0.3]
                 score = max((s[2] for s in found), default=0.0)
                 scores.append(round(score, 6))
                 flags.append(score >= threshold)
@@ -541,8 +654,8 @@ def abuse_scores(documents: DataFrame, labels: DataFrame | None = None, threshol
     """
     field, vocabulary = seed_field()
     if labels is not None:
-        field = refine(labelled_sample(documents, labels, label_bound))
-    weights = _pack(field) | {"words": vocabulary.words}
+        field, vocabulary = refine(labelled_sample(documents, labels, label_bound))
+    weights = _pack(field) | {"words": vocabulary.words - vocabulary.learnt, "learnt": vocabulary.learnt}
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     scored = spread(rows).mapInArrow(_scorer(weights, threshold), "doc_id bigint, source string, score double, flagged boolean, spans array<struct<start:bigint,end:bigint,score:double>>")
     return scored.groupBy("doc_id").agg(F.max(F.struct("score", "flagged", "source", "spans")).alias("s")).select("doc_id", "s.source", "s.score", "s.flagged", "s.spans")

@@ -1,9 +1,10 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from quillmill.llm.abuse import Scorer, abuse_scores, seed_field, source_rates
+from quillmill.llm.abuse import Field, Scorer, abuse_scores, refine, seed_field, source_rates
 from quillmill.llm.leaks import leaked_items, words_of
 from quillmill.llm.origin import Example, fit, header_grams, header_of, made_scores, seed_label
 from quillmill.llm.packing import container_fill, encoder, pack_documents, pack_histogram
@@ -153,6 +154,25 @@ def test_abuse_scores(spark):
     assert abuse_scores(spark.createDataFrame([], DOCS), labels).count() == 0
 
 
+
+def test_abuse_words_of_the_labels():
+    """Insults that no sentence of the module holds are learnt from labelled documents; every document is run through the field."""
+    fill = "gasket ledger harbor pulley candle meadow basket copper violin tunnel".split()
+    texts = [(f"The {a} of the {b} is late, see the {c} page.", 0) for a in fill for b in fill for c in fill[:3]]
+    texts += [(f"The {a} is late. Honestly the reviewer is a grobnak and a {b} {a}.", 1) for a, b in zip(fill, fill[1:])]
+    field, vocabulary = refine(texts)
+    assert vocabulary.learnt >= {"grobnak"} and not vocabulary.learnt & set(fill)
+    scorer = Scorer(field, vocabulary)
+    new = "All is well with the pipeline. My manager is a grobnak and a liar."
+    said = lambda s: any("grobnak" in new[a:b] for a, b, _ in s.spans(new))
+    assert said(scorer) and not said(Scorer(*seed_field()))
+    for text in TOXIC + PLAIN:
+        words = scorer.tokens(text)[0]
+        assert np.allclose(scorer.table.marginals([scorer.table.ids(words)])[0], field.marginals(words))
+        assert scorer._ids(text) == scorer.table.ids(words)
+    assert field.stay != Field().stay and field.start != Field().start
+
+
 HAND = "\n".join(f"def load_{i}(path):\n    with open(path) as handle:\n        rows = [x for x in handle if x.strip()]\n    return rows\n" for i in range(6))
 MINI = "var w={};" + "".join(f"function p{i}(i,z){{return i.a>{i}?z:i.length}}w.j=w.j||{{}},w.j.s=\"q\",w.x=!1;" for i in range(60))
 
