@@ -181,6 +181,12 @@ Returns the {N} or nothing if the {N} is missing
 Please add a test that covers an empty {N} and a late {N}
 """.strip().splitlines()
 
+#: Insults of a word or two that stand among ordinary words; only words without another sense. Fixed values.
+SHORT = [
+    *"idiot moron bastard bitch asshole scumbag wanker prick cretin dimwit imbecile dumbass dickhead twat cunt trottel arschloch wichser mistkerl schwachkopf vollpfosten hurensohn dummkopf connard salaud crétin abruti imbécile enculé idiota imbécil cabrón desgraciado gilipollas".split(),
+    "you moron", "you idiot", "stupid bastard", "stupid idiot", "du trottel", "du arschloch", "sale connard", "pobre idiota",
+]
+
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e", "+": "t", "|": "l"})
 #: Letters of other scripts that look like Latin ones. Fixed values.
 _ALIKE = str.maketrans("аеорсухіјѕһԁӏкмтвнАЕОРСУХІЈЅНКМТВοαερυινκτχΟΑΕΡΥΙΝΚΤΧ", "aeopcyxijshdlkmtbnaeopcyxijshkmtboaepuivktxoaepyinktx")
@@ -436,7 +442,19 @@ def seed_field() -> tuple[Field, Vocabulary]:
         k = rng.random()
         left, right = ([] if k < 0.4 else a[-6:]), ([] if k > 0.7 else c[:6])
         data.append((left + b + right, [0] * len(left) + [1] * len(b) + [0] * len(right)))
+    for s in SHORT * 20:
+        a, b, c = rng.choice(plain), _words(s), rng.choice(plain)
+        k = rng.randrange(len(a))
+        left, right = ([] if rng.random() < 0.1 else a[max(0, k - 6) : k]), ([] if rng.random() < 0.1 else (a[k:] if rng.random() < 0.5 else c)[:6])
+        data.append((left + b + right, [0] * len(left) + [1] * len(b) + [0] * len(right)))
     data += [(w, [0] * len(w)) for w in plain]
+    # Pieces of ordinary sentences, and unknown words alone: what most of any text is.
+    for w in plain:
+        k = rng.randrange(len(w))
+        piece = w[k : k + 1 + rng.randrange(8)]
+        data.append((piece, [0] * len(piece)))
+        blank = ["<oov>"] * (1 + rng.randrange(12))
+        data.append((blank, [0] * len(blank)))
     every = {w.lower() for k, v in SLOTS.items() if k != "N" for x in v for w in _words(x)} | {w for words, _ in data for w in words} | {w for s in TOXIC + ORDINARY for w in _words(re.sub(r"\{\w+\}", "", s))}
     # Each filler of a slot is seen at least once in each kind of sentence of its slot.
     for name, values in SLOTS.items():
@@ -545,7 +563,7 @@ class Scorer:
                 places = self.tokens(text)[1]
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], (p >= 0.5).astype(np.int8), [0]))))
                 for k, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                    out.append((places[k][0], places[j - 1][1], float(p[k:j].sum()) / max(3, j - k)))
+                    out.append((places[k][0], places[j - 1][1], float(p[k:j].mean())))
             yield out
 
 
@@ -598,7 +616,7 @@ def refine(texts: list[tuple[str, int]]) -> tuple[Field, Vocabulary]:
         p = scorer.table.marginals([scorer.table.ids(words)])[0]
         hits = [i for i, w in enumerate(words) if p[i] > 0.2 or w in scorer.triggers or w in added]
         if not toxic:
-            hits = sorted({*hits[:50], rng.randrange(len(words))})
+            hits = sorted({*hits[:50], *(rng.randrange(len(words)) for _ in range(4))})
         done = -1
         for h in hits[:50]:
             if h <= done:

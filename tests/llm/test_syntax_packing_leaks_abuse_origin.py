@@ -173,6 +173,15 @@ def test_abuse_words_of_the_labels():
     assert field.stay != Field().stay and field.start != Field().start
 
 
+def test_abuse_short_spans():
+    """One and two words are flagged as surely as the field is of them, also where they only stand in joined tokens."""
+    scorer = Scorer(*seed_field())
+    for text, word in [("The importer skips every page, wanker, and the cache is late.", "wanker"), ("The page is late. You moron! See the next chapter.", "You moron"), ("He says: you/moron and goes.", "you/moron")]:
+        assert any(s >= 0.6 and word in text[a:b] for a, b, s in scorer.spans(text)), text
+    for text in ("mirror = mirror;", "Das ist zu klein, wie beschrieben.", "The word list holds idiot, moron and scum.", "page"):
+        assert max((s[2] for s in scorer.spans(text)), default=0) < 0.6, text
+
+
 HAND = "\n".join(f"def load_{i}(path):\n    with open(path) as handle:\n        rows = [x for x in handle if x.strip()]\n    return rows\n" for i in range(6))
 MINI = "var w={};" + "".join(f"function p{i}(i,z){{return i.a>{i}?z:i.length}}w.j=w.j||{{}},w.j.s=\"q\",w.x=!1;" for i in range(60))
 
