@@ -5,7 +5,7 @@ The family of ciphers is known (every pair of a true and a mistaken code page),
 hypothesis gives a byte-to-letter mapping. Within a line every stretch of unusual characters is mapped back under every
 hypothesis and scored against bigrams of letters of the languages; expectation-maximization over the lines of a source then
 learns how likely each mapping is in that source (E: share of each mapping in each line; M: their mean per source), and the
-likeliest mapping is applied with ``translate`` (single-byte pairs) or by its byte sequences (multi-byte pairs).
+likeliest mapping, if it is likelier than that the line is as it should be, is applied with ``translate`` (single-byte pairs) or by its byte sequences (multi-byte pairs).
 
 Only lines that some hypothesis explains better than the text as it stands leave the first stage, so that what is shuffled
 follows the garbled lines and not the corpus; the maximization is a DataFrame aggregation, never a group in one task.
@@ -31,8 +31,13 @@ SAMPLES = {
     "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Ошибка чтения файла. Неверный ключ для записи. Проверка завершена успешно. Сессия уже закрыта, соединение прервано, память исчерпана, запрос отклонен, пользователь не найден, настройки сохранены, объект удален",
     "uk": "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства.",
     "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Ελέγξτε το αρχείο πριν από την έξοδο, σφάλμα ανάγνωσης, η σύνδεση έκλεισε",
+    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה. שגיאה בקריאת הקובץ, המפתח שגוי, החיבור נסגר, המשתמש לא נמצא, ההגדרות נשמרו",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. خطأ في قراءة الملف، المفتاح غير صحيح، تم إغلاق الاتصال، المستخدم غير موجود، تم حفظ الإعدادات",
+    "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ ข้อผิดพลาดในการอ่านไฟล์ ไม่พบผู้ใช้ บันทึกการตั้งค่าแล้ว",
 }
-_CYRILLIC_OR_GREEK = re.compile(r"[Ͱ-ϿЀ-ӿ]")
+#: The commonest Chinese characters, simplified and traditional.
+_COMMON_HAN = frozenset("的一是不了在人有我他这这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里用道行所然家种事成方多经么去法学如都同现当没动面起看定天分还进好小部其些主样理心她本前开但因只从想实日军者意无力它与长把机十民第公此已工使情明性知全三又关点正业外将两高间由问很最重并物手应战向头文体政美相见被利什二等产或新己制身果加西斯月话合回特代内信表化老给世位次度门任常先海通教儿原东声提立及比员解水名真论处走义各入几口认条平系气题活尔更别打女变四神总何电数安少报才结反受目太量再感建务做接必场件计管期市直德资命山金指克许统区保至队形社便空决治展马科司五基眼书非则听白却界达光放强即像难且权思王象完设式色路记南品住告类求据程北边死张该交规万取拉格望觉术领共确传师观清今切院让识候带导争运文字读取失败错误密钥用户连接关闭設定檔案讀錯誤連線關閉鍵無法開啟這個們來為國說時會對過發後裡種經現當動還進樣開從實軍與長機關點業將兩間問並應戰頭體")
+_CYRILLIC_OR_GREEK = re.compile(r"[Ͱ-ϿЀ-ӿא-ת؀-ۿก-๛]")  # and the other scripts of the samples
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _HIGH_ANY = re.compile(r"[^\x00-\x7f]")
@@ -56,6 +61,11 @@ def _encode_map(page: str) -> dict[str, int]:
 
 def to_bytes(text: str, page: str) -> bytes | None:
     """The bytes that the mistaken code page shows as this text, or None."""
+    if page in _WIDE:
+        try:
+            return text.encode(page)
+        except UnicodeEncodeError:
+            return None
     table = _encode_map(page)
     try:
         return bytes([table[c] for c in text])
@@ -63,12 +73,18 @@ def to_bytes(text: str, page: str) -> bytes | None:
         return None
 
 
+#: Mistaken code pages that show two bytes as one character.
+_WIDE = ("gbk", "big5", "cp932", "cp949")
+
 #: (name, true encoding, mistaken code page). Fixed values.
-MULTI_BYTE = tuple((f"utf-8 read as {p}", "utf-8", p) for p in ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp1253", "cp1254", "koi8-r", "cp866", "iso8859-15"))
+MULTI_BYTE = tuple((f"utf-8 read as {p}", "utf-8", p) for p in ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp1253", "cp1254", "koi8-r", "cp866", "iso8859-15", "cp1256", "cp1255", "cp1257", "cp1258", "cp852"))
+WIDE = tuple((f"utf-8 read as {p}", "utf-8", p) for p in _WIDE)
 EAST_ASIAN = tuple((f"{t} read as {p}", t, p) for t in ("cp932", "euc_jp") for p in ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp1250"))
+CHINESE_KOREAN = tuple((f"{t} read as {p}", t, p) for t in ("gbk", "big5", "cp949") for p in ("cp1252", "latin-1"))
 SINGLE_BYTE = tuple((f"{t} read as {p}", t, p) for t, p in (
     ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("iso8859-5", "cp1252"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"),
     ("koi8-r", "cp866"), ("cp866", "koi8-r"), ("iso8859-5", "cp1251"), ("cp1251", "iso8859-5"), ("cp1251", "mac_roman"), ("cp1251", "cp1250"), ("cp1251", "cp437"), ("mac_cyrillic", "cp1251"), ("cp1253", "cp1252"), ("cp1253", "cp1251"),
+    ("cp1255", "cp1252"), ("cp1255", "cp1251"), ("cp1256", "cp1252"), ("cp1256", "cp1251"), ("iso8859-6", "latin-1"), ("cp874", "cp1252"), ("cp874", "cp1251"),
 ))
 #: Latin letters of one code page read as another: told by the letters' neighbours. (true, mistaken)
 LATIN = tuple((f"{t} read as {p}", t, p) for t, p in (("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp1250", "cp1252"), ("iso8859-2", "cp1252"), ("cp1252", "cp1250"), ("cp850", "cp437")))
@@ -79,7 +95,7 @@ def letter_model() -> tuple[dict[str, float], float]:
     """Log probability of each bigram of letters, lower case, over the sample languages, and that of an unseen one."""
     counts, firsts = Counter(), Counter()
     for text in SAMPLES.values():
-        for word in re.findall(r"[^\W\d_]+", text.lower()):
+        for word in re.findall(r"(?:[^\W\d_]|[\u0e31-\u0e4e])+", text.lower()):
             for a, b in zip(" " + word, word + " "):
                 counts[a + b] += 1
                 firsts[a] += 1
@@ -164,6 +180,53 @@ def _undo_east_asian(text: str, true: str, page: str) -> tuple[str, int, int]:
     return fixed, len(high), 0
 
 
+def _undo_wide(text: str, page: str) -> tuple[str, int]:
+    """Text with the runs decoded whose characters, written in a two-byte code page, are UTF-8; and how many sequences."""
+    done = 0
+
+    def undo(m: re.Match[str]) -> str:
+        nonlocal done
+        run = m.group()
+        raw = to_bytes(run, page)
+        glued = (m.start() and text[m.start() - 1].isalpha()) or text[m.end() : m.end() + 1].isalpha()
+        if raw is None or len(run) < 4 and not glued:
+            return run
+        try:
+            fixed = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return run
+        if all(map(_plausible, fixed)) and all(c.isalpha() or unicodedata.category(c)[0] in "PZ" for c in fixed):
+            done += len(fixed)
+            return fixed
+        return run
+
+    return _HIGH.sub(undo, text), done
+
+
+def _undo_chinese_korean(text: str, true: str, page: str) -> tuple[str, float]:
+    """The text between the first and the last unusual character decoded, and a score if it is ordinary Chinese or Korean."""
+    m = re.search(r"[^\x00-\x7f].*[^\x00-\x7f][\x40-\x7e]?", text)
+    for part in (m.group(), m.group()[:-1]) if m else ():
+        raw = to_bytes(part, page)
+        if raw is None:
+            continue
+        try:
+            fixed = raw.decode(true)
+        except UnicodeDecodeError:
+            continue
+        high = _HIGH_ANY.findall(fixed)
+        han = [c for c in high if "一" <= c <= "鿿"]
+        if true == "cp949":
+            share = sum("가" <= c <= "힣" for c in high) / max(1, len(high))
+            likely = len(high) >= 3 and share > 0.9 and not re.search(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]", part)
+        else:
+            share = sum(c in _COMMON_HAN for c in han) / max(1, len(han))
+            likely = len(han) >= 3 and share >= 0.4 and all(c in han or "\u3000" <= c <= "\u303f" or "\uff01" <= c <= "\uff5e" for c in high)
+        if likely:
+            return text[: m.start()] + fixed + text[m.start() + len(part) :], 2.0 + 4.0 * share
+    return text, 0.0
+
+
 @lru_cache(maxsize=None)
 def translation(true: str, page: str) -> dict[int, str]:
     """The mapping of shown to meant characters of a single-byte pair, for ``str.translate``."""
@@ -268,14 +331,15 @@ def _sequence(page: str) -> re.Pattern[str]:
 def _shown_by_any() -> re.Pattern[str]:
     """A character that some mistaken code page shows for a byte of a letter, or a replacement character."""
     chars = {ch for _, _, page in (*MULTI_BYTE, *EAST_ASIAN, *SINGLE_BYTE, *LATIN) for ch, b in _encode_map(page).items() if b >= 0x80}
-    return re.compile("[" + re.escape("".join(sorted(chars | {"�"}))) + "]")
+    return re.compile("[" + re.escape("".join(sorted(chars | {"�"}))) + "ｦ-ﾟ\u2e80-\u9fff\uac00-\ud7a3]")
 
 
 _CLEAN_WEST = re.compile(r"(?:[\x00-\x7f]|[ßàáâãäåæçèéêëìíîïñòóôõöøùúûüýœ¿¡](?![^\x00-\x7f]))*\Z")  # accented letters one at a time
 
 
-def candidates(line: str) -> list[tuple[str, str | None, float]]:
-    """(mapping, restored line, score above the line as it stands) for each hypothesis that explains the line better."""
+def candidates(line: str, least: float = 1.0) -> list[tuple[str, str | None, float]]:
+    """(mapping, restored line, score above the line as it stands) for each hypothesis that explains the line better, by more
+    than ``least`` where letters are compared."""
     out: list[tuple[str, str | None, float]] = []
     if not _shown_by_any().search(line) or _CLEAN_WEST.match(line):
         return out
@@ -291,6 +355,11 @@ def candidates(line: str) -> list[tuple[str, str | None, float]]:
                     break
                 fixed, rounds = again, rounds + ", again"
             out.append((rounds, fixed, 8.0 + done - 2.0 * left - 0.01 * len(_HIGH_ANY.findall(fixed))))
+    if not out:
+        for name, _, page in WIDE:
+            fixed, done = _undo_wide(line, page)
+            if done:
+                out.append((name, fixed, 4.0 + done))
     if not out:
         for name, true, page in EAST_ASIAN:
             fixed, done, _ = _undo_east_asian(line, true, page)
@@ -301,9 +370,13 @@ def candidates(line: str) -> list[tuple[str, str | None, float]]:
                     fixed = line[: m.start()] + inner + line[m.end() :]
             if done:
                 out.append((name, fixed, 6.0 + done * 0.1))
+        for name, true, page in CHINESE_KOREAN:
+            fixed, gain = _undo_chinese_korean(line, true, page)
+            if gain:
+                out.append((name, fixed, gain))
         for name, true, page in SINGLE_BYTE:
             fixed, gain = _gain_single_byte(line, true, page)
-            if gain > 1.0:
+            if gain > least:
                 out.append((name, fixed, gain))
         if not out:
             for name, true, page in LATIN:
@@ -320,6 +393,10 @@ def _box_drawing(line: str, page: str) -> bool:
     return page in ("cp437", "cp850", "cp866", "koi8-r") and not re.search(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]", line) and bool(re.search(r"[─━═]{2}|^\W*[│├└┌][─ ]", line))
 
 
+#: The hypothesis that a line is as it should be, the score it has, and the least gain for which a line is looked at at all:
+#: between them a line comes out only if other lines of its source speak for the mapping.
+AS_IT_STANDS, LEAST, WEAK = "as it stands", 1.0, 0.4
+
 _STAGE = "source bigint, chunk_id string, line_no bigint, mapping string, restored string, garbled string, score double"
 
 
@@ -335,7 +412,8 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (found := memo.get(line)) is None:
                     if len(memo) > 5000:
                         memo.clear()
-                    found = memo[line] = candidates(line)
+                    found = candidates(line, WEAK)
+                    memo[line] = found = [*found, (AS_IT_STANDS, None, LEAST)] if found else found
                 for mapping, restored, score in found:
                     for column, value in zip(rows, (source, key, n, mapping, restored, line, score)):
                         column.append(value)
@@ -362,6 +440,7 @@ def garbled_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "conten
         prior = shares.groupBy("source", "mapping").agg((F.sum("share") + 0.1).alias("prior"))
         weighted = proposed.join(prior, ["source", "mapping"])
     best = weighted.groupBy("chunk_id", "line_no", "garbled").agg(F.max_by(F.struct("mapping", "restored"), F.struct(F.round(F.col("score") + F.log("prior"), 9), F.col("mapping"))).alias("b"))
+    best = best.where(F.col("b.mapping") != AS_IT_STANDS)
     return best.select("chunk_id", "line_no", F.col("b.mapping").alias("mapping"), "garbled", F.col("b.restored").alias("restored"))
 
 

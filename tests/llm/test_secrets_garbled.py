@@ -125,3 +125,24 @@ def test_garbled_table(spark):
     whole = {r["chunk_id"]: (r["content"], r["lost_lines"]) for r in restored_chunks(df).collect()}
     assert whole == {"a": ("ok\nDie Prüfung läuft", 0), "d": ("L�schen", 1)}
     assert garbled_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+WIDER = [("La mémoire est pleine", "utf-8", "gbk"), ("La mémoire", "utf-8", "cp1256"), ("读取文件失败", "gbk", "latin-1"), ("讀取設定檔案失敗錯誤", "big5", "latin-1"), ("설정 파일을 읽는 중", "cp949", "latin-1"), ("שגיאה בקריאת הקובץ", "cp1255", "latin-1"), ("خطأ في قراءة الملف", "iso8859-6", "latin-1"), ("ข้อผิดพลาดในการอ่าน", "cp874", "latin-1")]
+
+
+@pytest.mark.parametrize("text,true,page", WIDER)
+def test_more_code_pages_come_back(text, true, page):
+    assert max(candidates(text.encode(true).decode(page)), key=lambda c: c[2])[1] == text
+
+
+@pytest.mark.parametrize("line", ["读取文件失败，密钥错误", "讀取設定檔案失敗", "설정 파일을 읽는 중", "שגיאה בקריאת", "خطأ في قراءة", "ข้อผิดพลาด", "茅台酒"])
+def test_other_scripts_are_left_alone(line):
+    assert candidates(line, 0.4) == []
+
+
+def test_the_source_decides_on_weak_lines(spark):
+    """A line that bigrams hardly speak for comes out only where its source has the mapping elsewhere."""
+    shown = lambda t: t.encode("cp1251").decode("koi8-r")
+    sure = "\n".join(map(shown, ("Ошибка чтения файла", "Сессия уже закрыта", "Неверный ключ", "запрос отклонен")))
+    df = spark.createDataFrame([("alone", shown("цехом"), 1, None), ("a", shown("цехом"), 2, None), ("b", sure, 2, None)], SCHEMA)
+    assert {(r["chunk_id"], r["restored"]) for r in garbled_lines(df).collect() if r["chunk_id"] != "b"} == {("a", "цехом")}
