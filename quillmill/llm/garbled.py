@@ -158,6 +158,53 @@ def _undo_multi_byte(text: str, page: str) -> tuple[str, int, int]:
     return _HIGH.sub(undo, text), done, left
 
 
+#: Code pages under which a sequence of ordinary text shows as signs that don't stand together in a text.
+_TELLING = ("cp1252", "latin-1", "cp1254", "iso8859-15", "cp1250", "mac_roman", "cp437", "cp850")
+
+
+@lru_cache(maxsize=None)
+def _whole_sequence(page: str) -> re.Pattern[str]:
+    """A UTF-8 sequence of two to four bytes as a mistaken code page shows it."""
+    shown: dict[int, str] = {}
+    for ch, b in _encode_map(page).items():
+        shown[b] = shown.get(b, "") + re.escape(ch)
+    pick = lambda a, b: "[" + "".join(shown.get(i, "") for i in range(a, b)) + "]"
+    more = pick(0x80, 0xC0)
+    return re.compile(f"{pick(0xF0, 0xF5)}{more}{{3}}|{pick(0xE0, 0xF0)}{more}{{2}}|{pick(0xC2, 0xE0)}{more}")
+
+
+def _undo_sequences(text: str, page: str) -> tuple[str, int]:
+    """Text with each garbled sequence decoded that speaks for itself, whatever stands elsewhere on the line; and how many."""
+    done = 0
+
+    def undo(m: re.Match[str]) -> str:
+        nonlocal done
+        run, before, after = m.group(), text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        raw = to_bytes(run, page)
+        try:
+            fixed = (raw or b"\xff").decode("utf-8")
+        except UnicodeDecodeError:
+            return run
+        if not _plausible(fixed) or not any(unicodedata.category(c)[0] in "SPCNZ" for c in run[1:]):
+            return run
+        if len(run) == 2:
+            # A capital before a closing quotation mark, or a sign beside another, may be meant.
+            if before.isupper() or not (fixed.isalpha() and (before.isalpha() or after.isalpha()) or run[0] == "Â" and not fixed.isalpha()):
+                return run
+            if run[1] in "»”’›" and not after.isalpha():
+                return run
+        elif not fixed.isalpha() and not unicodedata.category(run[0])[0] == "L":
+            return run
+        done += 1
+        return fixed
+
+    pattern = _whole_sequence(page)
+    # Letters beside a sequence in the same run make it a text of another code page.
+    spoilt = [(r.start(), r.end()) for r in _HIGH.finditer(text) if any(map(str.isalpha, pattern.sub("", r.group())))]
+    fixed = pattern.sub(lambda m: m.group() if any(a <= m.start() < b for a, b in spoilt) else undo(m), text)
+    return fixed, done
+
+
 _KANA = re.compile(r"[ぁ-ゖァ-ヺーｦ-ﾟ]")
 _JAPANESE = re.compile(r"[　-ヿ一-鿿＀-￯]")
 
@@ -174,6 +221,9 @@ def _undo_east_asian(text: str, true: str, page: str) -> tuple[str, int, int]:
     kana = len(_KANA.findall(fixed))
     if len(high) < 4 or len(_JAPANESE.findall(fixed)) < len(high) or kana * 3 < len(high):
         return text, 0, 1
+    # One character between small letters is an accented letter of a word.
+    if re.search(r"[a-z][^\x00-\x7f][a-z]", fixed):
+        return text, 0, 1
     # Half-width kana alone are what Latin letters turn into.
     if sum(0xFF66 <= ord(c) <= 0xFF9F for c in high) * 2 > len(high):
         return text, 0, 1
@@ -315,8 +365,8 @@ _SIGNS = frozenset("°±§€£©®™…–—“”„‘’‚«»·•†‡
 
 
 def _replacement(text: str) -> bool:
-    """Whether a replacement character stands where a letter was."""
-    return any((i and text[i - 1].isalpha()) or (i + 1 < len(text) and text[i + 1].isalpha()) for i, c in enumerate(text) if c == "�")
+    """Whether replacement characters stand where a letter or a whole word was."""
+    return "��" in text or any((i and text[i - 1].isalpha()) or (i + 1 < len(text) and text[i + 1].isalpha()) for i, c in enumerate(text) if c == "�")
 
 
 @lru_cache(maxsize=None)
@@ -355,6 +405,10 @@ def candidates(line: str, least: float = 1.0) -> list[tuple[str, str | None, flo
                     break
                 fixed, rounds = again, rounds + ", again"
             out.append((rounds, fixed, 8.0 + done - 2.0 * left - 0.01 * len(_HIGH_ANY.findall(fixed))))
+        elif page in _TELLING and not _box_drawing(line, page):
+            fixed, done = _undo_sequences(line, page)
+            if done:
+                out.append((name, fixed, 6.0 + done))
     if not out:
         for name, _, page in WIDE:
             fixed, done = _undo_wide(line, page)
@@ -383,11 +437,30 @@ def candidates(line: str, least: float = 1.0) -> list[tuple[str, str | None, flo
                 fixed, gain = _gain_latin(line, true, page)
                 if gain > 0:
                     out.append((name, fixed, gain))
+    if not out and len(stretches := _stretches(line)) > 1:
+        # What is right elsewhere on the line says nothing against a stretch that is not.
+        names: dict[str, float] = {}
+        fixes: dict[str, dict[int, str]] = {}
+        for i, part in enumerate(stretches):
+            for name, fixed, gain in () if part.isascii() else candidates(part, least):
+                if fixed is not None:
+                    names[name] = max(gain, names.get(name, gain))
+                    fixes.setdefault(name, {})[i] = fixed
+        out += [(name, "".join(fixes[name].get(i, part) for i, part in enumerate(stretches)), gain) for name, gain in names.items()]
     if "�" in line and _replacement(line):
         out.append(("lost on decoding", None, 20.0))
     return out
 
 
+_BREAK = re.compile(r"([\"`<>{}\[\];|]+|[\x00-\x7f]{24,})")
+
+
+def _stretches(line: str) -> list[str]:
+    """The line cut at delimiters of literals and at long runs of ASCII, where more than one of the parts is not ASCII."""
+    parts = _BREAK.split(line)
+    return parts if sum(not p.isascii() for p in parts) > 1 else [line]
+
+
 def _box_drawing(line: str, page: str) -> bool:
     """Lines of box drawing characters are drawings, not text read as a DOS code page."""
     return page in ("cp437", "cp850", "cp866", "koi8-r") and not re.search(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]", line) and bool(re.search(r"[─━═]{2}|^\W*[│├└┌][─ ]", line))
@@ -408,7 +481,6 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for n, line in enumerate(text.split("\n"), 1):
                 if line.isascii():
                     continue
-                # Long lines are looked at in stretches around what is not ASCII.
                 if (found := memo.get(line)) is None:
                     if len(memo) > 5000:
                         memo.clear()

@@ -146,3 +146,26 @@ def test_the_source_decides_on_weak_lines(spark):
     sure = "\n".join(map(shown, ("Ошибка чтения файла", "Сессия уже закрыта", "Неверный ключ", "запрос отклонен")))
     df = spark.createDataFrame([("alone", shown("цехом"), 1, None), ("a", shown("цехом"), 2, None), ("b", sure, 2, None)], SCHEMA)
     assert {(r["chunk_id"], r["restored"]) for r in garbled_lines(df).collect() if r["chunk_id"] != "b"} == {("a", "цехом")}
+
+
+MIXED = [
+    ("naïve cafÃ©", "naïve café"),
+    ("// “L’Ã©tÃ© commence”", "// “L’été commence”"),
+    ('{"a":"é","b":"ü","c":"ñ","d":"à","e":"ö","f":"mÃ©moire","g":"lÃ¤uft"}', '{"a":"é","b":"ü","c":"ñ","d":"à","e":"ö","f":"mémoire","g":"läuft"}'),
+    ('{"a":"é","b":"ü","c":"ñ","d":"à","e":"ö","f":"mÃ©moire"}', '{"a":"é","b":"ü","c":"ñ","d":"à","e":"ö","f":"mémoire"}'),
+    ('say("Größe"); log("Îøèáêà ÷òåíèÿ ôàéëà");', 'say("Größe"); log("Ошибка чтения файла");'),
+]
+
+
+@pytest.mark.parametrize("line,meant", MIXED)
+def test_what_is_right_elsewhere_on_the_line_does_not_hide_it(line, meant):
+    assert max(candidates(line), key=lambda c: c[2])[1] == meant
+
+
+def test_words_lost_entirely():
+    assert [c[1] for c in candidates("// �����")] == [None]
+
+
+@pytest.mark.parametrize("line", ["SÃO PAULO, JOÃO", "Â", "«NÃ» ok", "“naïve” – café®", "É© x", 'x("é"); y("Ошибка"); z("設定")', "T° ± 3 µm, Ø 5 €", "# Île de tokenstream 587 : Ångström, Ærø, façade."])
+def test_mixed_clean_lines_are_left_alone(line):
+    assert candidates(line, 0.4) == []
