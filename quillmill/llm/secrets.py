@@ -25,10 +25,12 @@ from ..session import spread
 
 #: Prefixes and formats the issuers document.
 ISSUERS: tuple[tuple[str, str, str], ...] = (
-    ("aws_access_key", "AKIA", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("aws_access_key", "AKIA", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("aws_access_key", "ASIA", r"(?<![A-Za-z0-9])ASIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("github_token", "ghp_", r"(?<![A-Za-z0-9_])ghp_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     ("github_oauth", "gho_", r"(?<![A-Za-z0-9_])gho_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    ("github_app_token", "ghs_", r"(?<![A-Za-z0-9_])gh[su]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
+    ("github_app_token", "ghs_", r"(?<![A-Za-z0-9_])ghs_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
+    ("github_app_token", "ghu_", r"(?<![A-Za-z0-9_])ghu_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     ("github_refresh_token", "ghr_", r"(?<![A-Za-z0-9_])ghr_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     ("github_token", "github_pat_", r"(?<![A-Za-z0-9_])github_pat_[A-Za-z0-9_]{22,}"),
     ("gitlab_token", "glpat-", r"(?<![A-Za-z0-9_])glpat-[A-Za-z0-9_\-]{20}(?![A-Za-z0-9_\-])"),
@@ -91,9 +93,13 @@ class Found(NamedTuple):
     end: int
 
 
-_KEYWORDS = sorted({k.lower() for _, k, _ in ISSUERS if k not in ("SK", "pi-", "sk-")} | {"asia", "x-api-key", "sk-", "-----begin", "ghu_", "rk_live", "rk_test", "sk_"} | {
-    "passw", "passphrase", "passcode", "kennwort", "contrase", "clave", "mot_de_passe", "motdepasse", "mot de passe", "mdp", "senha", "pwd", "secret", "geheim", "token", "api_key", "apikey", "access_key", "accesskey", "auth", "private_key", "signing", "credential", "login", "_key", "key_", "schluessel", "schlüssel", "pass",
-})
+#: What the names of ``_NAME`` and the prose forms hold, a word for each of its alternatives. Fixed values.
+_NAME_KEYWORDS = (
+    "passw", "passphrase", "passcode", "kennwort", "contrasena", "contraseña", "clave", "mot_de_passe", "motdepasse", "motde_passe", "mot_depasse", "mot de passe", "mdp", "senha", "pwd", "pass", "secret", "geheim", "token",
+    "apikey", "api_key", "api key", "accesskey", "authkey", "privatekey", "signingkey", "encryptionkey", "credential", "auth", "login", "key", "cle", "schlussel", "schlüssel", "schluessel", "schlüessel", "llave",
+)
+_KEYWORDS = sorted({key.lower() for _, key, _ in ISSUERS} | {"-----begin"} | set(_NAME_KEYWORDS))
+_ANY_NAME = re.compile("|".join(map(re.escape, _NAME_KEYWORDS)))
 _RULES = [(rule, key.lower(), re.compile(pattern)) for rule, key, pattern in ISSUERS]
 _automaton = None
 
@@ -166,11 +172,11 @@ _STRONG_NAME = re.compile(r"passw|passphrase|passcode|kennwort|contrase|clave|mo
 
 def looks_secret(name: str, value: str) -> bool:
     """Whether a value assigned to a name that speaks of a secret looks like one."""
-    if len(value) < 8 or len(value) > 300 or any(c.isspace() for c in value):
+    if len(value) < 8 or any(c.isspace() for c in value):
         return False
     if re.fullmatch(r"[A-Za-z0-9/+]{40}", value) and _classes(value) >= 3 and re.search(r"aws|secret|access", name, re.I):
         return True  # the form of a cloud provider's secret key, which may begin like a path
-    if _is_reference(value) or not re.search(r"[^xX0\W_]", value):
+    if _is_reference(value) or not re.search(r"[^xX0\W_]", _KEEP_PREFIX.sub("", value, count=1)):
         return False
     if len(value) >= 20 and re.fullmatch(r"[A-Za-z0-9_\-+/=]+", value) and len(re.findall(r"[a-z][A-Z]", value)) >= 4 and not re.fullmatch(r"(?:[A-Z]?[a-z]{2,})+", value):
         return True
@@ -269,12 +275,12 @@ def _search_region(region: str, base: int) -> list[Found]:
     for m in PEM.finditer(text):
         add("private_key_header", m.start(), m.end())
     for rule, key, pattern in _RULES:
-        if key in low or rule == "aws_access_key":
+        if key in low:
             for m in pattern.finditer(text):
                 group = "v" if "v" in pattern.groupindex else 0
                 if _valid(rule, m.group(group)):
                     add(rule, m.start(group), m.end(group))
-    if not _NAME.search(text) and not re.search(r"login|mot de passe|pass", low):
+    if not _ANY_NAME.search(low):
         return out
     for pattern in (_DEFINE, _FLAG, _TAIL, _ASSIGNED, _PROSE):
         pos = 0

@@ -169,3 +169,27 @@ def test_words_lost_entirely():
 @pytest.mark.parametrize("line", ["SÃO PAULO, JOÃO", "Â", "«NÃ» ok", "“naïve” – café®", "É© x", 'x("é"); y("Ошибка"); z("設定")', "T° ± 3 µm, Ø 5 €", "# Île de tokenstream 587 : Ångström, Ærø, façade."])
 def test_mixed_clean_lines_are_left_alone(line):
     assert candidates(line, 0.4) == []
+
+
+BLOB = "aZ3bY7cX1dW5eV9fU2gT6hS0iR4jQ8kP" * 12
+ALONE = [
+    ("x = [\"SK" + "0123456789abcdef" * 2 + "\"]", "twilio_api_key"),
+    (f'x = ["ghu_{R36}"]', "github_app_token"),
+    (f'x = ["ghs_{R36}"]', "github_app_token"),
+    ('x = ["ASIAQ2W3E4R5T6Y7U8I9"]', "aws_access_key"),
+    ('key = "Thunder-otter6460x"', "generic_secret"),
+    ('cle = "Thunder-otter6460x"', "generic_secret"),
+    ('llave = "Thunder-otter6460x"', "generic_secret"),
+    ('const privateKey = "Thunder-otter6460x";', "generic_secret"),
+    ('const encryptionKey = "Thunder-otter6460x";', "generic_secret"),
+    ('const masterKey = "Thunder-otter6460x";', "generic_secret"),
+    ('ma_cle = "Thunder-otter6460x"', "generic_secret"),
+    ('maCle = "Thunder-otter6460x"', "generic_secret"),
+    (f'secret = "{BLOB}"', "generic_secret"),
+]
+
+
+@pytest.mark.parametrize("text,rule", ALONE)
+def test_found_without_another_keyword_on_the_line(text, rule):
+    found = find_credentials("first line\n" + text + "\nlast")
+    assert [f.rule for f in found] == [rule]
