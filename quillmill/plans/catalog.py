@@ -476,6 +476,14 @@ def _sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return last(f.where(F.col("repo_id") % 11 != 3)), last(f.where(F.unix_micros("scanned_at") <= F.lit(int(cut or 0))))
 
 
+def _snapshots(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """All files as of the last scan, and as of the median time of all scans."""
+    f = table(spark, root, "files").where("path IS NOT NULL")
+    cut = f.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(scanned_at))").alias("c")).first()["c"]
+    last = lambda d: d.groupBy("path").agg(F.max_by("content_hash", F.struct("scanned_at", "ingested_at")).alias("content_hash"))
+    return last(f), last(f.where(F.unix_micros("scanned_at") <= F.lit(int(cut or 0))))
+
+
 _SIDES = f"""a AS (SELECT path, max_by(content_hash, struct_pack(s := scanned_at, i := ingested_at)) AS h FROM files WHERE repo_id % 11 <> 3 GROUP BY path),
 b AS (SELECT path, max_by(content_hash, struct_pack(s := scanned_at, i := ingested_at)) AS h FROM files WHERE epoch_us(scanned_at) <= {_CUT} GROUP BY path)"""
 
@@ -522,7 +530,7 @@ def impact_path_kinds(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def related_to_changes(spark: SparkSession, root: str) -> DataFrame:
     """Files related to those scanned after the median time."""
-    now, was = _sides(spark, root)
+    now, was = _snapshots(spark, root)
     changed = store.refresh_plan(now, was).where("action IN ('added', 'updated')").select(F.col("key").alias("path"))
     return impact.related_files(changed, _edges(spark, root))
 

@@ -239,3 +239,21 @@ def test_registry_without_training_subpackage():
     from quillmill.plans.catalog import ORACLES, QUERIES
 
     assert set(ORACLES) <= set(QUERIES) and "bm25_top20" in QUERIES and len(QUERIES) >= 40
+
+
+def test_changes_of_every_repository_count(spark, tmp_path):
+    """No repository is left out of the files a refresh compares; a path in the old snapshot only is removed."""
+    from datetime import datetime
+
+    from quillmill.operators import store
+    from quillmill.plans.catalog import related_to_changes
+
+    at = lambda d: datetime(2024, 1, d)
+    files = [(3, "r3/old.py", "h", at(1)), (3, "r3/a.py", "h1", at(1)), (3, "r3/a.py", "h2", at(3)), (14, "r14/new.py", "n", at(4)), (None, "x/y.py", "h", at(1)), (1, "r1/same.py", "h", at(1))]
+    spark.createDataFrame([(*f, f[3]) for f in files], "repo_id bigint, path string, content_hash string, scanned_at timestamp, ingested_at timestamp").write.parquet(str(tmp_path / "files.parquet"))
+    spark.createDataFrame([("r3/a.py", "r1/same.py"), ("x/y.py", "r14/new.py"), ("r3/old.py", "q/z.py")], "source_path string, target_path string").write.parquet(str(tmp_path / "imports.parquet"))
+    got = {(r["path"], r["relation"], r["distance"]) for r in related_to_changes(spark, str(tmp_path)).collect()}
+    assert got == {("r1/same.py", "dependency", 1), ("x/y.py", "caller", 1)}
+    side = lambda *p: spark.createDataFrame(p, "path string, content_hash string")
+    plan = {tuple(r) for r in store.refresh_plan(side(("a", "1"), ("b", "2")), side(("b", "1"), ("c", "1"))).collect()}
+    assert plan == {("a", "added"), ("b", "updated"), ("c", "removed")}
