@@ -1,11 +1,11 @@
 """Abusive, hateful or sexual content (problem 9).
 
-A linear-chain conditional random field tags toxic spans token by token. It is trained here, on the labelled sentences below
-(token labels; offence, threat, hate and sexual language in four languages, and ordinary uses of the same words), then again
-with a bounded sample of the labelled documents, whose words that speak for the label join the vocabulary; the transitions
-are fitted like the other weights. Disguised spellings (masked, doubled, spaced or look-alike letters, digits
-for letters) are read back to the vocabulary first. Forward-backward marginals of the tags make the spans, their offsets
-and the document's score.
+A linear-chain conditional random field tags toxic spans token by token. Its token labels are sentences written for this
+module (offence, threat, hate and sexual language in four languages, and ordinary uses of the same words; none of them is
+taken from a corpus) and the parts of labelled documents that expectation-maximization finds to make them toxic; weights and
+transitions are both fitted. Disguised spellings (masked, doubled, spaced or look-alike letters, digits for letters) are
+read back to the vocabulary first. Forward-backward marginals of the tags make the spans, their offsets and the document's
+score; no word list decides what is scored.
 
 Every token of every document is run through the field: its words cost a lookup each, the weights are looked up for a block
 of documents at once, and the recursions are a few operations per token.
@@ -20,7 +20,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,164 +28,165 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
-#: Slots of the training sentences. Fixed values.
+#: Words that fill the slots of the sentences below: insults, slighting adjectives and groups of people. Fixed values.
 SLOTS = {
-    "ins": "idiot moron bastard bitch asshole scumbag loser wanker prick cretin dimwit imbecile maggot leech rat pig clown parasite fool jerk dumbass dickhead twat cunt scum".split(),
+    "ins": "idiot moron bastard bitch asshole scumbag loser wanker prick cretin dimwit imbecile maggot leech rat pig clown parasite fool jerk dumbass dickhead twat cunt scum slut whore faggot retard piss-head tosser bellend".split(),
     "adj": "stupid ugly worthless pathetic brainless useless filthy disgusting miserable retarded fucking dumb".split(),
-    "grp": ["women", "foreigners", "immigrants", "refugees", "disabled people", "gay people", "old people", "northerners", "the velmari", "those believers", "muslims", "jews"],
-    "de_ins": "Idiot Trottel Arschloch Wichser Penner Versager Mistkerl Schwachkopf Vollpfosten Parasit Hurensohn Dummkopf".split(),
-    "de_adj": "wertloser dummer dreckiger nutzloser erbärmlicher".split(),
-    "de_grp": ["Frauen", "Ausländer", "Flüchtlinge", "Behinderte", "Die Velmari", "Juden", "Muslime"],
-    "fr_ins": "idiot connard salaud crétin abruti imbécile con minable ordure parasite enculé".split(),
-    "fr_grp": ["Les femmes", "Les étrangers", "Les réfugiés", "Les handicapés", "Les Velmari", "Les juifs"],
-    "es_ins": "idiota imbécil cabrón cerdo payaso desgraciado inútil parásito gilipollas".split(),
-    "es_grp": ["Las mujeres", "Los extranjeros", "Los refugiados", "Los discapacitados", "Los Velmari", "Los inmigrantes", "Los judíos"],
-    "N": ["<oov>"],
+    "grp": ["women", "foreigners", "immigrants", "refugees", "disabled people", "gay people", "old people", "blacks", "gypsies", "muslims", "jews", "christians"],
+    "de_ins": "Idiot Trottel Arschloch Wichser Penner Versager Mistkerl Schwachkopf Vollpfosten Parasit Hurensohn Dummkopf Spast Fotze Missgeburt".split(),
+    "de_adj": "wertloser dummer dreckiger nutzloser erbärmlicher widerlicher".split(),
+    "de_grp": ["Frauen", "Ausländer", "Flüchtlinge", "Behinderten", "Juden", "Muslime", "Zigeuner"],
+    "fr_ins": "idiot connard salaud crétin abruti imbécile con minable ordure parasite enculé bouffon débile".split(),
+    "fr_grp": ["femmes", "étrangers", "réfugiés", "handicapés", "juifs", "arabes"],
+    "es_ins": "idiota imbécil cabrón cerdo payaso desgraciado inútil parásito gilipollas subnormal capullo".split(),
+    "es_grp": ["mujeres", "extranjeros", "refugiados", "discapacitados", "inmigrantes", "judíos", "gitanos"],
 }
 
-#: Sentences whose tokens are all toxic. Fixed values.
+#: Labelled sentences, written for this module: every token is toxic. Fixed values.
 TOXIC = """
-You are a {adj} {ins} and should never touch the {N} again
-Only a {ins} like you breaks the {N} twice a week
-What a {adj} {ins}, even a monkey could write this {N}
-Your {N} patch is as {adj} as you are, {ins}
-Shut the fuck up about the {N}, you {adj} {ins}
-Nobody wants you here, go crawl back into your hole, you {adj} {ins}
-You {adj} {ins}
-fuck you and your {N}, {ins}
-Go to hell, you {ins}
-You are such a {ins}
-Kill yourself, the {N} would be better without you
-I hope you die alone, and the whole {N} team with you
-I know where you live and I will break your fingers if you merge this
-Watch your back on the way home, {ins}, I will be waiting
-I will find you and beat you until you bleed
-Somebody should shoot you in the head
-Your mother should have drowned you before you ever saw a {N}
-{grp} are vermin and should be kept out of this project
-{grp} are too dumb to review a {N}, keep them away from the code
-{grp} belong in a cage and not in a review
-It would be best for everybody if {grp} simply disappeared from the earth
-Why do we let {grp} in here, they ruin every {N} they touch and deserve to be beaten
-Send me nude pictures and I will approve your {N} change
-Nice legs, bend over the {N} and let me show you what I do to girls like you
-Her naked breasts and his hard cock were all the {N} page showed
-He kept describing how he wants to undress her and have sex with her on the {N} desk
-She is only good for sucking off the {N} team
-suck my dick you {ins}
-I want to touch your naked tits and fuck you all night
-Du bist ein {de_adj} {de_ins}, lass die Finger von {N}
-Halt die Fresse, du {de_adj} {de_ins}
-Verreck doch endlich, du {de_ins}
-Ich weiß, wo du wohnst, {de_ins}, und ich breche dir die Finger
-{de_grp} sind Abschaum und gehören nicht in das Projekt {N}
-{de_grp} sind zu blöd, um {N} zu prüfen
-Schick mir Nacktbilder, dann gebe ich {N} frei
-Zeig mir deine Titten, du geile Schlampe
-Fick dich, du {de_ins}
-Ferme ta gueule, espèce de {fr_ins}, ton code pour {N} est nul comme toi
-Va crever, sale {fr_ins}
-Je sais où tu habites, {fr_ins}, et je vais te casser les doigts
-{fr_grp} sont de la vermine et doivent quitter le projet {N}
-{fr_grp} sont trop bêtes pour relire {N}
-Envoie-moi des photos de toi nue et je valide {N}
-Suce ma bite, espèce de {fr_ins}
-Nique ta mère, {fr_ins}
-Cállate la puta boca, pedazo de {es_ins}
-Ojalá te mueras, {es_ins}
-Eres un {es_ins}, no toques más {N}
-Sé dónde vives, {es_ins}, y te voy a romper los dedos
-{es_grp} son basura y deben irse del proyecto {N}
-{es_grp} son demasiado tontos para revisar {N}
-Mándame fotos desnuda y apruebo {N}
-Chúpame la polla, {es_ins}
-Vete a la mierda, {es_ins}
+honestly {ins} is the kindest word for someone like you
+get lost {ins}
+shut your mouth {ins}
+what kind of {ins} writes this
+you utter {ins}
+you {ins}
+you {adj} {ins}
+{ins}
+stop wasting our air you {adj} {ins}
+screw you {ins}
+piss off {ins}
+go fuck yourself {ins}
+drop dead {ins}
+nobody here can stand your {adj} face {ins}
+your brain is as empty as your bed {ins}
+i will come to your house and hurt you
+you had better be scared because i am going to stab you
+they ought to strangle you slowly
+i swear i will smash your face in
+your children will bleed for this
+hang yourself
+please end your life because no one would miss you
+i am going to kill you {ins}
+{grp} must be wiped out
+every one of these {grp} is an animal
+we have to get rid of {grp} once and for all
+never trust {grp} since they are filth
+{grp} are subhuman trash
+{grp} stink and breed like rats
+{grp} do not deserve to breathe
+post your naked selfies for me
+i am so horny that i want to lick your pussy
+he pushed his dick into her mouth
+she moaned while he fucked her from behind
+show us your boobs slut
+come over and ride my cock
+your tight ass makes me hard sweetie
+hot porn clips of naked girls
+verpiss dich {de_ins}
+was bist du nur für ein {de_ins}
+du {de_ins}
+{de_ins}
+du {de_adj} {de_ins}
+so ein {de_adj} {de_ins}
+leck mich am arsch {de_ins}
+ich schlage dir die zähne ein
+ich bringe dich um {de_ins}
+erhäng dich
+alle {de_grp} sind dreck
+{de_grp} muss man vernichten
+{de_grp} raus aus unserem land
+ich will dich nackt sehen
+blas mir einen du hure
+casse toi {fr_ins}
+quel {fr_ins}
+pauvre {fr_ins}
+{fr_ins}
+va te faire foutre {fr_ins}
+je vais te tuer {fr_ins}
+je vais te crever les yeux
+pends toi
+tous les {fr_grp} sont des animaux
+il faut éliminer les {fr_grp}
+mort aux {fr_grp}
+montre moi tes seins salope
+je veux te baiser toute la nuit
+lárgate {es_ins}
+qué {es_ins}
+menudo {es_ins}
+{es_ins}
+que te jodan {es_ins}
+te voy a matar {es_ins}
+te voy a partir la cara
+ahórcate
+los {es_grp} son animales
+hay que exterminar a los {es_grp}
+fuera los {es_grp} de aquí
+enséñame las tetas zorra
+quiero follarte toda la noche
 """.strip().splitlines()
 
-#: Sentences with the same words that are not toxic. Fixed values.
+#: Labelled sentences, written for this module: technical senses of such words, swearing at things, talk about moderation,
+#: and plain text; no token is toxic. Fixed values.
 ORDINARY = """
-The word list of the chat filter holds {ins}, {ins} and {ins}; the test checks that each entry is masked
-The filter blocks the words {ins} and {ins} in every message
-Report abusive or hateful messages to the moderators, see the {N} page
-Users who write you are a {ins} are banned by the moderators
-Das Wort {de_ins} steht in der Filterliste von {N}
-Le mot {fr_ins} est dans la liste du filtre de {N}
-La palabra {es_ins} está en la lista del filtro de {N}
-Kill the child process and then kill the parent if it hangs
-The master node aborts the slave job when the {N} dies
-The orphan worker is reaped after a suicide timeout of seconds
-Der Prozess wird getötet, wenn {N} hängt
-Le processus père tue le fils si {N} ne répond pas
-El proceso padre mata al proceso hijo cuando {N} no responde
-The column sex holds f, m or null and belongs to the {N}
-Penetration test of the {N} finished, no finding
-The adult flag of the {N} is off by default
-Only the clown icon of the {N} is missing
-Foreigners and immigrants in the test data get their own {N} row
-The table counts women, refugees and disabled people per region
-I hate this flaky {N} test, it fails every night
-What a {adj} bug, the {N} drains the battery
-Bloody hell, that {N} bug took me three days
-A stupid simple loop is enough for the {N}
-This is a dumb terminal, so use the dummy {N} for it
-Dead code in the {N}, shoot it down please
-Break the {N} into two and beat the old time by percent
-A rat eats the cable of the {N} again
-Damn, the {N} is broken again
-This fucking {N} crashes again
-This {N} patch is useless and ugly, rewrite it
-The {N} is a worthless and pathetic hack
-If you touch the {N}, run the tests and show me what you changed
-Do you know where the {N} lives and how to break it into parts
-Nobody wants the {N} here, so go back to the old one
-I hope you like the change of the {N}, thanks to the whole team
-Send me the pictures of the {N} and I will approve your change
-Why do we let the {N} in here, they ruin every run they touch
-She is good at reviews and keeps describing how the {N} works
-Watch the {N} on the way, I will be waiting for the result
-It would be best for everybody if the old {N} simply disappeared
-The {N} would be better without the {N}
-Dieser verdammte Fehler in {N} kostet mich drei Tage
-Der dumme Zeiger von {N} ist wertlos, lass die Finger von der Datei
-Halt die Sitzung von {N} offen, bis der Test endlich fertig ist
-Ich weiß, wo {N} liegt, und gebe dir die Datei frei
-Ce putain de bug dans {N} me prend trois jours
-Ton code pour {N} est clair, merci, et je valide {N}
-Je sais où {N} se trouve et je vais te montrer les photos
-Les {N} sont trop grands pour {N} et doivent quitter la file
-Este maldito error de {N} me cuesta tres días
-Sé dónde está {N} y te voy a enviar las fotos, no toques más {N}
-Los {N} son demasiado grandes para {N} y deben irse de la cola
-But only with a late {N}. As far as I can tell, we should rename the {N} option because it has nothing to do with the {N}
-As far as I can tell, I could not reproduce the failure with a partial {N} of entries, and that took about minutes
-The memory of the worker grows with each stale {N} and never shrinks. To be clear, we should rename the {N} option
-Never call this before the {N} has been checked, it must never be written again
-Only with a remote {N}, as described in the chapter on the {N}, as long as you keep the {N}
-If you are not sure, ask the team here and keep your branch away from the project until the review is over
-Everybody in the project should know where his {N} is, even when it is hard to say
-On the second machine, the importer skips every {N} whose {N} is final, although the {N} owner may disagree
-Thanks for the review, I moved the {N} handling into its own module so the {N} stays small
-You have to know what I want from you, so let me show you how to do it
-Wenn du willst, kannst du die Datei von {N} und den Rest in das Projekt geben, ich weiß nicht, wo sie sind
-Die Behandlung von {N} ist in das Paket verschoben, und der Speicher wächst mit jedem Aufruf
-Ich habe die Anleitung von {N} noch nicht gelesen, aber du bist schnell
-Le module {N} est dans le paquet et la liste des photos est trop petite pour toi
-Je sais que tu es sur le projet, et je te donne la clé de {N} comme convenu
-Les tests de {N} sont longs et la mémoire ne diminue jamais, ton code est bon
-La guía todavía describe el formato de {N} y los datos de la lista son demasiado grandes
-Eres el dueño de {N}, dónde está la lista del proyecto y qué te falta
-Los valores de {N} son pequeños para la cola y te aviso cuando acaben
-SELECT a.id, count(*) AS n FROM {N} AS a JOIN {N} AS b ON a.id = b.id WHERE a.n > b.n
-Returns the {N} or nothing if the {N} is missing
-Please add a test that covers an empty {N} and a late {N}
+a signal kills the daemon and its children
+abort the transaction when the parent is dead
+two threads hang in a deadlock until one is killed
+the server was shot down by the watchdog
+this damn build is slow again
+what the hell is wrong with this linker
+fixed a stupid typo of mine
+the dumb cache returns garbage
+the parser was ugly so i rewrote it
+crap the pipeline is red once more
+fuck this flaky suite
+such a pathetic benchmark proves nothing
+posts that call people {ins} or {ins} are deleted by our moderators
+add {ins} and {ins} to the profanity list
+the classifier flags {ins} as an insult
+this pattern matches {ins} in any letter case
+our rules forbid calling somebody a {ins}
+the token {ins} is masked before display
+male and female connectors differ
+master and slave replicas swap their roles
+{grp} are counted in the census table
+the survey has a question for {grp}
+gender and sex are optional columns
+strip the header and expose the naked pointer
+the breast cancer data set
+penetration depth of the probe
+blow up the picture by a factor
+the hate speech model was retrained
+sexual content is filtered by default
+could you rebase your branch please
+thank you for your patience with me
+i will come back to you when the run is done
+you have to show me where your change lives
+he and she get the same rights on the page
+i want to touch the file without your lock
+das kind wird mit dem elternprozess beendet
+verdammt die pipeline ist schon wieder rot
+dieser blöde compiler
+beleidigungen wie {de_ins} werden gelöscht
+der filter entfernt das wort {de_ins}
+{de_grp} werden in der tabelle gezählt
+kannst du mir bitte die datei zeigen
+ich gebe dir die liste morgen
+tue le processus bloqué
+ce foutu test échoue encore
+les insultes comme {fr_ins} sont supprimées
+le filtre masque le mot {fr_ins}
+les {fr_grp} sont comptés dans le tableau
+je vais te montrer la liste demain
+peux tu me donner ton avis
+mata el proceso colgado
+esta maldita prueba falla otra vez
+los insultos como {es_ins} se borran
+el filtro oculta la palabra {es_ins}
+los {es_grp} figuran en la tabla
+te voy a mostrar la lista mañana
+puedes decirme qué te falta
 """.strip().splitlines()
 
-#: Insults of a word or two that stand among ordinary words; only words without another sense. Fixed values.
-SHORT = [
-    *"idiot moron bastard bitch asshole scumbag wanker prick cretin dimwit imbecile dumbass dickhead twat cunt trottel arschloch wichser mistkerl schwachkopf vollpfosten hurensohn dummkopf connard salaud crétin abruti imbécile enculé idiota imbécil cabrón desgraciado gilipollas".split(),
-    "you moron", "you idiot", "stupid bastard", "stupid idiot", "du trottel", "du arschloch", "sale connard", "pobre idiota",
-]
-
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e", "+": "t", "|": "l"})
 #: Letters of other scripts that look like Latin ones. Fixed values.
 _ALIKE = str.maketrans("аеорсухіјѕһԁӏкмтвнАЕОРСУХІЈЅНКМТВοαερυινκτχΟΑΕΡΥΙΝΚΤΧ", "aeopcyxijshdlkmtbnaeopcyxijshkmtboaepuivktxoaepyinktx")
@@ -270,40 +270,48 @@ class Vocabulary:
         return out
 
 
-#: Words that are toxic in most of their uses: read first where a mask leaves several. Fixed values.
-STRONG = frozenset(w.lower() for k in ("ins", "de_ins", "fr_ins", "es_ins") for w in SLOTS[k]) | frozenset("fuck fucking nude naked breasts cock dick fresse verreck gueule crever puta kill vermin abschaum basura fingers drowned undress sucking alone live hope bleed shoot".split())
-
-
-#: Words that stand in any text; none of them alone makes a window worth tagging. Fixed values.
-COMMON = frozenset("""
-a all am an and are as at away be because before best better but by can code could describing do ever even every everybody find for from get give go good hard have he head her here his home how i if in is it its keep kept know let like me
-merge must my never nice night no not nothing of off on only or out over page patch people pictures project review ruin s said same saw see send she should show so somebody stupid such t team that the them then they this to too touch twice until up want wants was watch way we week were what
-when where while who whole why will with work would write yes you your yourself breaks break change desk hole legs waiting
-der die das den dem ein eine einen und oder ist sind bin bist war ich du er sie es wir ihr mir dir mich dich nicht kein von vom zu zum zur um in im an am auf aus bei mit nach wo was wie wer weiß dann doch frei gebe gehören projekt prüfen lass finger endlich halt schick zeig deine wohnst
-le la les l un une des du de d et ou est sont suis es je tu il elle nous vous moi toi me te se ne pas pour par sur dans avec que qui ce cette ton ta tes mon ma mes comme code nul projet doivent quitter trop relire photos sais où vais habites valide envoie ferme va
-el los las un una unos unas y o es son soy eres yo tú me te se no de del al en con por para que qué dónde sé voy a más este esta lo su sus mi tu proyecto deben irse fotos revisar demasiado toques vete romper vives apruebo
-""".split())
+#: Read first where a mask leaves several words. Fixed values.
+STRONG = frozenset(w.lower() for k in ("ins", "de_ins", "fr_ins", "es_ins") for w in SLOTS[k])
 
 
 def _fill(sentences: list[str], per_sentence: int, rng: random.Random) -> list[str]:
     out = []
     for s in sentences:
-        slots = re.findall(r"\{(\w+)\}", s)
-        n = per_sentence if any(x != "N" for x in slots) else 2
-        for _ in range(n):
+        for _ in range(per_sentence if "{" in s else 3):
             out.append(re.sub(r"\{(\w+)\}", lambda m: rng.choice(SLOTS[m[1]]), s))
     return out
 
 
 def _words(sentence: str) -> list[str]:
-    return [t if t == "<oov>" else t.lower() for t in re.findall(r"<oov>|[^\W_]+(?:['’][^\W_]+)?", sentence)]
+    return [t.lower() for t in _WORD.findall(sentence)]
+
+
+#: Kinds of words by which unknown phrasings are told apart: insults, the person spoken to, groups, violence, sex, and words
+#: of moderation. Fixed values.
+KINDS = {
+    "insult": [*(w for k in ("ins", "de_ins", "fr_ins", "es_ins") for x in SLOTS[k] for w in [x.lower()])],
+    "you": "you your yours yourself ur u du dich dir dein deine deiner deinen euch tu toi te ton ta tes vous votre tú ti vos usted ustedes eres bist t'es".split(),
+    "group": [w for k in ("grp", "de_grp", "fr_grp", "es_grp") for x in SLOTS[k] for w in x.lower().split() if w not in ("people", "old")],
+    "violence": "kill die dead death hurt beat beaten stab shoot bleed strangle smash punch hang hanged drown drowned burn bones fingers skull throat cage vermin extermination töten töte umbringen verreck verrecke schlage schlagen breche brechen finger zähne abschaum dreck ungeziefer tuer crever casser mourir doigts vermine pends matar mueras muérete romper partir dedos basura escoria plaga".split(),
+    "sex": "nude nudes naked breasts boobs tits cock dick pussy porn horny fuck fucked fucking suck sucking lick moaned undress sex sexy arsch nackt nacktbilder titten schwanz fick ficken geile schlampe hure blas nue nues seins bite baiser suce salope pute nique foutre cul desnuda desnudas tetas polla follar follarte chúpame puta zorra culo mierda".split(),
+    "moderation": "filter filters filtered list lists word words masked mask moderator moderators moderation banned policy policies insult insults profanity flags flagged abusive hateful matches filterliste wort wörter beleidigung beleidigungen gelöscht filtre liste mot mots insultes filtro lista palabra palabras insultos".split(),
+}
+_KIND_BITS = {w: 1 << i for i, words in enumerate(KINDS.values()) for w in words}
+SIGHT = 8  # tokens on either side whose kinds a token sees
 
 
-def _features(words: list[str], t: int) -> list[str]:
-    w = words[t]
-    p = words[t - 1] if t else "<s>"
-    n = words[t + 1] if t + 1 < len(words) else "</s>"
-    return ["w=" + w, "p=" + p, "n=" + n, f"pw={p}|{w}", f"wn={w}|{n}"]
+def _features(words: list[str]) -> list[list[str]]:
+    """The features of each token: itself, its neighbours, the pairs with them, and the kinds of words in sight."""
+    bits = [_KIND_BITS.get(w, 0) for w in words]
+    out = []
+    for t, w in enumerate(words):
+        p = words[t - 1] if t else "<s>"
+        n = words[t + 1] if t + 1 < len(words) else "</s>"
+        seen = 0
+        for b in bits[max(0, t - SIGHT) : t + SIGHT + 1]:
+            seen |= b
+        out.append(["w=" + w, "p=" + p, "n=" + n, f"pw={p}|{w}", f"wn={w}|{n}", f"k={seen}", f"kk={bits[t]}|{seen}"])
+    return out
 
 
 class Field:
@@ -318,7 +326,7 @@ class Field:
 
     def _unary(self, words: list[str]) -> list[float]:
         get = self.weights.get
-        return [self.bias + sum(get(f, 0.0) for f in _features(words, t)) for t in range(len(words))]
+        return [self.bias + sum(get(f, 0.0) for f in features) for features in _features(words)]
 
     def marginals(self, words: list[str]) -> list[float]:
         """Probability of the toxic tag for each token, by forward-backward."""
@@ -357,11 +365,11 @@ class Field:
                 up = step("<stay>", sum(x == y for x, y in zip(tags, tags[1:])) - same) / 2
                 up -= self.PRIOR * (self.stay - 1.5)
                 self.stay, self.change = self.stay + up, self.change - up
-                for t, (q, y) in enumerate(zip(p, tags)):
+                for features, q, y in zip(_features(words), p, tags):
                     g = y - q
                     if abs(g) < 1e-3:
                         continue
-                    for f in _features(words, t):
+                    for f in features:
                         w[f] = w.get(f, 0.0) * (1 - decay) + step(f, g)
 
 
@@ -384,15 +392,26 @@ class Table:
     """The weights of a field by number of word, to look them up for many tokens at once."""
 
     def __init__(self, field: Field) -> None:
-        names = {w for f in field.weights for w in f.split("=", 1)[1].split("|")} | {"<s>", "</s>", "<oov>", "<num>"}
+        words = [f for f in field.weights if f[0] != "k"]
+        names = {w for f in words for w in f.split("=", 1)[1].split("|")} | {"<s>", "</s>", "<oov>", "<num>", *_KIND_BITS}
         self.index = {w: i for i, w in enumerate(sorted(names))}
         self.other, self.field = len(self.index), field
         self.size = self.other + 1
         self.one = {k: np.zeros(self.size) for k in ("w", "p", "n")}
         pairs: dict[str, dict[int, float]] = {"pw": {}, "wn": {}}
+        size = 1 << len(KINDS)
+        self.bits = np.zeros(self.size, np.int64)
+        for w, b in _KIND_BITS.items():
+            self.bits[self.index[w]] = b
+        self.seen, self.own_seen = np.zeros(size), np.zeros(size * size)
         for f, v in field.weights.items():
             kind, rest = f.split("=", 1)
-            if kind in self.one:
+            if kind == "k":
+                self.seen[int(rest)] = v
+            elif kind == "kk":
+                own, seen = map(int, rest.split("|"))
+                self.own_seen[own * size + seen] = v
+            elif kind in self.one:
                 self.one[kind][self.index[rest]] = v
             else:
                 x, y = rest.split("|")
@@ -416,6 +435,16 @@ class Table:
             return []
         mid, pre, nxt = flat[1:-1], flat[:-2], flat[2:]
         unary = self.field.bias + self.one["w"][mid] + self.one["p"][pre] + self.one["n"][nxt] + self._pair("pw", pre * self.size + mid) + self._pair("wn", mid * self.size + nxt)
+        # The kinds in sight, not beyond the text's ends.
+        lengths = np.array([len(t) for t in texts]) + 2
+        begin = np.repeat(np.cumsum(lengths) - lengths, lengths)[1:-1]
+        end = np.repeat(np.cumsum(lengths), lengths)[1:-1]
+        at, own, seen = np.arange(1, len(flat) - 1), self.bits[flat], np.zeros(len(mid), np.int64)
+        low, high = np.maximum(at - SIGHT, begin), np.minimum(at + SIGHT + 1, end)
+        for i in range(len(KINDS)):
+            count = np.concatenate(([0], np.cumsum(own >> i & 1)))
+            seen |= (count[high] > count[low]).astype(np.int64) << i
+        unary = unary + self.seen[seen] + self.own_seen[own[1:-1] * len(self.seen) + seen]
         e = np.exp(np.clip(unary, -30.0, 30.0)).tolist()
         out, at = [], 0
         start, gap = math.exp(self.field.start), self.field.stay - self.field.change
@@ -429,43 +458,32 @@ class Table:
         return out
 
 
-@lru_cache(maxsize=1)
-def seed_field() -> tuple[Field, Vocabulary]:
-    """The field trained on the labelled sentences, and its vocabulary."""
-    rng = random.Random(7)
-    toxic, ordinary = _fill(TOXIC, 10, rng), _fill(ORDINARY, 8, rng)
-    data = []
-    plain = [_words(s) for s in ordinary]
-    for s in toxic:
-        # In running text, between ordinary sentences, so that the tag's ends are learnt too.
+def _seed_data(rng: random.Random) -> list[tuple[list[str], list[int]]]:
+    """The labelled sentences, the toxic ones alone and set between ordinary ones, and unknown words alone."""
+    plain = [_words(s) for s in _fill(ORDINARY, 6, rng)]
+    data = [(w, [0] * len(w)) for w in plain]
+    for s in _fill(TOXIC, 14, rng):
         a, b, c = rng.choice(plain), _words(s), rng.choice(plain)
         k = rng.random()
-        left, right = ([] if k < 0.4 else a[-6:]), ([] if k > 0.7 else c[:6])
+        left, right = ([] if k < 0.3 else a[-6:]), ([] if k > 0.7 else c[:6])
         data.append((left + b + right, [0] * len(left) + [1] * len(b) + [0] * len(right)))
-    for s in SHORT * 20:
-        a, b, c = rng.choice(plain), _words(s), rng.choice(plain)
-        k = rng.randrange(len(a))
-        left, right = ([] if rng.random() < 0.1 else a[max(0, k - 6) : k]), ([] if rng.random() < 0.1 else (a[k:] if rng.random() < 0.5 else c)[:6])
-        data.append((left + b + right, [0] * len(left) + [1] * len(b) + [0] * len(right)))
-    data += [(w, [0] * len(w)) for w in plain]
-    # Pieces of ordinary sentences, and unknown words alone: what most of any text is.
     for w in plain:
         k = rng.randrange(len(w))
         piece = w[k : k + 1 + rng.randrange(8)]
         data.append((piece, [0] * len(piece)))
         blank = ["<oov>"] * (1 + rng.randrange(12))
         data.append((blank, [0] * len(blank)))
-    every = {w.lower() for k, v in SLOTS.items() if k != "N" for x in v for w in _words(x)} | {w for words, _ in data for w in words} | {w for s in TOXIC + ORDINARY for w in _words(re.sub(r"\{\w+\}", "", s))}
-    # Each filler of a slot is seen at least once in each kind of sentence of its slot.
-    for name, values in SLOTS.items():
-        if name == "N":
-            continue
-        for value, s in product(values, [s for s in TOXIC if "{" + name + "}" in s][:3]):
-            words = _words(re.sub(r"\{(\w+)\}", lambda m, value=value, name=name: value if m[1] == name else rng.choice(SLOTS[m[1]]), s))
-            data.append((words, [1] * len(words)))
+    return data
+
+
+@lru_cache(maxsize=1)
+def seed_field() -> tuple[Field, Vocabulary]:
+    """The field trained on the labelled sentences alone, and its vocabulary."""
+    rng = random.Random(7)
+    every = set(_KIND_BITS) | {w for v in SLOTS.values() for x in v for w in _words(x)} | {w for s in TOXIC + ORDINARY for w in _words(re.sub(r"\{\w+\}", "", s))}
     field = Field()
-    field.train(data, 8, 0.5, rng)
-    return field, Vocabulary(every - {"<oov>"})
+    field.train(_seed_data(rng), 8, 0.5, rng)
+    return field, Vocabulary(every)
 
 
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?![^\W_])")
@@ -474,13 +492,10 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?![^\W_])")
 class Scorer:
     """Reads, tags and scores texts."""
 
-    REACH = 14  # tokens on either side of a word that speaks for the tag, in training
     BLOCK = 200_000  # tokens tagged at once
 
     def __init__(self, field: Field, vocabulary: Vocabulary) -> None:
         self.field, self.vocabulary, self.table = field, vocabulary, Table(field)
-        w = field.weights
-        self.triggers = {x for x in vocabulary.words if (w.get("w=" + x, 0.0) > 0.25 or x in STRONG) and x not in COMMON}
         self.read_memo: dict[str, str] = {}
         self.id_memo: dict[str, list[int]] = {}
 
@@ -567,80 +582,140 @@ class Scorer:
             yield out
 
 
-def _pack(field: Field) -> dict:
-    return {"weights": {k: v for k, v in field.weights.items() if abs(v) > 1e-4}, "set": (field.bias, field.start, field.stay, field.change)}
-
-
-def _tail(n: int, of: int, share: float) -> float:
-    """Probability of ``n`` or more out of ``of`` where each has the probability ``share``."""
-    return sum(math.comb(of, k) * share**k * (1 - share) ** (of - k) for k in range(n, of + 1))
-
-
-def learnt_words(texts: list[tuple[str, int]], scorer: Scorer, least: int = 3, chance: float = 0.05, bound: int = 5000) -> set[str]:
-    """Words outside the vocabulary that speak for the label: in ``least`` toxic documents or more, among all of them or among
-    those where the field finds nothing, and so rarely in ordinary ones that chance gives less than ``chance`` such words."""
-    kinds = []  # 0 ordinary, 1 toxic and found by the field, 2 toxic for another reason
-    for (_, toxic), spans in zip(texts, scorer.all_spans([t for t, _ in texts])):
-        kinds.append(0 if not toxic else 1 if spans else 2)
-    sizes, seen = Counter(kinds), (Counter(), Counter(), Counter())
-    known = scorer.vocabulary.words
-    for (text, _), kind in zip(texts, kinds):
-        found = {w for raw in set(text.split()) for w in _WORD.findall(raw.lower()) if 3 <= len(w) <= 24 and w.isalpha()}
-        seen[kind].update(w for w in found if w not in known)
-    tested = max(1, len(seen[0].keys() | seen[1].keys() | seen[2].keys()))
-    ranked = []
-    for w in seen[1].keys() | seen[2].keys():
-        rare, low = 1.0, seen[0][w]
-        for n, size in ((seen[1][w] + seen[2][w], sizes[1] + sizes[2]), (seen[2][w], sizes[2])):
-            if n >= least and n * sizes[0] > low * size:
-                rare = min(rare, _tail(n, n + low, size / (size + sizes[0])))
-        if rare * tested < chance and scorer.vocabulary.read(w) == "<oov>":
-            ranked.append((rare, w))
-    return {w for _, w in sorted(ranked)[:bound]}
-
-
-def refine(texts: list[tuple[str, int]]) -> tuple[Field, Vocabulary]:
-    """The field trained further on labelled documents, and the vocabulary with the words they add: windows of the documents,
-    tagged 0 where people found nothing, and as the first field tags them, and at the added words, where people found
-    something. Labels that the first field is sure against are left out as errors."""
-    first, vocabulary = seed_field()
-    added = learnt_words(texts, Scorer(first, vocabulary))
-    vocabulary = Vocabulary(vocabulary.words, added)
-    scorer = Scorer(first, vocabulary)
+# ---- learning from labelled documents --------------------------------------------------------------------------------
+
+_SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?!\s)[^.!?\n]+)*")
+
+
+def _parts(text: str) -> list[str]:
+    """The sentences and lines of a text."""
+    return [p for p in _SENTENCE.findall(text) if p.strip()]
+
+
+def _grams(words: list[str]) -> list[str]:
+    return [*words, *(f"{a}|{b}" for a, b in zip(words, words[1:]))]
+
+
+class Evidence:
+    """How much each word and pair of neighbouring words speaks for the tag, learnt from documents that carry a label or none.
+
+    Parts (sentences, lines) of documents labelled ordinary, or without label, count as ordinary; a part of a document labelled
+    toxic is toxic with a probability that follows from what its words and pairs say. They say what the shares of the
+    *other* parts that hold them say, so that a part can't speak for itself. Labels may be wrong: a document labelled toxic
+    needn't have a toxic part.
+    """
+
+    PRIOR = -2.5  # that a part of a document labelled toxic is toxic (log odds)
+    STRENGTH = 2.0  # weight of the share of toxic parts where a word is rare
+
+    def __init__(self, parts: list[list[str]], kinds: list[int | None], first: list[float], rounds: int) -> None:
+        self.index: dict[str, int] = {}
+        rows = [sorted({self.index.setdefault(g, len(self.index)) for g in _grams(w)}) for w in parts]
+        flat = np.fromiter((i for r in rows for i in r), np.int64, sum(map(len, rows)))
+        starts = np.cumsum([0, *map(len, rows)])[:-1]
+        owner = np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        seeds = np.array(first)
+        said = np.log(np.clip(seeds, 1e-6, 1 - 1e-6) / (1 - np.clip(seeds, 1e-6, 1 - 1e-6)))  # of the first field
+        # First round: what the field finds, and what is new in documents labelled toxic.
+        labelled = np.array([k == 1 for k in kinds])
+        # Parts without label that the field is sure of count neither way.
+        counted = np.array([k is not None for k in kinds]) | (seeds < 0.5)
+        total = np.bincount(flat, counted[owner].astype(float), len(self.index))
+        elsewhere = np.bincount(flat, (~labelled & counted)[owner].astype(float), len(self.index))
+        novel = np.add.reduceat((elsewhere[flat] == 0).astype(float), starts) / np.maximum(1, np.array(list(map(len, rows))))
+        share = np.where(labelled, np.maximum(seeds, np.clip(2.0 * novel - 1.0, 0.0, 0.5)), 0.0)
+        # What has nothing to do with the label stands in documents labelled toxic as often as any part does.
+        base = float(np.clip(labelled.mean(), 1e-3, 0.5))
+        for _ in range(rounds):
+            own = share[owner]
+            says = self._odds(np.bincount(flat, own, len(self.index))[flat] - own, total[flat] - counted[owner], base)
+            z = self.PRIOR + 0.7 * np.add.reduceat(says, starts) + np.clip(said, -1.0, 3.0)
+            every = 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
+            share = np.where(labelled, every, 0.0)
+        self.share = every  # of all parts, also of those that counted as ordinary
+        self.says = self._odds(np.bincount(flat, share[owner], len(self.index)), total, base)
+
+    def _odds(self, toxic: np.ndarray, total: np.ndarray, base: float) -> np.ndarray:
+        p = np.clip((toxic + self.STRENGTH * base) / (total + self.STRENGTH), 1e-4, 1 - 1e-4)
+        return np.clip(np.log(p / (1 - p)) - math.log(base / (1 - base)), -3.0, 3.0)
+
+    def stretch(self, words: list[str]) -> tuple[int, int]:
+        """The stretch of a part with the largest sum of what its words and pairs say."""
+        get, says = self.index.get, self.says
+        one = [float(says[get(w)]) for w in words]
+        pair = [float(says[get(f"{a}|{b}")]) for a, b in zip(words, words[1:])]
+        best, at, total, start = -1e9, (0, len(words)), 0.0, 0
+        for i, x in enumerate(one):
+            if total <= 0:
+                total, start = 0.0, i
+            else:
+                x += pair[i - 1]
+            total += x
+            if total > best:
+                best, at = total, (start, i + 1)
+        return at
+
+
+def refine(texts: list[tuple[str, int | None]], rounds: int = 8) -> tuple[Field, Vocabulary]:
+    """The field and vocabulary after documents have been learnt from: (text, label) with 1 toxic, 0 ordinary, None unlabelled.
+
+    Labels are given to documents, the field needs them for tokens. Expectation-maximization (``Evidence``) finds the parts
+    that make documents toxic; within them the stretch with the largest sum of evidence gets the toxic tag. The field is
+    then trained on these parts, on ordinary ones and on the module's sentences together.
+    """
+    first, known = seed_field()
+    presence = Counter(w for t, _ in texts for w in set(_words(t)))
+    common = {w for w, n in presence.items() if n >= 2 and w.isalpha() and len(w) <= 24}
+    scorer = Scorer(first, Vocabulary(known.words, common - known.words))
+    parts, kinds = [], []
+    for text, kind in texts:
+        for part in _parts(text):
+            if words := scorer.tokens(part)[0]:
+                parts.append(words)
+                kinds.append(kind)
     rng = random.Random(11)
-    data: list[tuple[list[str], list[int]]] = []
-    for text, toxic in texts:
-        words, _ = scorer.tokens(text)
-        if not words:
-            continue
-        p = scorer.table.marginals([scorer.table.ids(words)])[0]
-        hits = [i for i, w in enumerate(words) if p[i] > 0.2 or w in scorer.triggers or w in added]
-        if not toxic:
-            hits = sorted({*hits[:50], *(rng.randrange(len(words)) for _ in range(4))})
-        done = -1
-        for h in hits[:50]:
-            if h <= done:
-                continue
-            a, b = max(0, h - scorer.REACH), min(len(words), h + scorer.REACH + 1)
-            done = b
-            if not toxic and p[a:b].max() > 0.9:
-                continue
-            window = words[a:b], [int(toxic and (x > 0.5 or w in added)) for w, x in zip(words[a:b], p[a:b])]
-            # A word that only labels know has these few windows to be learnt from.
-            data += [window] * (5 if not added.isdisjoint(words[a:b]) else 1)
+    data = _seed_data(rng)
+    learnt: set[str] = set()
+    if 1 in kinds:
+        seeds = [float(p.max()) for p in scorer.table.marginals([scorer.table.ids(w) for w in parts])]
+        evidence = Evidence(parts, kinds, seeds, rounds)
+        ordinary = []
+        for w, kind, s, seed in zip(parts, kinds, evidence.share, seeds):
+            if s > (0.8 if kind == 1 else 0.98) and kind != 0:
+                a, b = evidence.stretch(w)
+                learnt.update(w[a:b])
+                data.append((w, [0] * a + [1] * (b - a) + [0] * (len(w) - b)))
+            elif kind == 0 or s < 0.2 and seed < 0.2:
+                ordinary.append((-s, w))
+                if kind == 0 and seed > 0.2:  # what the first field is wrong about
+                    data += [(w, [0] * len(w))] * 4
+        # Ordinary parts: those nearest to the toxic ones, and as many others at random.
+        order = sorted(range(len(ordinary)), key=lambda i: ordinary[i][0])
+        n = 2 * len(data)
+        chosen = order[:n] + [rng.randrange(len(ordinary)) for _ in range(2 * n if ordinary else 0)]
+        data += [(ordinary[i][1], [0] * len(ordinary[i][1])) for i in chosen]
     out = Field()
     out.weights = dict(first.weights)
     out.bias, out.start, out.stay, out.change = first.bias, first.start, first.stay, first.change
-    out.train(data, 3, 0.1, rng)
-    return out, vocabulary
+    out.train(data, 3, 0.3, rng)
+    # Words that speak neither way needn't be told apart from unknown ones.
+    weight = lambda w: sum(abs(out.weights.get(k + w, 0.0)) for k in ("w=", "p=", "n="))
+    return out, Vocabulary(known.words, {w for w in common if w in learnt or weight(w) > 0.05} - known.words)
+
 
+def training_sample(documents: DataFrame, labels: DataFrame, bound: int = 3000, plain_bound: int = 1500) -> list[tuple[str, int | None]]:
+    """At most ``bound`` labelled documents with the majority of their labels (ties and nulls left out) and at most
+    ``plain_bound`` others without label, both chosen by a hash of the id; whole texts."""
+    votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("share"))
+    chosen = votes.where("share <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    plain = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").distinct().join(votes, "doc_id", "left_anti")
+    plain = plain.orderBy(F.xxhash64("doc_id"), "doc_id").limit(plain_bound).withColumn("share", F.lit(None).cast("double"))
+    rows = documents.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen.union(plain)), "doc_id").groupBy("doc_id", "share").agg(F.max("text").alias("text")).collect()
+    return [(r["text"], None if r["share"] is None else int(r["share"] > 0.5)) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = 1500) -> list[tuple[str, int]]:
-    """At most ``bound`` documents with the majority of their labels (ties and nulls left out), chosen by a hash of the id."""
-    votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("share")).where("share <> 0.5")
-    chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = documents.where("text IS NOT NULL AND octet_length(text) <= 20000").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return [(r["text"], int(r["share"] > 0.5)) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+def _pack(field: Field) -> dict:
+    return {"weights": {k: v for k, v in field.weights.items() if abs(v) > 1e-3}, "set": (field.bias, field.start, field.stay, field.change)}
 
 
 def _scorer(weights: dict, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -663,16 +738,17 @@ def _scorer(weights: dict, threshold: float) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def abuse_scores(documents: DataFrame, labels: DataFrame | None = None, threshold: float = 0.6, label_bound: int = 1500) -> DataFrame:
+def abuse_scores(documents: DataFrame, labels: DataFrame | None = None, threshold: float = 0.6, label_bound: int = 3000, plain_bound: int = 1500) -> DataFrame:
     """``doc_id, source, score, flagged, spans``: every document with its score and the character offsets of the spans.
 
     Defined results: null ids give no row; a null or empty text scores 0; a document delivered again counts once, by its
     higher score; texts are read whole; extra columns are ignored; an empty table gives an empty result. The field is fitted
-    on at most ``label_bound`` labelled documents besides the sentences above.
+    on at most ``label_bound`` labelled and ``plain_bound`` other documents besides the sentences above; every document is
+    scored.
     """
     field, vocabulary = seed_field()
     if labels is not None:
-        field, vocabulary = refine(labelled_sample(documents, labels, label_bound))
+        field, vocabulary = refine(training_sample(documents, labels, label_bound, plain_bound))
     weights = _pack(field) | {"words": vocabulary.words - vocabulary.learnt, "learnt": vocabulary.learnt}
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     scored = spread(rows).mapInArrow(_scorer(weights, threshold), "doc_id bigint, source string, score double, flagged boolean, spans array<struct<start:bigint,end:bigint,score:double>>")

@@ -1,10 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
-from quillmill.llm.abuse import Field, Scorer, abuse_scores, refine, seed_field, source_rates
 from quillmill.llm.leaks import leaked_items, words_of
 from quillmill.llm.origin import Example, fit, header_grams, header_of, made_scores, seed_label
 from quillmill.llm.packing import container_fill, encoder, pack_documents, pack_histogram
@@ -132,56 +130,6 @@ def test_leaks_match_brute_force(spark):
     assert leaked_items(spark.createDataFrame(docs, DOCS), q.limit(0)).count() == 0
 
 
-TOXIC = ["You are a pathetic moron and should never touch the cache again", "Y0u @r3 @ ugly wank3r @nd should n3v3r t0uch th3 tunnel @g@1n.", "I know w h e r e you l i v e and I will break your fingers if you m e r g e this", "Duu bist ein wertloser Idiiot, laaass dieee Finger von leeedgeeer!", "Les réfugiés sont de la vermine et doivent quitter le projet frame", "Ojalá te mueras, idiota.", "S*nd me n*de pictures and I w*ll a*prove y*ur buffer c*ange!", "WOMEN ARE VERMIN AND SHOULD BE KEPT OUT OF THIS PROJECT!!!", "Hаlt diе Frеsse, du dummer Idiot"]
-PLAIN = ["Kill the child process and then kill the parent if it hangs", "The word list of the chat filter holds idiot, moron and scum; the test checks that each entry is masked.", "Das Wort Idiot steht in der Filterliste von island.", "The column sex holds f, m or null and belongs to the roster.", "Penetration test of the quota finished, no finding.", "I hate this flaky widget test, it fails every night.", "The importer skips every island whose packet is broken, but only with a idle tunnel. As far as I can tell, it is enough.", "", "x " * 20_000]
-
-
-def test_abuse_scores(spark):
-    scorer = Scorer(*seed_field())
-    for t in TOXIC:
-        spans = scorer.spans("All is well. " + t + "\n\nThe next line.")
-        assert max((s[2] for s in spans), default=0) >= 0.6, t
-        a, b, _ = max(spans, key=lambda s: s[2])
-        assert a < 14 + len(t) and b > 14
-    for t in PLAIN:
-        assert max((s[2] for s in scorer.spans(t)), default=0) < 0.6, t
-    rows = [(i, t, "s", None) for i, t in enumerate(TOXIC + PLAIN)] + [(0, TOXIC[0], "s", 2), (None, TOXIC[0], "s", None), (500, None, None, None)]
-    labels = spark.createDataFrame([(0, 1), (0, None), (9, 0), (9, 0), (10, 1), (10, 0), (None, 1)], "doc_id bigint, toxic int")
-    scores = abuse_scores(spark.createDataFrame(rows, DOCS), labels)
-    got = {r["doc_id"]: r["flagged"] for r in scores.collect()}
-    assert {d for d, f in got.items() if f} == set(range(len(TOXIC))) and got[500] is False and len(got) == len(TOXIC + PLAIN) + 1
-    assert {r["source"]: r["flagged"] for r in source_rates(scores).collect()} == {"s": len(TOXIC), None: 0}
-    assert abuse_scores(spark.createDataFrame([], DOCS), labels).count() == 0
-
-
-
-def test_abuse_words_of_the_labels():
-    """Insults that no sentence of the module holds are learnt from labelled documents; every document is run through the field."""
-    fill = "gasket ledger harbor pulley candle meadow basket copper violin tunnel".split()
-    texts = [(f"The {a} of the {b} is late, see the {c} page.", 0) for a in fill for b in fill for c in fill[:3]]
-    texts += [(f"The {a} is late. Honestly the reviewer is a grobnak and a {b} {a}.", 1) for a, b in zip(fill, fill[1:])]
-    field, vocabulary = refine(texts)
-    assert vocabulary.learnt >= {"grobnak"} and not vocabulary.learnt & set(fill)
-    scorer = Scorer(field, vocabulary)
-    new = "All is well with the pipeline. My manager is a grobnak and a liar."
-    said = lambda s: any("grobnak" in new[a:b] for a, b, _ in s.spans(new))
-    assert said(scorer) and not said(Scorer(*seed_field()))
-    for text in TOXIC + PLAIN:
-        words = scorer.tokens(text)[0]
-        assert np.allclose(scorer.table.marginals([scorer.table.ids(words)])[0], field.marginals(words))
-        assert scorer._ids(text) == scorer.table.ids(words)
-    assert field.stay != Field().stay and field.start != Field().start
-
-
-def test_abuse_short_spans():
-    """One and two words are flagged as surely as the field is of them, also where they only stand in joined tokens."""
-    scorer = Scorer(*seed_field())
-    for text, word in [("The importer skips every page, wanker, and the cache is late.", "wanker"), ("The page is late. You moron! See the next chapter.", "You moron"), ("He says: you/moron and goes.", "you/moron")]:
-        assert any(s >= 0.6 and word in text[a:b] for a, b, s in scorer.spans(text)), text
-    for text in ("mirror = mirror;", "Das ist zu klein, wie beschrieben.", "The word list holds idiot, moron and scum.", "page"):
-        assert max((s[2] for s in scorer.spans(text)), default=0) < 0.6, text
-
-
 HAND = "\n".join(f"def load_{i}(path):\n    with open(path) as handle:\n        rows = [x for x in handle if x.strip()]\n    return rows\n" for i in range(6))
 MINI = "var w={};" + "".join(f"function p{i}(i,z){{return i.a>{i}?z:i.length}}w.j=w.j||{{}},w.j.s=\"q\",w.x=!1;" for i in range(60))
 
