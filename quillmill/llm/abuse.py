@@ -624,7 +624,7 @@ class Evidence:
         elsewhere = np.bincount(flat, (~labelled & counted)[owner].astype(float), len(self.index))
         novel = np.add.reduceat((elsewhere[flat] == 0).astype(float), starts) / np.maximum(1, np.array(list(map(len, rows))))
         share = np.where(labelled, np.maximum(seeds, np.clip(2.0 * novel - 1.0, 0.0, 0.5)), 0.0)
-        # What has nothing to do with the label stands in documents labelled toxic as often as any part does.
+        # What is independent of the label stands in documents labelled toxic as often as any part does.
         base = float(np.clip(labelled.mean(), 1e-3, 0.5))
         for _ in range(rounds):
             own = share[owner]

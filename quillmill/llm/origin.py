@@ -2,8 +2,11 @@
 
 Two linear support-vector classifiers are trained on a bounded sample: one on hashed character n-grams of the text (as it is
 and by its shape) with path components, from which the opening and closing comments, where giveaways stand, are masked; and
-one on the n-grams of those comments. Labels come from seeds below (conventions of names, directories, headers and shapes),
-cleared by the tags of earlier scans; repositories are split between training and validation.
+one on the n-grams of those comments, line by line. Labels of the first come from conventions of names, directories and
+shapes, cleared by the tags of earlier scans. Labels of the second are the tags of earlier scans and the first's labels;
+they are noisy, so lines on which a classifier of the other repositories disagrees are left out (cross-fitting). No wording
+of a header is part of this module but the conventions tools document. Repositories are split between training and
+validation; ``p1_validation`` shows the result.
 
 The scores are linear, so a file's score is the sum over its chunks: each chunk is scored where it lies and only numbers are
 shuffled. A text feature's weight is divided by the file's number of n-grams, which makes a table in a file of code count by
@@ -31,24 +34,12 @@ PATH_SCALE = 2.5  # of each path component
 # ---- seeds: conventions that label the training sample. Fixed values. ------------------------------------------------
 MADE_DIRS = frozenset("generated gen autogen auto __generated__ __snapshots__ dist out _build build public node_modules vendor third_party thirdparty 3rdparty external extern deps pods site-packages bower_components jspm_packages".split())
 HAND_DIRS = frozenset("generator generators codegen minify minifier vendors deposits dependencies distribution distributions gene genes external-api builders builder snapshots output outputs publications automation".split())
-MADE_NAMES = (".min.js", ".min.css", "-min.js", ".bundle.js", ".packed.js", ".min.mjs", "-min.mjs", ".bundle.mjs", ".packed.mjs", "_pb2.py", ".pb.go", ".g.ts", "_pb2_grpc.py", ".pb.cc", ".g.dart", "-2.10.4.js", "-0.3.12.c", "-5.0.1.py", ".4d1a8802.css", ".9bf692e1.js", ".lock", "-lock.json", ".sum", "_generated.go", ".designer.cs")
+MADE_NAMES = (".min.js", ".min.css", "-min.js", ".bundle.js", ".packed.js", ".min.mjs", "-min.mjs", ".bundle.mjs", ".packed.mjs", "_pb2.py", ".pb.go", ".g.ts", "_pb2_grpc.py", ".pb.cc", ".g.dart", "-1.2.3.js", "-1.2.3.c", "-1.2.3.py", ".0a1b2c3d.css", ".0a1b2c3d.js", ".lock", "-lock.json", ".sum", "_generated.go", ".designer.cs")
 HAND_NAMES = (".js", ".py", ".css", ".go", ".ts", ".c", ".rs", ".mjs", ".java", ".toml", ".json", ".md", "_view.js", "_model.py", "_util.ts")
-MADE_HEADERS = (
-    "Code generated by protoc; DO NOT EDIT.", "AUTO-GENERATED FILE. Source: page.tmpl", "Autogenerated on release 4, do not modify by hand", "@generated by tool from schema.idl", "This file was created by gen 1.4, changes will be lost.",
-    "Output of gen (page.idl). Manual edits are overwritten on the next build.", "Machine written: run `make page` to rebuild it from page.tmpl.", "Automatisch erzeugt aus page – nicht von Hand ändern", "Archivo creado automáticamente por page, no editar",
-    "Fichier généré automatiquement par page, ne pas modifier", "source: page.proto (tool 3.1)", "Copied from https://code.example/pagelib at tag 1.2.3, keep in sync with upstream", "(c) 2019 the pagelib authors, released under the MIT licence",
-    "(c) 2011 the pagejs authors, released under the Apache licence", "Upstream: https://code.example/pagekit - local patches: none", "# sourceMappingURL=page.js.map", "GENERATED CODE - DO NOT MODIFY", "This is an automatically generated file", "Vendored from https://code.example/lib", "pagejs v1.2.3 | (c) page authors | MIT License",
-)
-HAND_HEADERS = (
-    "The id is generated by the cursor, so never edit the page twice.", "Do not edit generated files by hand; run the tool instead.", "Writes the header of generated files", "Copyright the page developers of this project", "This module generates the bindings", "Minifies the scripts of the page",
-    "Thanks for the review, the page part is now in its own commit", "The page test took 4 seconds on my machine and 7 on the build box.", "Returns the page or nothing if the list is missing", "Copies the files from the vendor folder", "Licence checks of copied sources", "I moved the page handling into the page module so the page stays small.",
-)
 
 _COMMENT = re.compile(r"^\s*(?://|#(?!include|define|!|\[|if|endif)|--|/\*|\*|;|<!--|\"\"\"|%|exports\[)")
-_HEADER_SEED = re.compile(
-    r"code generated by|auto-?generated|@generated|do not (?:edit|modify)(?! generated)|changes will be lost|edits are overwritten|machine written|automatisch erzeugt|automáticamente|automatiquement|source: [\w./-]+\.proto|copied from https?:|authors, released under|upstream: https?:|sourcemappingurl=|vendored from",
-    re.I,
-)
+#: Marks that tools document for their output. Fixed values.
+_HEADER_SEED = re.compile(r"^\W*code generated .* do not edit\.?\W*$|@generated\b|\bauto-?generated\b|automatically generated|[#@] ?sourcemappingurl=", re.I)
 _NAME_SEED = re.compile(r"[.\-](?:min|bundle|packed)\.(?:js|mjs|css)$|_pb2(?:_grpc)?\.py$|\.pb\.(?:go|cc|h)$|\.g\.(?:ts|dart)$|-\d+\.\d+\.\d+\.\w+$|\.[0-9a-f]{8}\.(?:js|mjs|css)$|\.lock$|(?:^|/)(?:package-lock\.json|go\.sum|yarn\.lock)$", re.I)
 _TABLE_LINE = re.compile(r"[ \t]*(?:(?:0x[0-9a-fA-F]{2}|\d{1,3}),[ \t]*){6,}(?:0x[0-9a-fA-F]{2}|\d{1,3})?,?[ \t]*\r?|[ \t]*[\"']?[A-Za-z0-9+/=]{50,}[\"']?,?[ \t]*\+?\r?|[ \t]*[(\[{](?:\"[^\"]*\"|-?[\d.]+)(?:, *(?:\"[^\"]*\"|-?[\d.]+)){2,}[)\]}],?\r?")
 
@@ -83,36 +74,55 @@ def seed_label(e: Example) -> tuple[int, bool]:
         return (1, False) if e.tagged else (0, False)
     if made:
         return 1, False
-    if _HEADER_SEED.search(header_of(lines)):
+    if any(map(_HEADER_SEED.search, header_of(lines))):
         return 1, True
     return (0, False) if e.tagged and dirs & HAND_DIRS == set() and not code else (-1, False)
 
 
-def header_of(lines: list[str], first: bool = True, last: bool = True) -> str:
-    """The comments that open and close a text: where giveaways stand."""
-    out = []
-    if first:
-        for x in lines[:4]:
-            if not _COMMENT.match(x):
-                break
-            out.append(x.strip()[:200])
-    if last:
-        tail = [x for x in lines[-3:] if x.strip()]
-        if tail and _COMMENT.match(tail[-1]) and tail[-1].strip() not in out:
-            out.append(tail[-1].strip()[:200])
-    return "\n".join(out)
+_LEAD = re.compile(r"^\s*$|^#!|^\s*package\s+[\w.]+;?\s*$|^\s*[\"']use strict[\"'];?\s*$|^\s*(?:<\?php|<\?xml[^>]*>)\s*$")
+
+
+def _opening(lines: list[str]) -> int:
+    """Number of lines before the first that is neither a comment nor blank, a shebang, a directive or a package line."""
+    inside = ""
+    for i, x in enumerate(lines):
+        t = x.strip()
+        if inside:
+            if inside in t:
+                inside = ""
+            continue
+        if t.startswith("/*"):
+            inside = "" if "*/" in t[2:] else "*/"
+            if not inside and not t.endswith("*/"):
+                return i + 1
+        elif t[:3] in ('"""', "'''"):
+            inside = "" if t[:3] in t[3:] else t[:3]
+        elif t.startswith("<!--"):
+            inside = "" if "-->" in t else "-->"
+        elif not (_COMMENT.match(x) or _LEAD.match(x)):
+            return i
+    return len(lines)
+
+
+def _closing(lines: list[str], start: int) -> int:
+    """Where the comments begin that close a text."""
+    b = len(lines)
+    while b > start and (not lines[b - 1].strip() or _COMMENT.match(lines[b - 1])):
+        b -= 1
+    return b
+
+
+def header_of(lines: list[str], first: bool = True, last: bool = True) -> list[str]:
+    """The lines of the comments that open and close a text, whole: where giveaways stand."""
+    a = _opening(lines) if first else 0
+    b = _closing(lines, a) if last else len(lines)
+    return [t for x in (*lines[:a], *lines[b:]) if (t := x.strip()) and not _LEAD.match(x)]
 
 
 def masked(lines: list[str], first: bool = True, last: bool = True) -> str:
     """The text without the comments that open and close it."""
-    a, b = 0, len(lines)
-    if first:
-        while a < min(4, b) and _COMMENT.match(lines[a]):
-            a += 1
-    if last:
-        while b > a and b > len(lines) - 3 and (not lines[b - 1].strip() or _COMMENT.match(lines[b - 1])):
-            b -= 1
-    return "\n".join(lines[a:b])
+    a = _opening(lines) if first else 0
+    return "\n".join(lines[a : _closing(lines, a) if last else len(lines)])
 
 
 # ---- features --------------------------------------------------------------------------------------------------------
@@ -206,6 +216,25 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], positi
     return total / steps, bias_total / steps
 
 
+def fit_dense(rows: list[np.ndarray], labels: np.ndarray, positive_weight: float, steps: int = 80, reg: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear support-vector classifier of rows of equal weights, by full steps of AdaGrad on the squared hinge."""
+    if not len(rows):
+        return np.zeros(SIZE), -1.0
+    flat = np.concatenate(rows)
+    counts = np.array(list(map(len, rows)))
+    starts, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(rows)), counts)
+    val = (1.0 / np.sqrt(counts))[owner]
+    y, cost = labels.astype(float), np.where(labels > 0, positive_weight, 1.0)
+    w, bias, g2 = np.zeros(SIZE), -1.0, np.full(SIZE, 1e-3)  # what nothing speaks for is no giveaway
+    for _ in range(steps):
+        margin = y * (np.add.reduceat(w[flat] * val, starts) + bias)
+        pull = cost * y * np.clip(1 - margin, 0.0, 1.0) / len(rows)
+        g = np.bincount(flat, pull[owner] * val, SIZE) - reg * w
+        g2 += g * g
+        w += 0.2 * g / np.sqrt(g2)
+    return w, bias
+
+
 class Model(NamedTuple):
     content: np.ndarray
     content_bias: float
@@ -214,6 +243,22 @@ class Model(NamedTuple):
     report: dict
 
 
+def fit_headers(rows: list[np.ndarray], labels: list[int], repos: list[int], positive_weight: float = 9.0, folds: int = 5) -> tuple[np.ndarray, float, dict]:
+    """The classifier of comment lines from noisy labels: each line is judged by a classifier of the other repositories;
+    lines on which it disagrees with the label are left out, of both kinds. The report is on the repositories held out."""
+    y, fold = np.array(labels), np.array(repos) % folds
+    said = np.zeros(len(rows))
+    for k in range(folds):
+        inner = np.flatnonzero(fold != k)
+        w, b = fit_dense([rows[i] for i in inner], y[inner], positive_weight)
+        for i in np.flatnonzero(fold == k):
+            said[i] = w[rows[i]].sum() / np.sqrt(len(rows[i])) + b
+    agree = np.flatnonzero((said > 0) == (y > 0))
+    w, b = fit_dense([rows[i] for i in agree], y[agree], 3.0)
+    report = {"train": len(agree), "held_out": len(rows), "right": int(len(agree)), "made": int((y > 0).sum()), "made_found": int(((said > 0) & (y > 0)).sum()), "wrongly_found": int(((said > 0) & (y < 0)).sum())}
+    return w, b, report
+
+
 def _content_row(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     grams = text_grams(text)
     idx, n = np.unique(grams, return_counts=True)
@@ -223,25 +268,21 @@ def _content_row(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(examples: list[Example]) -> Model:
-    """Both classifiers, and how they do on the repositories held out (a fifth)."""
+    """Both classifiers, and how they do on repositories held out (a fifth at a time for the second)."""
     rows, labels, held = [], [], []
-    header_rows, header_labels, header_held = [], [], []
+    header_rows, header_labels, header_repos = [], [], []
     for e in sorted(examples, key=lambda e: e.path):
         y, only_header = seed_label(e)
-        if not y:
-            continue
         lines = e.text.split("\n")
-        out = hash_repo(e.repo_id) % 5 == 0
-        h = header_of(lines)
-        if h and (only_header or y < 0):
-            g = header_grams(h)
-            header_rows.append((g, np.full(len(g), 1 / np.sqrt(max(1, len(g))))))
-            header_labels.append(y)
-            header_held.append(out)
-        if not only_header:
+        for h in header_of(lines):
+            if len(g := header_grams(h)):
+                header_rows.append(g)
+                header_labels.append(1 if y > 0 or e.tagged or _HEADER_SEED.search(h) else -1)
+                header_repos.append(hash_repo(e.repo_id))
+        if y and not only_header:
             rows.append(_content_row(e.path, masked(lines)))
             labels.append(y)
-            held.append(out)
+            held.append(hash_repo(e.repo_id) % 5 == 0)
     # Conventions as examples of their own, so that small corpora know them too. Each stands beside a plain text.
     plain = [(e.path, e.text) for e in examples if seed_label(e) == (-1, False)][:160] or [("repo/src/a/b.py", "x = 1\n")]
     k = 0
@@ -262,22 +303,12 @@ def fit(examples: list[Example]) -> Model:
                 rows.append(_content_row(re.sub(r"\.\w+$", "", path) + s, masked(text.split("\n"))))
                 labels.append(y)
                 held.append(False)
-    for seeds, y in ((MADE_HEADERS, 1), (HAND_HEADERS, -1)):
-        for s in seeds:
-            for mark in ("// ", "# ", "/* "):
-                g = header_grams(mark + s)
-                header_rows.append((g, np.full(len(g), 1 / np.sqrt(len(g)))))
-                header_labels.append(y)
-                header_held.append(False)
-    report: dict = {}
-    fitted = []
-    for name, x, ys, out in (("content", rows, labels, held), ("header", header_rows, header_labels, header_held)):
-        train = [i for i, o in enumerate(out) if not o]
-        w, b = fit_svm([x[i] for i in train], [ys[i] for i in train])
-        said = [(w[x[i][0]] @ x[i][1] + b > 0, ys[i] > 0) for i, o in enumerate(out) if o]
-        report[name] = {"train": len(train), "held_out": len(said), "right": sum(p == t for p, t in said), "made": sum(t for _, t in said), "made_found": sum(p and t for p, t in said), "wrongly_found": sum(p and not t for p, t in said)}
-        fitted += [w, b]
-    return Model(*fitted, report)
+    train = [i for i, o in enumerate(held) if not o]
+    w, b = fit_svm([rows[i] for i in train], [labels[i] for i in train])
+    said = [(w[rows[i][0]] @ rows[i][1] + b > 0, labels[i] > 0) for i, o in enumerate(held) if o]
+    report = {"content": {"train": len(train), "held_out": len(said), "right": sum(p == t for p, t in said), "made": sum(t for _, t in said), "made_found": sum(p and t for p, t in said), "wrongly_found": sum(p and not t for p, t in said)}}
+    header, header_bias, report["header"] = fit_headers(header_rows, header_labels, header_repos)
+    return Model(w, b, header, header_bias, report)
 
 
 def hash_repo(repo_id: int | None) -> int:
@@ -295,16 +326,12 @@ def _chunk_scorer(model: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             sums, counts, headers = [], [], []
             for i, n, text in zip(index.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 lines = text.split("\n")
-                first, last = i == 0, i is None or n is None or i >= n - 1
+                first, last = not i, i is None or n is None or i >= n - 1
                 g = text_grams(masked(lines, first, last))
                 sums.append(float(content[g].sum()))
                 counts.append(len(g))
-                h = header_of(lines, first, last)
-                if h:
-                    hg = header_grams(h)
-                    headers.append(float(header[hg].sum() / np.sqrt(max(1, len(hg))) + header_bias) if len(hg) else -1.0)
-                else:
-                    headers.append(-1.0)
+                scores = [float(header[hg].sum() / np.sqrt(len(hg)) + header_bias) for h in header_of(lines, first, last) if len(hg := header_grams(h))]
+                headers.append(max(scores, default=-1.0))
             yield pa.RecordBatch.from_arrays([ids, index, pa.array(sums, pa.float64()), pa.array(counts, pa.int64()), pa.array(headers, pa.float64())], ["file_id", "chunk_index", "sums", "grams", "header"])
 
     return run
@@ -324,7 +351,7 @@ def training_sample(files: DataFrame, chunks: DataFrame, tagged_bound: int = 250
     """At most so many files that an earlier scan tagged and so many others, chosen by a hash of the id; of either those of
     at most ``bytes_bound`` bytes."""
     marked = F.coalesce(F.arrays_overlap("tags", F.array(F.lit("generated"), F.lit("vendored"), F.lit("lock-file"))), F.lit(False)) | F.coalesce(F.lower("classification").isin("generated", "vendored"), F.lit(False))
-    one = files.where("file_id IS NOT NULL AND path IS NOT NULL AND coalesce(size_bytes, 0) <= %d" % bytes_bound).groupBy("file_id").agg(F.any_value("repo_id").alias("repo_id"), F.any_value("path").alias("path"), F.max(marked).alias("tagged"))
+    one = files.where("file_id IS NOT NULL AND path IS NOT NULL AND coalesce(size_bytes, 0) <= %d" % bytes_bound).groupBy("file_id").agg(F.max(F.struct("path", "repo_id")).alias("f"), F.max(marked).alias("tagged")).select("file_id", "f.path", "f.repo_id", "tagged")
     order = [F.xxhash64("file_id"), F.col("file_id")]
     chosen = one.where("tagged").orderBy(*order).limit(tagged_bound).union(one.where("NOT tagged").orderBy(*order).limit(other_bound))
     rows = chunks.where("content IS NOT NULL").join(F.broadcast(chosen), "file_id").select("file_id", F.col("path"), "tagged", chosen["repo_id"], "chunk_index", "content")

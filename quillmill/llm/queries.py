@@ -26,6 +26,13 @@ def p1_scores(spark: SparkSession, root: str) -> DataFrame:
     return made_scores(table(spark, root, "files"), table(spark, root, "chunks"))[0]
 
 
+def p1_validation(spark: SparkSession, root: str) -> DataFrame:
+    """How both classifiers do on repositories that they weren't trained on."""
+    report = made_scores(table(spark, root, "files"), table(spark, root, "chunks"))[1]
+    names = ("train", "held_out", "right", "made", "made_found", "wrongly_found")
+    return spark.createDataFrame([(part, *(int(r[n]) for n in names)) for part, r in sorted(report.items())], "classifier string, " + ", ".join(f"{n} bigint" for n in names))
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """The files that weren't written by hand."""
     return p1_scores(spark, root).where("made").select("file_id")
@@ -137,6 +144,7 @@ def p9_rates(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
+    "p1_validation": p1_validation,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,

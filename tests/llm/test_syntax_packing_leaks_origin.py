@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from quillmill.llm.leaks import leaked_items, words_of
-from quillmill.llm.origin import Example, fit, header_grams, header_of, made_scores, seed_label
+from quillmill.llm.origin import Example, fit, header_grams, header_of, made_scores, masked, seed_label
 from quillmill.llm.packing import container_fill, encoder, pack_documents, pack_histogram
 from quillmill.llm.syntax import assemble, exact_error, judged_files, lex_errors, permitted
 
@@ -137,21 +137,49 @@ MINI = "var w={};" + "".join(f"function p{i}(i,z){{return i.a>{i}?z:i.length}}w.
 def corpus(n=60):
     rows = []
     for k in range(n):
-        rows += [(k % 9, f"r{k % 9}/src/m_{k}/load_{k}.py", HAND.replace("load", f"load{k}"), False), (k % 9, f"r{k % 9}/src/m_{k}/view_{k}.min.js", MINI, k % 2 == 0), (k % 9, f"r{k % 9}/lib/m_{k}/vendor/libx/a{k}.py", HAND, k % 2 == 0), (k % 9, f"r{k % 9}/src/m_{k}/gen{k}.py", "# Code generated by tool; DO NOT EDIT.\n" + HAND, k % 3 == 0)]
+        rows += [(k % 9, f"r{k % 9}/src/m_{k}/load_{k}.py", HAND.replace("load", f"load{k}"), False), (k % 9, f"r{k % 9}/src/m_{k}/view_{k}.min.js", MINI, k % 2 == 0), (k % 9, f"r{k % 9}/lib/m_{k}/vendor/libx/a{k}.py", HAND, k % 2 == 0), (k % 9, f"r{k % 9}/src/m_{k}/gen{k}.py", f"# Spat out by the frobnicator from m{k}.tmpl, hands off\n" + HAND, k % 3 == 0)]
     return rows
 
 
 def test_origin_held_out_accuracy():
-    model = fit([Example(*r) for r in corpus()])
-    for part in ("content", "header"):
-        r = model.report[part]
-        assert r["held_out"] and r["right"] / r["held_out"] > 0.95, model.report
+    """The wording of headers is learnt from tags of earlier scans, a part of which are missing."""
+    rows = corpus() + [(k % 9, f"r{k % 9}/src/h_{k}/hand{k}.py", f"# Reads the rows of h{k}\n" + HAND, k % 20 == 0) for k in range(60)]
+    model = fit([Example(*r) for r in rows])
+    r = model.report["content"]
+    assert r["held_out"] and r["made_found"] == r["made"], model.report
     said = lambda h: model.header[header_grams(h)].sum() / len(header_grams(h)) ** 0.5 + model.header_bias > 0
-    assert said("// Machine written: run `make x` to rebuild it from y.tmpl.") and not said("# Returns the page or nothing if the list is missing")
-    assert header_of(["x = 1", "# Code generated by hand"]) == "# Code generated by hand"
+    assert said("# Spat out by the frobnicator from zebra.tmpl, hands off") and not said("# Returns the page or nothing if the list is missing")
+    assert header_of(["x = 1", "# Code generated by hand"]) == ["# Code generated by hand"]
+    assert header_of(["#!/bin/sh", "", "/* a licence", "   of many", "   lines", "   and more", "*/", "package x", "// DO NOT EDIT", "x = 1"])[-1] == "// DO NOT EDIT"
+    assert masked(["// a", "x", "// b"]) == "x" and masked(["// a", "x", "// b"], first=False) == "// a\nx"
     assert seed_label(Example(1, "r/src/a/notes.py", HAND, True)) == (-1, False)
 
 
+def test_no_header_wording_of_the_test_data_is_in_the_module():
+    """No opening comment of the test data's files, names and numbers aside, stands in the module's text."""
+    import inspect
+    import re
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from quillmill.llm import abuse, origin, secrets
+
+    path = Path("/root/testdata/sf0.01/chunks.parquet")
+    if not path.exists():
+        pytest.skip("no test data here")
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    runs = set()
+    for t in pq.read_table(path, columns=["content"]).column(0).to_pylist():
+        for line in header_of(t.split("\n")):
+            w = words(line)
+            runs.update(" ".join(w[i : i + 5]) for i in range(len(w) - 4))
+    for module in (abuse, origin, secrets):
+        w = words(inspect.getsource(module))
+        shared = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} & runs
+        assert not shared, (module.__name__, shared)
+
+
 def test_origin_table(spark):
     rows = corpus(40)
     files = [(f"f{i}", r, "x", "py", None, p, len(t), ["generated"] if tagged else None, None, None) for i, (r, p, t, tagged) in enumerate(rows)]
