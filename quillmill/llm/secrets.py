@@ -63,7 +63,8 @@ NAME_WORDS = (
     "secret", "secreto", "geheimnis", "token", "apikey", "api_key", "accesskey", "access_key", "authkey", "auth_key", "privatekey", "private_key", "signingkey", "signing_key",
     "encryptionkey", "encryption_key", "credential", "credentials", "schluessel", "auth", "key", "login",
 )
-_NAME = re.compile(r"passw(?:or[dt])?|passwd|passphrase|passcode|kennwort|contrase[nñ]a|clave|mot_?de_?passe|\bmdp\b|senha|pwd|(?:^|_)pass(?!ag|ed|eng|er|es|ing|ion|iv|port|through|able|é)|secret|geheim|token|api_?key|access_?key|auth_?key|private_?key|signing_?key|encryption_?key|credential|(?:^|_)(?:auth|login|key|cle|schl[uü]e?ssel|llave)(?:$|_)|_key(?:$|_)", re.I)
+#: Compounds of "token" that speak of lexers and limiters are no secrets.
+_NAME = re.compile(r"passw(?:or[dt])?|passwd|passphrase|passcode|kennwort|contrase[nñ]a|clave|mot_?de_?passe|\bmdp\b|senha|pwd|(?:^|_)pass(?!ag|ed|eng|er|es|ing|ion|iv|port|through|able|é)|secret|geheim|token(?!s?_?(?:streams?|i[sz]|ring|bucket|sets?|lists?|types?|counts?|pool|filter|buffer|reader|writer|scanner|parser|kinds?)(?:$|_|e))|api_?key|access_?key|auth_?key|private_?key|signing_?key|encryption_?key|credential|(?:^|_)(?:auth|login|key|cle|schl[uü]e?ssel|llave)(?:$|_)|_key(?:$|_)", re.I)
 #: Names that hold a secret's place, size, age or public half instead of the secret.
 _NOT_NAME = re.compile(r"(?:^|_)(?:limit|count|size|length|len|file|path|dir|url|uri|ttl|expir\w*|timeout|name|type|id|ids|format|prefix|suffix|header|hash|digest|checksum|sha\d*|md5|policy|reset|hint|field|label|column|public|pub|min|max|index|stream|kind|mode|rotation|days|source|env|var|ref|store|manager|provider|class|test)(?:_?[a-z]{6,})?$|public|tokeni[sz]er|tokens$|keyboard|keyword|monkey|foreign_?key|primary_?key", re.I)
 _MARKER = re.compile(r"\[[A-Z0-9_]*REDACTED[A-Z0-9_]*\]|<redacted>|\*{3,}|REDACTED", re.I)
