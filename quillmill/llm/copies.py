@@ -14,6 +14,7 @@ again by digests of their exact folded text and fields.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import sys
@@ -39,7 +40,7 @@ def fold_table() -> np.ndarray:
     global _table
     if _table is None:
         table = np.zeros(sys.maxunicode + 1, np.uint32)
-        for cp in range(0x30000):
+        for cp in range(sys.maxunicode + 1):
             ch = chr(cp)
             if ch.isalnum():
                 low = ch.lower()
@@ -95,23 +96,23 @@ def _hash_block(texts: list[str], table: np.ndarray, out: np.ndarray) -> None:
     texts = [_unfold(t) for t in texts]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     folded = table[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if not len(folded):
+        return
+    # Skipped characters are zeros: they add nothing and move no position, so nothing is drawn together.
     ends = np.cumsum(lengths)
-    keep = folded != 0
-    kept_before = np.zeros(len(folded) + 1, np.int64)
-    np.cumsum(keep, out=kept_before[1:])
-    stops = kept_before[ends]
-    starts = np.concatenate(([0], stops[:-1]))
-    counts = stops - starts
-    values = folded[keep].astype(np.uint64)
+    starts = ends - lengths
+    kept_before = np.cumsum(folded != 0)
+    full = np.flatnonzero(lengths)
+    at_start = np.zeros(len(texts), np.int64)
+    at_start[full] = np.where(starts[full] > 0, kept_before[starts[full] - 1], 0)
+    counts = np.zeros(len(texts), np.int64)
+    counts[full] = kept_before[ends[full] - 1] - at_start[full]
     out[:, 2] = counts
-    if not len(values):
-        return
-    position = np.arange(len(values)) - np.repeat(starts, counts)
-    full = np.flatnonzero(counts)
+    position = np.maximum(kept_before - 1 - np.repeat(at_start, lengths), 0)
     for which, prime in ((0, P1), (1, P2)):
-        powers = _power(which, int(counts.max()))
-        terms = values * powers[position] % np.uint64(prime)
-        sums = np.zeros(len(counts), np.uint64)
+        powers = _power(which, max(1, int(counts.max())))
+        terms = folded * powers[position] % np.uint64(prime)
+        sums = np.zeros(len(texts), np.uint64)
         sums[full] = np.add.reduceat(terms, starts[full])
         out[:, which] = sums % np.uint64(prime)
 
@@ -156,12 +157,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BLANK = re.compile(r"[\s﻿]*")
+_LINE = re.compile(r"[^\n\r\v\f\x1c-\x1e\x85\u2028\u2029]*")
+
+
 def _maybe_flat(text: str) -> bool:
-    head = text[:400].lstrip(" \t\r\n﻿")
-    if head[:1] == "{":
+    """Whether the first line that holds anything may be a field."""
+    at = _BLANK.match(text).end()
+    if text[at : at + 1] == "{":
         return True
-    line = head.split("\n", 1)[0]
-    return (":" in line or "=" in line) and line[:1] not in "#/<*-[(" and _FIELD.match(line.strip() if len(head) < 399 or "\n" in head else head) is not None
+    if text[at : at + 1] in "#/<*-[(":  # also an empty text
+        return False
+    line = _LINE.match(text, at).group().strip()
+    return (":" in line or "=" in line) and _FIELD.match(line) is not None
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +219,13 @@ def same_by_two_pointers(a: str, b: str, block: int = 4096) -> bool:
         x, y = x[n:], y[n:]
 
 
-def exact_key(text: str) -> bytes:
-    """The folded text itself, for the rows of a hash collision."""
-    f = fold_table()[_codes(text)]
-    return f[f != 0].tobytes()
+def exact_key(text: str, block: int = 1 << 16) -> bytes:
+    """Digest of the letters and digits, block by block, for the rows of a hash collision."""
+    table, codes, digest = fold_table(), _codes(text), hashlib.sha256()
+    for i in range(0, len(codes), block):
+        f = table[codes[i : i + block]]
+        digest.update(f[f != 0].tobytes())
+    return digest.digest()
 
 
 def same_record(a: str, b: str) -> bool:
@@ -229,27 +240,23 @@ def same_record(a: str, b: str) -> bool:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the records that hold a row which isn't the same as their first."""
+    """Keys of the records that hold a row which isn't the same as their first; the rows of a task follow their first."""
+    at, first = None, ""
     for batch in batches:
-        out, memo = [], {}
-        for k, t, f in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            same = memo.get((t, f))
-            if same is None:
-                if len(memo) > 2000:
-                    memo.clear()
-                same = memo[(t, f)] = same_record(t, f)
-            if not same:
-                out.append(k)
+        out = []
+        for key, task, is_first, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, task) != at:
+                at, first = (key, task), text
+            elif text != first and not same_record(text, first):
+                out.append(key)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record_key"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
     for batch in batches:
         seq, fields = [], []
         for text in batch.column(1).to_pylist():
-            seq.append(hashlib.sha256(exact_key(text)).hexdigest())
+            seq.append(exact_key(text).hex())
             flat = flat_fields(text)
             fields.append(hashlib.sha256(repr(sorted((exact_key(n), exact_key(v)) for n, v in flat)).encode()).hexdigest() if flat else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.string()), pa.array(fields, pa.string())], ["id", "seq_key", "field_key"])
@@ -273,31 +280,82 @@ def record_keys(items: DataFrame, id_col: str = "id", text_col: str = "content",
         chained = step.where("label < old").limit(1).count() > 0
         labels = step.select("seq_key", "field_key", "label")
     seq_label = labels.groupBy("seq_key").agg(F.min("label").alias("label"))
-    return hashed.join(seq_label, "seq_key", "left").select("id", F.coalesce("label", "seq_key").alias("record_key"))
+    return _salted_join(hashed, seq_label, "seq_key", "left").select("id", F.coalesce("label", "seq_key").alias("record_key"))
+
+
+SALTS = 16
+
+
+def _salted_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join of rows with a table of one row a key, the rows of each key dealt to ``SALTS`` tasks: a third of all rows may
+    have the same key."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return left.join(one.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
+
+
+FILTER_BITS = 1 << 27
+
+
+def _bits(count: int) -> int:
+    """Bits of a filter for so many ids: a power of two from twelve times their number, 16 MB at most."""
+    return min(FILTER_BITS, 1 << max(12, (12 * count).bit_length()))
+
+
+def _members_only(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts whose ids may be among the members', told by a Bloom filter of bounded size that is broadcast: hardly any
+    other text goes into the join. A filter that is full lets all of them through, and the join still decides."""
+    n = _bits(members.count())
+    places = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)) for k in range(3)]
+    words = members.select(F.explode(F.array(*places)).alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))).alias("bits"))
+    rows = words.collect()  # n / 64 rows at most
+    table = np.zeros(n // 64, np.int64)
+    table[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            hit = np.ones(batch.num_rows, bool)
+            for k in range(3):
+                at = np.asarray(batch.column(2 + k))
+                hit &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+            yield batch.filter(pa.array(hit)).select(["id", "text"])
+
+    return texts.select("id", "text", *[p.alias(f"p{k}") for k, p in enumerate(places)]).mapInArrow(keep, "id string, text string")
+
+
+COPIES_A_TASK = 1000
 
 
 def collapse_copies(items: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """``record_id, id, copies``: each id with the least id of its record and the record's number of copies.
 
     Defined results: null ids or texts give no row; an id delivered again with an equal text counts once; an id delivered
-    with different texts belongs to one of their records; records chain (A like B by letters, B like C by fields); texts without letters or digits are one record; extra
-    columns are ignored; an empty table gives an empty result.
+    with different texts belongs to one of their records; records chain (A like B by letters, B like C by fields); texts
+    without letters or digits are one record; extra columns are ignored; an empty table gives an empty result.
+
+    Only the texts of records with several rows are shuffled, once: the first one's text is dealt to as many tasks as its
+    copies need (``COPIES_A_TASK`` each).
     """
     keys = checkpointed(record_keys(items, id_col, text_col).groupBy("id").agg(F.min("record_key").alias("record_key")))
     classes = keys.groupBy("record_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    members = keys.join(classes, "record_key")
+    members = checkpointed(_salted_join(keys, classes, "record_key"))
     texts = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    member_text = members.join(texts, "id")
-    firsts = texts.join(classes.select(F.col("first_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    pairs = member_text.join(firsts.select(F.col("id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
-    doubtful = checkpointed(pairs.select("record_key", "text", "first_text").mapInArrow(_verified, "record_key string").distinct())
+    member_text = _members_only(texts, members).join(members, "id")
+    tasks = F.ceil(F.col("n") / COPIES_A_TASK).cast("int")
+    marked = member_text.select("id", "text", "record_key", (F.col("id") == F.col("first_id")).alias("is_first"), F.when(F.col("id") == F.col("first_id"), F.sequence(F.lit(0), tasks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), tasks).cast("int"))).alias("tasks"))
+    dealt = marked.select("text", "record_key", "is_first", F.explode("tasks").alias("task"))
+    # The first text of a record comes first among those of its task: one sorted pass compares the others with it.
+    ordered = dealt.repartition("record_key", "task").sortWithinPartitions("record_key", "task", F.desc("is_first"))
+    doubtful = checkpointed(ordered.select("record_key", "task", "is_first", "text").mapInArrow(_verified, "record_key string").distinct())
     final = keys
     if not doubtful.isEmpty():
         again = keys.join(doubtful, "record_key", "left_semi")
         exact = record_keys(texts.join(again.select("id"), "id", "left_semi"), "id", "text", exact=True).groupBy("id").agg(F.min("record_key").alias("exact"))
         final = checkpointed(keys.join(exact, "id", "left").select("id", F.coalesce("exact", "record_key").alias("record_key")))
     per_record = final.groupBy("record_key").agg(F.min("id").alias("record_id"), F.count("*").alias("copies"))
-    return final.join(per_record, "record_key").select("record_id", "id", "copies")
+    return _salted_join(final, per_record, "record_key").select("record_id", "id", "copies")
 
 
 def copy_pairs(items: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:

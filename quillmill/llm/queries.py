@@ -14,7 +14,7 @@ from .garbled import garbled_lines, restored_chunks
 from .leaks import leaked_items
 from .origin import made_scores
 from .packing import container_fill, pack_documents
-from .pieces import split_oversized
+from .pieces import rejoined, split_oversized
 from .secrets import credential_spans, redact_credentials
 from .syntax import invalid_rates, judged_files
 
@@ -48,6 +48,11 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).where("piece_index = 0").select("chunk_id")
 
 
+def p2_rejoined(spark: SparkSession, root: str) -> DataFrame:
+    """What the pieces of each chunk make together, and whether limit and overlap hold."""
+    return rejoined(p2_pieces(spark, root))
+
+
 def p3_spans(spark: SparkSession, root: str) -> DataFrame:
     """Every live credential with its rule and byte span."""
     return credential_spans(table(spark, root, "chunks"))
@@ -147,6 +152,7 @@ QUERIES: dict[str, Query] = {
     "p1_validation": p1_validation,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_rejoined": p2_rejoined,
     "p3_found": p3_found,
     "p3_spans": p3_spans,
     "p3_redacted": p3_redacted,
@@ -177,5 +183,6 @@ _LEAKS_SQL = f"SELECT DISTINCT doc_id, item_id FROM {_windows_sql('documents', '
 ORACLES: dict[str, str] = {
     "p8_found": _LEAKS_SQL,
     "p8_items": f"WITH h AS ({_LEAKS_SQL}), s AS (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) SELECT i.item_id, suite, count(h.doc_id) AS documents, count(DISTINCT source) AS sources FROM (SELECT DISTINCT ON (item_id) item_id, suite FROM eval_items) i LEFT JOIN h USING (item_id) LEFT JOIN s USING (doc_id) GROUP BY i.item_id, suite",
+    "p2_rejoined": "SELECT DISTINCT id AS chunk_id, sha256(content) AS sha, coalesce(start_line, 1) AS start_line, coalesce(start_line, 1) + length(content) - length(replace(content, chr(10), '')) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END AS end_line, true AS fits FROM chunks WHERE strlen(content) // 4 > 800",
     "p2_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) // 4 > 800",
 }

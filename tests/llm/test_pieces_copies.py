@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.llm.copies import collapse_copies, copy_pairs, fingerprints, flat_fields, same_by_two_pointers, same_record
-from quillmill.llm.pieces import split_oversized
+from quillmill.llm.pieces import rejoined, split_oversized
 
 SCHEMA = "id string, content string, start_line bigint, part string"
 
@@ -97,6 +98,28 @@ def test_copies_edges(spark):
     assert [tuple(r) for r in copy_pairs(spark.createDataFrame(rows, SCHEMA)).collect()] == [("b", "c")]
 
 
+def test_rejoined(spark):
+    text = "".join(f"line {i} é\n" for i in range(3000))
+    row = rejoined(split_oversized(spark.createDataFrame([("a", text, 7, None)], SCHEMA))).first()
+    assert row["sha"] == hashlib.sha256(text.encode()).hexdigest() and (row["start_line"], row["end_line"], row["fits"]) == (7, 3006, True)
+
+
+def test_pieces_small_limits_and_early_breaks(spark):
+    """Lookback over several short stretches, and a break in the first half rather than a cut within a word."""
+    for text in ("ab\n" * 500, "é" * 300, "x" * 100 + "\n" + "y" * 900):
+        check(pieces_of(spark, [("a", text, 1, None)], limit_tokens=10, overlap_tokens=8), text, 1, 10, 8)
+    out = pieces_of(spark, [("a", "short line\n" + "x" * 8000, 1, None)])
+    assert out[0]["content"] == "short line\n"
+
+
+def test_copies_hot_record_and_late_letters(spark):
+    """One record may hold most rows; letters of late planes count; fields behind many blank lines are seen."""
+    rows = [(f"h{i:05d}", "Same  Text" if i % 2 else "same-text", 1, None) for i in range(2500)]
+    rows += [("x1", "a \U00030005", 1, None), ("x2", "a \U00030006", 1, None), ("f1", "\n" * 420 + "a: 1\nb: 2", 1, None), ("f2", "b: 2\na: 1", 1, None)]
+    got = copy_pairs(spark.createDataFrame(rows, SCHEMA)).groupBy("keep_id").count().collect()
+    assert {tuple(r) for r in got} == {("h00000", 2499), ("f1", 1)}
+
+
 def test_fingerprints_and_pointers():
     a, b = "Hello, World 42", "hello world42"
     assert (fingerprints([a])[0] == fingerprints([b, "x"])[0]).all()
