@@ -616,14 +616,12 @@ class Evidence:
         owner = np.repeat(np.arange(len(rows)), list(map(len, rows)))
         seeds = np.array(first)
         said = np.log(np.clip(seeds, 1e-6, 1 - 1e-6) / (1 - np.clip(seeds, 1e-6, 1 - 1e-6)))  # of the first field
-        # First round: what the field finds, and what is new in documents labelled toxic.
         labelled = np.array([k == 1 for k in kinds])
         # Parts without label that the field is sure of count neither way.
         counted = np.array([k is not None for k in kinds]) | (seeds < 0.5)
         total = np.bincount(flat, counted[owner].astype(float), len(self.index))
-        elsewhere = np.bincount(flat, (~labelled & counted)[owner].astype(float), len(self.index))
-        novel = np.add.reduceat((elsewhere[flat] == 0).astype(float), starts) / np.maximum(1, np.array(list(map(len, rows))))
-        share = np.where(labelled, np.maximum(seeds, np.clip(2.0 * novel - 1.0, 0.0, 0.5)), 0.0)
+        # First round: every part of a document labelled toxic counts, so a word says how often its documents are.
+        share = labelled.astype(float)
         # What is independent of the label stands in documents labelled toxic as often as any part does.
         base = float(np.clip(labelled.mean(), 1e-3, 0.5))
         for _ in range(rounds):
@@ -685,7 +683,7 @@ def refine(texts: list[tuple[str, int | None]], rounds: int = 8) -> tuple[Field,
                 a, b = evidence.stretch(w)
                 learnt.update(w[a:b])
                 data.append((w, [0] * a + [1] * (b - a) + [0] * (len(w) - b)))
-            elif kind == 0 or s < 0.2 and seed < 0.2:
+            elif s < (0.5 if kind == 0 else 0.2) and (kind == 0 or seed < 0.2):  # some labels are wrong
                 ordinary.append((-s, w))
                 if kind == 0 and seed > 0.2:  # what the first field is wrong about
                     data += [(w, [0] * len(w))] * 4
