@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, spread
+from .joins import filter_words, passes, salted_join
 
 P1, P2 = 2147483647, 2147483629
 B1, B2 = 1000003, 92821
@@ -280,49 +281,20 @@ def record_keys(items: DataFrame, id_col: str = "id", text_col: str = "content",
         chained = step.where("label < old").limit(1).count() > 0
         labels = step.select("seq_key", "field_key", "label")
     seq_label = labels.groupBy("seq_key").agg(F.min("label").alias("label"))
-    return _salted_join(hashed, seq_label, "seq_key", "left").select("id", F.coalesce("label", "seq_key").alias("record_key"))
-
-
-SALTS = 16
-
-
-def _salted_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join of rows with a table of one row a key, the rows of each key dealt to ``SALTS`` tasks: a third of all rows may
-    have the same key."""
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return left.join(one.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
-
-
-FILTER_BITS = 1 << 27
-
-
-def _bits(count: int) -> int:
-    """Bits of a filter for so many ids: a power of two from twelve times their number, 16 MB at most."""
-    return min(FILTER_BITS, 1 << max(12, (12 * count).bit_length()))
+    return salted_join(hashed, seq_label, ["seq_key"], "left").select("id", F.coalesce("label", "seq_key").alias("record_key"))
 
 
 def _members_only(texts: DataFrame, members: DataFrame) -> DataFrame:
     """The texts whose ids may be among the members', told by a Bloom filter of bounded size that is broadcast: hardly any
-    other text goes into the join. A filter that is full lets all of them through, and the join still decides."""
-    n = _bits(members.count())
-    places = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)) for k in range(3)]
-    words = members.select(F.explode(F.array(*places)).alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))).alias("bits"))
-    rows = words.collect()  # n / 64 rows at most
-    table = np.zeros(n // 64, np.int64)
-    table[[r["word"] for r in rows]] = [r["bits"] for r in rows]
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+    other text goes into the join."""
+    shared = texts.sparkSession.sparkContext.broadcast(filter_words(members.select(F.xxhash64("id").alias("h")), "h"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            hit = np.ones(batch.num_rows, bool)
-            for k in range(3):
-                at = np.asarray(batch.column(2 + k))
-                hit &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+            hit = passes(shared.value, np.asarray(batch.column(2)))
             yield batch.filter(pa.array(hit)).select(["id", "text"])
 
-    return texts.select("id", "text", *[p.alias(f"p{k}") for k, p in enumerate(places)]).mapInArrow(keep, "id string, text string")
+    return texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(keep, "id string, text string")
 
 
 COPIES_A_TASK = 1000
@@ -340,7 +312,7 @@ def collapse_copies(items: DataFrame, id_col: str = "id", text_col: str = "conte
     """
     keys = checkpointed(record_keys(items, id_col, text_col).groupBy("id").agg(F.min("record_key").alias("record_key")))
     classes = keys.groupBy("record_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(_salted_join(keys, classes, "record_key"))
+    members = checkpointed(salted_join(keys, classes, ["record_key"]))
     texts = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     member_text = _members_only(texts, members).join(members, "id")
     tasks = F.ceil(F.col("n") / COPIES_A_TASK).cast("int")
@@ -355,7 +327,7 @@ def collapse_copies(items: DataFrame, id_col: str = "id", text_col: str = "conte
         exact = record_keys(texts.join(again.select("id"), "id", "left_semi"), "id", "text", exact=True).groupBy("id").agg(F.min("record_key").alias("exact"))
         final = checkpointed(keys.join(exact, "id", "left").select("id", F.coalesce("exact", "record_key").alias("record_key")))
     per_record = final.groupBy("record_key").agg(F.min("id").alias("record_id"), F.count("*").alias("copies"))
-    return _salted_join(final, per_record, "record_key").select("record_id", "id", "copies")
+    return salted_join(final, per_record, ["record_key"]).select("record_id", "id", "copies")
 
 
 def copy_pairs(items: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:

@@ -123,9 +123,8 @@ def test_leaks_match_brute_force(spark):
                 shingles[tuple(w[k : k + 12])].add(i)
     want = {(d, i) for d, t, *_ in docs if d is not None and t for w in [words_of(t)] for k in range(len(w) - 11) for i in shingles.get(tuple(w[k : k + 12]), ())}
     q = spark.createDataFrame(items, "item_id bigint, text string, doc_id string")
-    for block in (32_000_000, 200):
-        got = {tuple(r) for r in leaked_items(spark.createDataFrame(docs, DOCS), q, block_chars=block).collect()}
-        assert got == want and len(want) > 5
+    got = {tuple(r) for r in leaked_items(spark.createDataFrame(docs, DOCS), q).collect()}
+    assert got == want and len(want) > 5
     assert leaked_items(spark.createDataFrame([], DOCS), q).count() == 0
     assert leaked_items(spark.createDataFrame(docs, DOCS), q.limit(0)).count() == 0
 
