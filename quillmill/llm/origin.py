@@ -243,7 +243,7 @@ class Model(NamedTuple):
     report: dict
 
 
-def fit_headers(rows: list[np.ndarray], labels: list[int], repos: list[int], positive_weight: float = 9.0, folds: int = 5) -> tuple[np.ndarray, float, dict]:
+def fit_headers(rows: list[np.ndarray], labels: list[int], repos: list[int], positive_weight: float, folds: int = 5) -> tuple[np.ndarray, float, dict]:
     """The classifier of comment lines from noisy labels: each line is judged by a classifier of the other repositories;
     lines on which it disagrees with the label are left out, of both kinds. The report is on the repositories held out."""
     y, fold = np.array(labels), np.array(repos) % folds
@@ -267,8 +267,13 @@ def _content_row(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((idx, p)), np.concatenate((val, np.full(len(p), PATH_SCALE)))
 
 
-def fit(examples: list[Example]) -> Model:
-    """Both classifiers, and how they do on repositories held out (a fifth at a time for the second)."""
+#: How much more a tag of an earlier scan counts than its absence, in the whole corpus: tags are often missing.
+TAG_WEIGHT = 17.0
+
+
+def fit(examples: list[Example], tagged_rate: float = 1.0, other_rate: float = 1.0) -> Model:
+    """Both classifiers, and how they do on repositories held out (a fifth at a time for the second). The rates say
+    which share of the tagged and of the other files the examples are."""
     rows, labels, held = [], [], []
     header_rows, header_labels, header_repos = [], [], []
     for e in sorted(examples, key=lambda e: e.path):
@@ -307,7 +312,7 @@ def fit(examples: list[Example]) -> Model:
     w, b = fit_svm([rows[i] for i in train], [labels[i] for i in train])
     said = [(w[rows[i][0]] @ rows[i][1] + b > 0, labels[i] > 0) for i, o in enumerate(held) if o]
     report = {"content": {"train": len(train), "held_out": len(said), "right": sum(p == t for p, t in said), "made": sum(t for _, t in said), "made_found": sum(p and t for p, t in said), "wrongly_found": sum(p and not t for p, t in said)}}
-    header, header_bias, report["header"] = fit_headers(header_rows, header_labels, header_repos)
+    header, header_bias, report["header"] = fit_headers(header_rows, header_labels, header_repos, TAG_WEIGHT * other_rate / tagged_rate)
     return Model(w, b, header, header_bias, report)
 
 
@@ -347,18 +352,20 @@ def _path_scorer(model: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def training_sample(files: DataFrame, chunks: DataFrame, tagged_bound: int = 2500, other_bound: int = 4000, bytes_bound: int = 40_000) -> list[Example]:
+def training_sample(files: DataFrame, chunks: DataFrame, tagged_bound: int = 2500, other_bound: int = 4000, bytes_bound: int = 40_000) -> tuple[list[Example], float, float]:
     """At most so many files that an earlier scan tagged and so many others, chosen by a hash of the id; of either those of
-    at most ``bytes_bound`` bytes."""
+    at most ``bytes_bound`` bytes. With the shares of both kinds that they are."""
     marked = F.coalesce(F.arrays_overlap("tags", F.array(F.lit("generated"), F.lit("vendored"), F.lit("lock-file"))), F.lit(False)) | F.coalesce(F.lower("classification").isin("generated", "vendored"), F.lit(False))
     one = files.where("file_id IS NOT NULL AND path IS NOT NULL AND coalesce(size_bytes, 0) <= %d" % bytes_bound).groupBy("file_id").agg(F.max(F.struct("path", "repo_id")).alias("f"), F.max(marked).alias("tagged")).select("file_id", "f.path", "f.repo_id", "tagged")
+    every = {r["tagged"]: r["n"] for r in one.groupBy("tagged").agg(F.count("*").alias("n")).collect()}
+    rates = [min(1.0, bound / max(1, every.get(kind, 0))) for kind, bound in ((True, tagged_bound), (False, other_bound))]
     order = [F.xxhash64("file_id"), F.col("file_id")]
     chosen = one.where("tagged").orderBy(*order).limit(tagged_bound).union(one.where("NOT tagged").orderBy(*order).limit(other_bound))
     rows = chunks.where("content IS NOT NULL").join(F.broadcast(chosen), "file_id").select("file_id", F.col("path"), "tagged", chosen["repo_id"], "chunk_index", "content")
     texts: dict[str, dict] = {}
     for r in rows.collect():
         texts.setdefault(r["file_id"], {"meta": r, "parts": {}})["parts"][r["chunk_index"] or 0] = r["content"]
-    return [Example(t["meta"]["repo_id"] or 0, t["meta"]["path"], "\n".join(x for _, x in sorted(t["parts"].items())), bool(t["meta"]["tagged"])) for t in texts.values()]
+    return [Example(t["meta"]["repo_id"] or 0, t["meta"]["path"], "\n".join(x for _, x in sorted(t["parts"].items())), bool(t["meta"]["tagged"])) for t in texts.values()], *rates
 
 
 def made_scores(files: DataFrame, chunks: DataFrame, tagged_bound: int = 2500, other_bound: int = 4000) -> tuple[DataFrame, dict]:
@@ -368,7 +375,7 @@ def made_scores(files: DataFrame, chunks: DataFrame, tagged_bound: int = 2500, o
     path; a chunk delivered again counts once; null chunk numbers count as a file of one chunk; extra columns are ignored;
     an empty table gives an empty result.
     """
-    model = fit(training_sample(files.select("file_id", "repo_id", "path", "size_bytes", "tags", "classification"), chunks.select("file_id", "chunk_index", "content"), tagged_bound, other_bound))
+    model = fit(*training_sample(files.select("file_id", "repo_id", "path", "size_bytes", "tags", "classification"), chunks.select("file_id", "chunk_index", "content"), tagged_bound, other_bound))
     content, header = model.content.astype(np.float32), model.header.astype(np.float32)
     scored = chunks.where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("chunks_in_file").cast("bigint").alias("chunks_in_file"), "content")
     scored = spread(scored).mapInArrow(_chunk_scorer((content, header, model.header_bias)), "file_id string, chunk_index bigint, sums double, grams bigint, header double")
