@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,99 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-
-_JS = [
-    re.compile(r"\bimport\s+(?:[^'\"\n]+?\s+from\s+)?['\"]([^'\"]+)['\"]"),
-    re.compile(r"\bexport\s+(?:\*[^;\n]*?|\{[^}\n]*\})\s+from\s+['\"]([^'\"]+)['\"]"),
-    re.compile(r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"),
-    re.compile(r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"),
-]
-_SCRIPT = re.compile(r"(?s)<script(?:\s[^>]*)?>(.*?)</script>")
-_PY_FROM = re.compile(r"(?m)^[ \t]*from\s+(\.*[A-Za-z_][\w.]*|\.+)\s+import\s+([^\n#]+)")
-_PY_IMPORT = re.compile(r"(?m)^[ \t]*import\s+([^\n#]+)")
-_RS_MOD = re.compile(r"(?m)^[ \t]*(#\[cfg\(test\)\]\s*)?(?:#\[path\s*=\s*\"([^\"]+)\"\]\s*)?(?:pub(?:\s*\(\s*crate\s*\))?\s+)?mod\s+(\w+)\s*;")
-_RS_USE = re.compile(r"(?m)^[ \t]*(?:pub(?:\([a-z]+\))?\s+)?use\s+((?:crate|super|self)::[^;]+);")
-_GO = re.compile(r"(?m)^[ \t]*(?:import\s+)?(?:[._A-Za-z0-9-]+\s+)?\"([^\"]+)\"")
-_RES = re.compile(r"\"res://([^\"]+)\"")
-JS_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".svelte")
-
-
-def _use_paths(text: str) -> list[str]:
-    """Paths of a grouped ``use``: ``a::{b, c::d}`` gives ``a::b`` and ``a::c::d``."""
-    text = re.sub(r"\s+as\s+\w+", "", re.sub(r"\s+", " ", text)).replace(" ", "")
-    if "{" not in text:
-        return [text]
-    head, rest = text.split("{", 1)
-    body, depth, item, out = rest, 1, "", []
-    for c in body:
-        depth += (c == "{") - (c == "}")
-        if depth == 0 or (c == "," and depth == 1):
-            if item:
-                out += [head + x for x in _use_paths(item)]
-            item = ""
-            if depth == 0:
-                break
-        else:
-            item += c
-    return out
-
-
-def import_candidates(path: str, language: str, text: str) -> list[list[str]]:
-    """For each import the paths it may mean, likeliest first. Paths are relative to the repository's root."""
-    here, out = posixpath.dirname(path), []
-    if language in ("javascript", "typescript", "svelte", "vue"):
-        bodies = _SCRIPT.findall(text) if language in ("svelte", "vue") else [text]
-        for spec in dict.fromkeys(m for body in bodies for p in _JS for m in p.findall(body)):
-            if spec.startswith("."):
-                base = posixpath.normpath(posixpath.join(here, spec))
-                index = [f"{base}/index{e}" for e in (".ts", ".tsx", ".js", ".jsx")]
-                out.append([base, *index] if posixpath.splitext(base)[1] else [base + e for e in JS_EXTENSIONS] + index)
-    elif language == "python":
-        specs: list[str] = []
-        for module, names in _PY_FROM.findall(text):
-            specs.append(module)
-            for n in names.split(","):
-                if n.split() and (name := n.split()[0].strip("()")):
-                    specs.append(module + name if module.endswith(".") else f"{module}.{name}")
-        for names in _PY_IMPORT.findall(text):
-            specs += [n.split()[0].strip("()") for n in names.split(",") if n.split()]
-        for spec in dict.fromkeys(specs):
-            dots = len(spec) - len(spec.lstrip("."))
-            module = spec[dots:].replace(".", "/")
-            if dots:
-                base = here
-                for _ in range(dots - 1):
-                    base = posixpath.dirname(base)
-                bases = [base]
-            else:
-                parts = here.split("/") if here else []
-                bases = [""] + ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
-            roots = [posixpath.join(b, module) if module else b for b in bases]
-            out.append([x for r in roots for x in (f"{r}.py", f"{r}/__init__.py")])
-    elif language == "rust":
-        stem = posixpath.splitext(posixpath.basename(path))[0]
-        inner = here if stem in ("mod", "lib", "main") else posixpath.join(here, stem)
-        for guarded, custom, name in _RS_MOD.findall(text):
-            if not guarded:
-                out.append([posixpath.normpath(posixpath.join(here, custom))] if custom else [f"{inner}/{name}.rs", f"{inner}/{name}/mod.rs"])
-        parts = path.split("/")
-        root = "/".join(parts[: parts.index("src") + 1]) if "src" in parts else here
-        for body in _RS_USE.findall(text):
-            for use in _use_paths(body):
-                names = [n for n in use.split("::") if n and n != "*"]
-                base = {"crate": root, "self": inner, "super": posixpath.dirname(inner)}[names[0]]
-                names = names[1:]
-                while names and names[0] == "super":
-                    base, names = posixpath.dirname(base), names[1:]
-                tries = []
-                for k in range(len(names), 0, -1):
-                    at = posixpath.join(base, *names[:k])
-                    tries += [f"{at}.rs", f"{at}/mod.rs"]
-                if tries:
-                    out.append(tries)
-    elif language in ("gdscript", "godot_scene", "godot_resource", "godot_project", "godot_shader"):
-        out += [[x] for x in dict.fromkeys(_RES.findall(text))]
-    return out
+from .imports import candidates, go_packages
 
 
 def _extractor() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -111,7 +17,7 @@ def _extractor() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
         for batch in batches:
             rows: list[tuple] = []
             for path, language, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for k, tries in enumerate(import_candidates(path, language or "", text)):
+                for k, tries in enumerate(candidates(path, language or "", text)):
                     rows += [(path, k, r, c) for r, c in enumerate(tries)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["src", "spec", "rank", "dst"])
 
@@ -119,20 +25,37 @@ def _extractor() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
 
 
 def import_edges(files: DataFrame, path_col: str = "path", language_col: str = "language", text_col: str = "content") -> DataFrame:
-    """``src, dst``: each import with the first of its candidates that is a file. One equi-join on the path."""
+    """``src, dst``: each import with the first of its candidates that is a file, and those of Go modules. One equi-join on the path."""
     rows = files.where(F.col(path_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(path_col).alias("path"), F.col(language_col).alias("language"), F.col(text_col).alias("content"))
     tries = rows.mapInArrow(_extractor(), "src string, spec bigint, rank bigint, dst string")
     known = files.select(F.col(path_col).alias("dst")).distinct()
-    return tries.join(known, "dst", "left_semi").groupBy("src", "spec").agg(F.min_by("dst", "rank").alias("dst")).where("src <> dst").select("src", "dst").distinct()
+    found = tries.join(known, "dst", "left_semi").groupBy("src", "spec").agg(F.min_by("dst", "rank").alias("dst")).where("src <> dst").select("src", "dst")
+    return found.union(go_edges(files, path_col, text_col)).distinct()
+
+
+def _go_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(path, spec) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for spec in dict.fromkeys(go_packages(text))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["src", "spec"])
+
+
+def go_modules(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """``root, module`` of every go.mod: the folder it lies in, with its slash, and the module it names."""
+    mods = files.where((F.col(path_col) == "go.mod") | F.col(path_col).endswith("/go.mod"))
+    return mods.select(F.regexp_replace(path_col, r"go\.mod$", "").alias("root"), F.regexp_extract(text_col, r"(?m)^module\s+(\S+)", 1).alias("module")).where("module <> ''")
 
 
-def go_edges(files: DataFrame, module: str, path_col: str = "path", text_col: str = "content") -> DataFrame:
-    """Edges of a Go module: an import of a package of the module is an import of each of its files."""
-    go = files.where(F.col(path_col).endswith(".go")).select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    specs = go.select(F.col("path").alias("src"), F.explode(F.regexp_extract_all("text", F.lit(_GO.pattern), F.lit(1))).alias("spec")).where(F.col("spec").startswith(module))
-    package = F.regexp_replace(F.substring(F.col("spec"), F.lit(len(module) + 1), F.length("spec")), "^/", "")
+def go_edges(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """``src, dst`` of Go modules: an import of a package of the module is an import of each of its files."""
+    go = files.where(F.col(path_col).endswith(".go") & F.col(text_col).isNotNull()).select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    specs = go.mapInArrow(_go_reader, "src string, spec string")
+    # A module's name is a beginning of the import's path: all beginnings are joined by equality, the longest stands.
+    parts = F.split("spec", "/")
+    heads = specs.select("src", "spec", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("module"))
+    package = F.regexp_replace(F.concat("root", F.expr("substring(spec, length(module) + 2)")), "/$", "")
+    named = heads.join(go_modules(files, path_col, text_col), "module").where(F.col("src").startswith(F.col("root"))).select("src", package.alias("package"))
     target = go.select(F.col("path").alias("dst"), F.regexp_replace("path", r"/?[^/]*$", "").alias("package"))
-    return specs.select("src", package.alias("package")).distinct().join(target, "package").where("src <> dst").select("src", "dst").distinct()
+    return named.distinct().join(target, "package").where("src <> dst").select("src", "dst").distinct()
 
 
 def incoming(edges: DataFrame) -> DataFrame:

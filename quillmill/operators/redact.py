@@ -58,6 +58,7 @@ NEEDED = {
 }
 #: Values no pass touches: UUIDs, digests, versions, integrity hashes. Fixed values.
 SAFE_VALUE = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32}|v?\d+\.\d+\.\d+(?:-[\w.]+)?(?:\+[\w.]+)?|sha(?:256|384|512)-[A-Za-z0-9+/=]+)$"
+#: An unquoted reference in code. Fixed value.
 CODE_REFERENCE = re.compile(r"[_A-Za-z][_A-Za-z0-9]*(?:\.[_A-Za-z][_A-Za-z0-9]*)*")
 
 
@@ -85,6 +86,7 @@ class Redaction:
     structure_safe: bool = True
     keep_on_broken_structure: bool = False
     safe_files: str | None = None
+    skip_files: str | None = None
     rules: tuple[tuple[str, str, str], ...] = field(default=RULES)
 
 
@@ -105,6 +107,7 @@ class Redactor:
             except re.error:
                 continue  # a custom rule that doesn't compile is left out
         self.token = re.compile(rf"\b[A-Za-z0-9+/=_-]{{{config.min_length},}}\b")
+        self.long_token = re.compile(r"\b[A-Za-z0-9+/=_-]{32,}\b")
         self.safe = re.compile(SAFE_VALUE)
         self.threshold = config.threshold if config.threshold is not None else 3.5 if config.mode == "paranoid" else 4.5
 
@@ -134,6 +137,8 @@ class Redactor:
     def redact(self, text: str, language: str = "", path: str = "") -> tuple[str, dict[str, int], list[tuple]]:
         counts: dict[str, int] = {}
         spans: list[tuple] = []
+        if self.config.skip_files and re.search(self.config.skip_files, path):
+            return text, counts, spans  # a file on the allow-list
         out, low = text, text.lower()
         for name, pattern, replacement in self.rules:
             if (needed := NEEDED.get(name)) and not any(k in low for k in needed):
@@ -153,22 +158,31 @@ class Redactor:
                 return text, {"structure_safe_reverted": 1}, []
         ruled = (out, dict(counts), spans)
         if self.config.mode in ("standard", "paranoid", "structure-safe"):
-            out, spans, n = self._replace(out, spans, "high_entropy", self.token, lambda m: None if self._exempt(m, out) or shannon(m[0]) < self.threshold else "[HIGH_ENTROPY_REDACTED]")
+            out, spans, n = self._replace(out, spans, "entropy_detected", self.token, lambda m: None if self._exempt(m, out) or shannon(m[0]) < self.threshold else "[HIGH_ENTROPY_REDACTED]")
             if n:
-                counts["high_entropy"] = n
+                counts["entropy_detected"] = n
         if self.config.mode == "paranoid" and not (self.config.safe_files and re.search(self.config.safe_files, path)):
-            out, spans, n = self._replace(out, spans, "long_token", self.token, lambda m: None if self._exempt(m, out) or len(m[0]) < 32 else "[LONG_TOKEN_REDACTED]")
+            out, spans, n = self._replace(out, spans, "paranoid_redacted", self.long_token, lambda m: None if self._known(m[0]) else "[LONG_TOKEN_REDACTED]")
             if n:
-                counts["long_token"] = n
+                counts["paranoid_redacted"] = n
         if safe and language == "python" and out != ruled[0] and _parses(ruled[0]) and not _parses(out):
             return ruled
         return out, counts, spans
 
     def _exempt(self, m: re.Match, text: str) -> bool:
-        if m[0] in self.config.allow or self.safe.match(m[0]) or "REDACTED" in m[0]:
-            return True
-        before = re.search(r"\S*$", text[max(0, m.start() - 300) : m.start()])[0]
-        return "://" in before  # a part of an address
+        return self._known(m[0]) or _within_address(text, m.start())
+
+    def _known(self, token: str) -> bool:
+        return token in self.config.allow or self.safe.match(token) is not None or "REDACTED" in token
+
+
+_ENDS_ADDRESS = re.compile(r"[\s\"'()\[\]<>]")
+
+
+def _within_address(text: str, at: int) -> bool:
+    """Whether a web address begins before a place and no white space, quote or bracket ends it before that."""
+    begin = max(text.rfind("http://", 0, at), text.rfind("https://", 0, at))
+    return begin >= 0 and _ENDS_ADDRESS.search(text, begin, at) is None
 
 
 def _parses(text: str) -> bool:

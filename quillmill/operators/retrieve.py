@@ -22,7 +22,7 @@ def task_words(task: str) -> list[str]:
     return [w.lower() for w in re.split(r"[^\w]+|_", spaced) if len(w) >= 2]
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, task: str) -> DataFrame:
+def bm25(docs: DataFrame, id_col: str, text_col: str, task: str, unique: bool = False) -> DataFrame:
     """``id, bm25`` of every document that holds a word of the task; repeated words of the task count again.
 
     Only the task's own words leave the exploding stage; corpus counts come from one aggregate beside it.
@@ -33,7 +33,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, task: str) -> DataFrame:
     docs = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col))
     tokenised = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).select("id", F.size("w").alias("length"), F.filter("w", lambda x: x.isin(*sorted(set(query)))).alias("w"))
     # Read once: the corpus counts, the document counts and the scores all need it, and it is far smaller than the texts.
-    tokenised = checkpointed(tokenised)
+    # A row delivered twice counts once.
+    tokenised = checkpointed(tokenised.dropDuplicates(["id"]) if unique else tokenised)
     corpus = tokenised.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("average"))
     tf = tokenised.select("id", "length", F.explode("w").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
@@ -45,17 +46,35 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, task: str) -> DataFrame:
     return scored.groupBy("id").agg(F.sum(part * weight[F.col("word")]).alias("bm25"))
 
 
+SALTS = 16
+
+
+def _counts(array: str) -> Column:
+    """Map of the different values of an array to how often they stand in it."""
+    ordered = F.array_sort(array)
+    distinct = F.array_distinct(ordered)
+    first = F.transform(distinct, lambda x: F.array_position(ordered, x))
+    total = F.size(ordered).cast("bigint")
+    ends = F.transform(first, lambda x, i: F.coalesce(F.get(first, i + 1), total + 1) - x)
+    return F.map_from_arrays(distinct, ends)
+
+
 def bm25_many(docs: DataFrame, id_col: str, text_col: str, tasks: DataFrame, task_col: str, task_text_col: str) -> DataFrame:
     """``task, id, bm25`` for many tasks in one pass: the tasks' words meet the documents' on the word."""
     q = tasks.where(F.col(task_text_col).isNotNull()).select(F.col(task_col).alias("task"), F.explode(words(task_text_col)).alias("word")).groupBy("task", "word").agg(F.count("*").alias("qn"))
     docs = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col))
-    tokenised = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).withColumn("length", F.size("w"))
+    # Read once: lengths for the corpus counts, and each task word's uses. A word that a third of the documents hold is dealt
+    # to several tasks wherever rows meet on it.
+    tokenised = checkpointed(docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).select("id", F.size("w").alias("length"), _counts("w").alias("uses")))
     corpus = tokenised.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("average"))
-    tf = tokenised.select("id", "length", F.explode("w").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf")).join(q.select("word").distinct(), "word", "left_semi")
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    salted = tokenised.select("id", "length", F.explode("uses").alias("word", "tf")).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    tf = salted.join(q.select("word").distinct().withColumn("_salt", salts), ["word", "_salt"], "left_semi")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    asked = q.join(df, "word").withColumn("_salt", salts)
     # The corpus counts are one row.
     part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    scored = tf.join(df, "word").crossJoin(F.broadcast(corpus)).select("word", "id", part.alias("part")).join(q, "word")
+    scored = tf.join(asked, ["word", "_salt"]).crossJoin(F.broadcast(corpus)).select("task", "id", "qn", part.alias("part"))
     return scored.groupBy("task", "id").agg(F.sum(F.col("part") * F.col("qn")).alias("bm25"))
 
 
@@ -68,12 +87,14 @@ def overlap(query: list[str], found: Column) -> Column:
 
 
 def seeds(chunks: DataFrame, task: str) -> DataFrame:
-    """``id, path, start_line, score, reasons`` of the chunks the task speaks of. Columns: id, file_path, start_line, content, priority, tags."""
+    """``id, path, start_line, score, reasons`` of the chunks the task speaks of. Columns: id, file_path, start_line, content, priority, tags.
+
+    An id delivered again counts once; texts are read where they lie, only what is computed from them is shuffled."""
     query = task_words(task)
-    scored = bm25(chunks, "id", "content", task)
+    scored = bm25(chunks, "id", "content", task, unique=True)
     best = scored.agg(F.max("bm25").alias("best"))
     symbol_words = F.flatten(F.transform(symbols_of("tags"), words))
-    base = chunks.select("id", F.col("file_path").alias("path"), "start_line", clamped_priority("priority").alias("p"), overlap(query, words("file_path")).alias("path_overlap"), overlap(query, symbol_words).alias("symbol_overlap"))
+    base = chunks.select("id", F.col("file_path").alias("path"), "start_line", clamped_priority("priority").alias("p"), overlap(query, words("file_path")).alias("path_overlap"), overlap(query, symbol_words).alias("symbol_overlap")).dropDuplicates(["id"])
     rows = base.join(scored, "id", "left").crossJoin(F.broadcast(best)).withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     normal = F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(0.0)
     return rows.where("bm25 > 0 OR path_overlap > 0 OR symbol_overlap > 0").select(
@@ -111,9 +132,10 @@ def path_stem(path: Column | str) -> Column:
 def related_tests(starts: DataFrame, files: DataFrame) -> DataFrame:
     """``start, path``: tests whose stem contains, or is contained in, that of a source file, and the other way round.
 
-    ``starts`` is a bounded set (the seeds); it is broadcast, and each file is matched against it where it lies.
+    All starts count; callers hand over few (the seeds of a plan, the entry of a scope).
     """
-    s = F.broadcast(starts.select(F.col("path").alias("start"), path_stem("path").alias("sa"), is_test_path("path").alias("ta")).distinct().limit(MAX_SEEDS))
+    # The join may be broadcast or not, as sizes say; ``plan`` hands over its bounded seeds.
+    s = starts.select(F.col("path").alias("start"), path_stem("path").alias("sa"), is_test_path("path").alias("ta")).distinct()
     f = files.select("path", path_stem("path").alias("sb"), is_test_path("path").alias("tb")).distinct()
     return f.join(s, (F.col("ta") != F.col("tb")) & (F.col("sa") != "") & (F.col("sb") != "") & (F.col("sa").contains(F.col("sb")) | F.col("sb").contains(F.col("sa")))).select("start", "path")
 

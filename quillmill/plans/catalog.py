@@ -47,6 +47,11 @@ def _one_chunk(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return table(spark, root, "chunks").where("id IS NOT NULL").select("id", *columns).dropDuplicates(["id"])
 
 
+def _per_chunk(spark: SparkSession, root: str, **values) -> DataFrame:
+    """What is computed from each chunk, once for each id: texts are read where they lie, only the results are shuffled."""
+    return table(spark, root, "chunks").where("id IS NOT NULL").select("id", *[v.alias(k) for k, v in values.items()]).dropDuplicates(["id"])
+
+
 ONE_FILE = "(SELECT path, max_by(struct_pack(repo_id := repo_id, language := language, extension := extension, size_bytes := size_bytes, priority := priority, tags := tags, is_readme := is_readme, is_config := is_config, is_doc := is_doc, file_id := file_id, content_hash := content_hash, token_estimate := token_estimate), struct_pack(s := scanned_at, i := ingested_at)) AS f FROM files GROUP BY path)"
 ONE_CHUNK = "(SELECT DISTINCT ON (id) * FROM chunks)"
 REL = "substr(path, strpos(path, '/') + 1)"
@@ -122,14 +127,14 @@ SELECT id, file_path AS path, start_line, round(0.70 * coalesce(b, 0) / (SELECT
 FROM o LEFT JOIN b USING (id) WHERE coalesce(b, 0) > 0 OR po > 0 OR so > 0""")
 def seed_scores(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk the task speaks of, with its score and why."""
-    chunks = _one_chunk(spark, root, "file_path", "start_line", "content", "priority", "tags")
+    chunks = table(spark, root, "chunks").where("id IS NOT NULL").select("id", "file_path", "start_line", "content", "priority", "tags")
     return retrieve.seeds(chunks, TASK).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query()
 def retrieval_plan(spark: SparkSession, root: str) -> DataFrame:
     """Seeds and their support over the import graph."""
-    chunks = _one_chunk(spark, root, "file_path", "start_line", "content", "priority", "tags")
+    chunks = table(spark, root, "chunks").where("id IS NOT NULL").select("id", "file_path", "start_line", "content", "priority", "tags")
     edges = table(spark, root, "imports").select(F.col("source_path").alias("src"), F.col("target_path").alias("dst"))
     return retrieve.plan(chunks, _one_file(spark, root), edges, TASK)
 
@@ -146,8 +151,7 @@ def token_estimate_by_lang(spark: SparkSession, root: str) -> DataFrame:
 @query(f"SELECT id, sha256(content) AS sha, substr(sha256(file_path), 1, 16) AS file, substr(sha256(file_path || ':' || start_line || '-' || end_line || ':' || substr(content, 1, 1000)), 1, 16) AS place FROM {ONE_CHUNK}")
 def content_fingerprint(spark: SparkSession, root: str) -> DataFrame:
     """Fingerprints of a chunk's text, file and place."""
-    c = _one_chunk(spark, root, "file_path", "start_line", "end_line", "content")
-    return c.select("id", X.fingerprint("content").alias("sha"), X.fingerprint("file_path", 16).alias("file"), X.chunk_id("file_path", "start_line", "end_line", "content").alias("place"))
+    return _per_chunk(spark, root, sha=X.fingerprint("content"), file=X.fingerprint("file_path", 16), place=X.chunk_id("file_path", "start_line", "end_line", "content"))
 
 
 _LANG_VALUES = ", ".join(f"('{e}', '{g}')" for e, g in X.EXTENSION_LANGUAGE.items())
@@ -244,24 +248,23 @@ def _rules_sql(c: str) -> str:
 @query(f"SELECT id, sha256({_rules_sql('content')}) AS sha, ({_rules_sql('content')}) <> content AS changed FROM {ONE_CHUNK}")
 def redact_rules_text(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk after all rules, as a fingerprint."""
-    c = _one_chunk(spark, root, "content").select("id", "content", redact.redact_text_column("content").alias("r"))
-    return c.select("id", F.sha2("r", 256).alias("sha"), (F.col("r") != F.col("content")).alias("changed"))
+    c = table(spark, root, "chunks").where("id IS NOT NULL").select("id", "content", redact.redact_text_column("content").alias("r"))
+    return c.select("id", F.sha2("r", 256).alias("sha"), (F.col("r") != F.col("content")).alias("changed")).dropDuplicates(["id"])
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(sum(len(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}'))) AS BIGINT) AS hits FROM {ONE_CHUNK}" for n, p, _ in redact.RULES))
 def rule_hits(spark: SparkSession, root: str) -> DataFrame:
     """How often each rule alone would hit."""
-    c = _one_chunk(spark, root, "content")
-    sums = c.agg(*[F.coalesce(F.sum(F.regexp_count("content", F.lit(p))), F.lit(0)).cast("bigint").alias(n) for n, p, _ in redact.RULES])
+    c = _per_chunk(spark, root, **{n: F.regexp_count("content", F.lit(p)) for n, p, _ in redact.RULES})
+    sums = c.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n, _, _ in redact.RULES])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("hits")) for n, _, _ in redact.RULES])).alias("r")).select("r.*")
 
 
 @query()
 def redact_tracked(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk that redaction changes, with its occurrences."""
-    c = _one_chunk(spark, root, "content", "language", "file_path")
-    out = redact.redact_tracked(c, path_col="file_path")
-    return out.where(F.size("counts") > 0).select("id", F.sha2("content", 256).alias("sha"), F.size("occurrences").cast("bigint").alias("occurrences"), F.to_json("counts").alias("counts"))
+    out = redact.redact_tracked(table(spark, root, "chunks").where("id IS NOT NULL"), path_col="file_path")
+    return out.where(F.size("counts") > 0).select("id", F.sha2("content", 256).alias("sha"), F.size("occurrences").cast("bigint").alias("occurrences"), F.to_json("counts").alias("counts")).dropDuplicates(["id"])
 
 
 _TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
@@ -270,7 +273,7 @@ _TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
 @query(f"SELECT token, count(*) AS uses, round(list_aggregate(string_split(token, ''), 'entropy'), 6) AS entropy, regexp_matches(token, '{redact.SAFE_VALUE}') AS safe FROM (SELECT unnest(regexp_extract_all(content, '{_TOKEN}')) AS token FROM {ONE_CHUNK}) GROUP BY token")
 def entropy_tokens(spark: SparkSession, root: str) -> DataFrame:
     """Long tokens with their entropy, and whether they are of a kind that is never a secret."""
-    tokens = _one_chunk(spark, root, "content").select(F.explode(F.regexp_extract_all("content", F.lit(_TOKEN), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+    tokens = _per_chunk(spark, root, tokens=F.regexp_extract_all("content", F.lit(_TOKEN), F.lit(0))).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
     return tokens.select("token", "uses", F.round(X.entropy("token"), 6).alias("entropy"), redact.is_safe_value("token").alias("safe"))
 
 
@@ -458,7 +461,7 @@ _PROG = ", ".join(f"'{x}'" for x in X.PROGRAMMING)
  CAST(coalesce(sum(strlen(content) // 4) FILTER (language IS NULL OR language NOT IN ({_PROG})), 0) AS BIGINT) AS context_tokens FROM {ONE_CHUNK} GROUP BY repo_id""")
 def source_context_tokens(spark: SparkSession, root: str) -> DataFrame:
     """Tokens of source and of context per repository."""
-    c = _one_chunk(spark, root, "repo_id", "file_path", "language", "content").withColumn("t", X.token_estimate("content"))
+    c = _per_chunk(spark, root, repo_id=F.col("repo_id"), file_path=F.col("file_path"), language=F.col("language"), t=X.token_estimate("content"))
     source = F.coalesce(F.col("language").isin(*X.PROGRAMMING), F.lit(False))
     return c.groupBy("repo_id").agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"), F.coalesce(F.sum(F.when(source, F.col("t"))), F.lit(0)).alias("source_tokens"), F.coalesce(F.sum(F.when(~source, F.col("t"))), F.lit(0)).alias("context_tokens"))
 

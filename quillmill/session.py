@@ -52,22 +52,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where a small input comes in fewer partitions than there are cores; else the rows as they are.
+    """The rows over all cores where they come from fewer files than there are cores, none of which is large enough to be
+    read in several parts; else the rows as they are.
 
-    A table of one small file is one task, however much work its rows make. A large table has more splits than there are
-    cores and is not touched: no shuffle is added at scale.
+    A table of one small file is one task, however much work its rows make. What is looked at are the names and sizes of the
+    files, so nothing is planned or run; a large table isn't touched and gets no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    jvm = spark.sparkContext._jvm
+    conf, part = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    parts = sum(-(-p.getFileSystem(conf).getFileStatus(p).getLen() // part) for p in paths)
+    return df.repartition(cores) if parts < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 
-    A folder of our own is chosen only where the session has none, as in tests.
+    A folder of our own is chosen only where the session has none and runs on one machine, as in tests.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-checkpoint-"))
     return df.checkpoint()

@@ -6,8 +6,8 @@ import tomllib
 from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
-SECTIONS = ("repo-context", "r2p")
-FILE_NAMES = ("repo-context.toml", ".repo-context.toml", "pyproject.toml")
+SECTIONS = ("quillmill",)
+FILE_NAMES = ("quillmill.toml", ".quillmill.toml", "pyproject.toml")
 #: What the configuration of a fetched repository may set. Fixed values.
 SAFE = frozenset({"exclude_globs", "max_file_bytes", "max_total_bytes", "max_tokens", "chunk_tokens", "tree_depth"})
 

@@ -26,7 +26,7 @@ def test_walk_and_read(spark, tmp_path):
 
 
 def test_config(tmp_path):
-    (tmp_path / "repo-context.toml").write_text('[repo-context]\nchunk-tokens = 500\ninclude-extensions = "py, .RS"\n')
+    (tmp_path / "quillmill.toml").write_text('[quillmill]\nchunk-tokens = 500\ninclude-extensions = "py, .RS"\n')
     c = config.merged({"chunk_tokens": None, "chunk_overlap": 50}, config.load_file(None, str(tmp_path)))
     assert (c.chunk_tokens, c.chunk_overlap, c.include_extensions) == (500, 50, (".py", ".rs"))
     with pytest.raises(FileNotFoundError):
