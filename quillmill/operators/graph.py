@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .imports import candidates, go_packages
+from .imports import candidates, go_packages, rust_items
 
 
 def _extractor() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -39,6 +39,16 @@ def _go_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["src", "spec"])
 
 
+def module_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, language, module`` of what Go files import and what Rust files use of their own crate."""
+    for batch in batches:
+        rows = []
+        for key, language, text in zip(*(c.to_pylist() for c in batch.columns)):
+            found = go_packages(text) if language == "go" else ["::".join(u) for u in rust_items(text)[1]]
+            rows += [(key, language, m) for m in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["id", "language", "module"])
+
+
 def go_modules(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
     """``root, module`` of every go.mod: the folder it lies in, with its slash, and the module it names."""
     mods = files.where((F.col(path_col) == "go.mod") | F.col(path_col).endswith("/go.mod"))
@@ -104,3 +114,13 @@ def file_scope(entry: str, edges: DataFrame, files: DataFrame) -> DataFrame:
     tests = related_tests(start, files).select("path", F.lit("related_test").alias("reason"))
     own = start.select("path", F.lit("selected").alias("reason"))
     return focus_scope(own.union(deps).union(callers).union(tests).join(files.select("path").distinct(), "path", "left_semi"))
+
+
+def folder_scope(folder: str, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Scope of a folder: its files, what they import directly, and who imports them."""
+    paths = files.select("path").distinct()
+    inside = paths.where(F.col("path").startswith(folder + "/"))
+    own = inside.select("path", F.lit("selected").alias("reason"))
+    out = edges.join(inside.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("path"), F.lit("outbound_dependency").alias("reason"))
+    into = edges.join(inside.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"), F.lit("caller").alias("reason"))
+    return focus_scope(own.union(out).union(into).join(paths, "path", "left_semi"))

@@ -12,10 +12,10 @@ from ..functions.text import col, symbols_of
 
 
 def json_line(evidence: bool = False) -> Column:
-    """One chunk as JSON with its keys in alphabetical order; missing values have no key, infinite priorities none either."""
+    """One chunk as JSON with its keys in alphabetical order; missing values have no key, a priority that is no number is null."""
     tags = F.array_sort(F.coalesce(F.col("tags"), F.array().cast("array<string>")))
     has = lambda t: F.array_contains(tags, t)
-    priority = F.when(F.isnan("priority"), F.lit(None).cast("double")).otherwise(F.round("priority", 3))
+    priority = F.when(F.isnan("priority") | (F.abs("priority") == float("inf")), F.lit(None).cast("double")).otherwise(F.round("priority", 3))
     fields = {
         "byte_end": F.col("byte_end"), "byte_start": F.col("byte_start"), "chunk_hash": F.col("content_sha256"), "chunk_index": F.col("chunk_index"), "chunks_in_file": F.col("chunks_in_file"), "content": F.col("content"), "content_sha256": F.col("content_sha256"),
         "disposition": F.when(has("lock-file"), "included_summary_only").when(F.col("chunks_in_file") > 1, "included_chunked").otherwise("included_full"), "end_line": F.col("end_line"), "file_id": F.col("file_id"), "file_sha256": F.col("file_sha256"),
@@ -24,7 +24,13 @@ def json_line(evidence: bool = False) -> Column:
     }
     if evidence:
         fields["retrieval"] = F.struct(F.col("depth"), F.col("reasons"), F.round("score", 6).alias("score"))
-    return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(fields.items())]))
+    # What isn't known has no key, but a priority always has one.
+    head, tail = ([c.alias(k) for k, c in sorted(fields.items()) if (k < "priority") == first and k != "priority"] for first in (True, False))
+    known, rest = F.to_json(F.struct(*head)), F.to_json(F.struct(*tail))
+    middle = F.concat(F.lit('"priority":'), F.coalesce(F.regexp_extract(F.to_json(F.struct(priority.alias("p"))), r":(.+)\}$", 1), F.lit("")))
+    middle = F.when(priority.isNull(), F.lit('"priority":null')).otherwise(middle)
+    inner = [F.nullif(F.substring(c, F.lit(2), F.length(c) - 2), F.lit("")) for c in (known, rest)]
+    return F.concat(F.lit("{"), F.concat_ws(",", inner[0], middle, inner[1]), F.lit("}"))
 
 
 def jsonl(chunks: DataFrame, evidence: bool = False) -> DataFrame:

@@ -49,27 +49,17 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, task: str, unique: bool =
 SALTS = 16
 
 
-def _counts(array: str) -> Column:
-    """Map of the different values of an array to how often they stand in it."""
-    ordered = F.array_sort(array)
-    distinct = F.array_distinct(ordered)
-    first = F.transform(distinct, lambda x: F.array_position(ordered, x))
-    total = F.size(ordered).cast("bigint")
-    ends = F.transform(first, lambda x, i: F.coalesce(F.get(first, i + 1), total + 1) - x)
-    return F.map_from_arrays(distinct, ends)
-
-
 def bm25_many(docs: DataFrame, id_col: str, text_col: str, tasks: DataFrame, task_col: str, task_text_col: str) -> DataFrame:
     """``task, id, bm25`` for many tasks in one pass: the tasks' words meet the documents' on the word."""
     q = tasks.where(F.col(task_text_col).isNotNull()).select(F.col(task_col).alias("task"), F.explode(words(task_text_col)).alias("word")).groupBy("task", "word").agg(F.count("*").alias("qn"))
     docs = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col))
     # Read once: lengths for the corpus counts, and each task word's uses. A word that a third of the documents hold is dealt
     # to several tasks wherever rows meet on it.
-    tokenised = checkpointed(docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).select("id", F.size("w").alias("length"), _counts("w").alias("uses")))
+    tokenised = checkpointed(docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).select("id", F.size("w").alias("length"), "w"))
     corpus = tokenised.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("average"))
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    salted = tokenised.select("id", "length", F.explode("uses").alias("word", "tf")).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    tf = salted.join(q.select("word").distinct().withColumn("_salt", salts), ["word", "_salt"], "left_semi")
+    salted = tokenised.select("id", "length", F.explode("w").alias("word")).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    tf = salted.groupBy("id", "length", "word", "_salt").agg(F.count("*").alias("tf")).join(q.select("word").distinct().withColumn("_salt", salts), ["word", "_salt"], "left_semi")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     asked = q.join(df, "word").withColumn("_salt", salts)
     # The corpus counts are one row.

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import account, budget, classify, graph, impact, redact, retrieve, split, store
+from ..operators import account, budget, classify, graph, impact, redact, retrieve, scope, split, store
 from ..session import table
 from ..sources import remotes
 
@@ -544,3 +546,177 @@ def chunks_jsonl(spark: SparkSession, root: str) -> DataFrame:
     from ..operators.render import jsonl
 
     return jsonl(_one_chunk(spark, root, *[c for c in table(spark, root, "chunks").columns if c not in ("id", "indexed_at", "ingested_at")]))
+
+
+# ---- lists, scopes and artifacts ---------------------------------------------------------------------------------------
+
+_REACH = "WITH RECURSIVE e AS (SELECT DISTINCT source_path AS a, target_path AS b FROM imports), s AS ({starts}), {name}(node, distance) AS (SELECT node, 0 FROM s UNION SELECT {to}, distance + 1 FROM {name} JOIN e ON {frm} = node WHERE distance < {hops})"
+_RESCANNED = "SELECT path AS node FROM files GROUP BY path HAVING count(DISTINCT scanned_at) > 1"
+_REVIEW_TEST = r"regexp_matches(lower({p}), '(^|/)(tests?|specs?)(/|$)|_test\.|\.test\.|_spec\.|\.spec\.')"
+
+
+@query(f"""{_REACH.format(starts=_RESCANNED, name='o', to='b', frm='a', hops=8)}, i(node, distance) AS (SELECT node, 0 FROM s UNION SELECT a, distance + 1 FROM i JOIN e ON b = node WHERE distance < 8),
+r AS (SELECT node AS path, 'dependency' AS relation, distance FROM o WHERE distance > 0 UNION ALL SELECT node, CASE WHEN {_REVIEW_TEST.format(p='node')} THEN 'test' ELSE 'caller' END, distance FROM i WHERE distance > 0)
+SELECT path, relation, CAST(min(distance) AS BIGINT) AS distance FROM r WHERE path NOT IN (SELECT node FROM s) GROUP BY path, relation ORDER BY path, relation LIMIT 128""")
+def related_to_rescans(spark: SparkSession, root: str) -> DataFrame:
+    """Files related to those that were scanned again, nearest first of each relation, cut as a report is."""
+    f = table(spark, root, "files").groupBy("path").agg(F.countDistinct("scanned_at").alias("n")).where("n > 1").select("path")
+    return impact.related_files(f, _edges(spark, root))
+
+
+def _module_rows(language: str, pattern: str) -> str:
+    return f"SELECT id, '{language}' AS language, unnest(regexp_extract_all(content, '{pattern}', 1)) AS module FROM {ONE_CHUNK} WHERE language = '{language}'"
+
+
+@query(f"""WITH m AS ({_module_rows('go', '(?m)^import "([^"]+)"')} UNION ALL {_module_rows('rust', '(?m)^use ((?:crate|self|super)(?:::[a-z_]+)+);')})
+SELECT language, module, count(DISTINCT id) AS chunks FROM m GROUP BY language, module""")
+def imported_modules(spark: SparkSession, root: str) -> DataFrame:
+    """What Go and Rust chunks import, read by the lexers of their languages."""
+    c = table(spark, root, "chunks").where("id IS NOT NULL AND content IS NOT NULL AND language IN ('go', 'rust')").select("id", "language", "content")
+    rows = c.mapInArrow(graph.module_rows, "id string, language string, module string").distinct()
+    return rows.groupBy("language", "module").agg(F.count("*").alias("chunks"))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT path, {_STEM.format(p='path')} AS s, {_ISTEST.format(p='path')} AS t FROM files), e AS (SELECT * FROM f WHERE {_sql_in("lower(regexp_extract(path, '([^/]*)$', 1))", classify.ENTRYPOINTS)})
+SELECT e.path AS start, f.path FROM e JOIN f ON e.t <> f.t AND e.s <> '' AND f.s <> '' AND (contains(e.s, f.s) OR contains(f.s, e.s))""")
+def tests_of_entrypoints(spark: SparkSession, root: str) -> DataFrame:
+    """Tests whose stem contains, or is contained in, that of an entry point, and the other way round."""
+    f = table(spark, root, "files").select("path").distinct()
+    return retrieve.related_tests(f.where(F.lower(F.substring_index("path", "/", -1)).isin(*classify.ENTRYPOINTS)), f)
+
+
+_ENTRY = "(SELECT min(source_path) FROM imports)"
+
+
+@query(f"""{_REACH.format(starts=f'SELECT {_ENTRY} AS node', name='o', to='b', frm='a', hops=16)}, c AS (SELECT {_ENTRY} AS path, 'selected' AS reason, 1 AS k UNION ALL SELECT node, 'outbound_dependency', 3 FROM o WHERE distance > 0 UNION ALL SELECT a, 'caller', 4 FROM e WHERE b = {_ENTRY}
+UNION ALL SELECT f.path, 'related_test', 5 FROM (SELECT DISTINCT path, {_STEM.format(p='path')} AS s, {_ISTEST.format(p='path')} AS t FROM files) f, (SELECT {_STEM.format(p=_ENTRY)} AS s, {_ISTEST.format(p=_ENTRY)} AS t) q WHERE f.t <> q.t AND f.s <> '' AND q.s <> '' AND (contains(f.s, q.s) OR contains(q.s, f.s)))
+SELECT path, arg_min(reason, k) AS reason FROM c WHERE path IN (SELECT path FROM files) GROUP BY path""")
+def focus_on_file(spark: SparkSession, root: str) -> DataFrame:
+    """The scope of the first importing file: itself, what it depends on, its callers and its tests, by the first reason."""
+    entry = table(spark, root, "imports").agg(F.min("source_path")).first()[0] or ""
+    return graph.file_scope(entry, _edges(spark, root), table(spark, root, "files"))
+
+
+_FOLDER = "regexp_replace({p}, '/[^/]*$', '')"
+
+
+@query(f"""WITH d AS (SELECT {_FOLDER.format(p=_ENTRY)} AS f), e AS (SELECT DISTINCT source_path AS a, target_path AS b FROM imports), m AS (SELECT DISTINCT path FROM files, d WHERE starts_with(path, f || '/')),
+c AS (SELECT path, 'selected' AS reason, 1 AS k FROM m UNION ALL SELECT b, 'outbound_dependency', 3 FROM e WHERE a IN (SELECT path FROM m) UNION ALL SELECT a, 'caller', 4 FROM e WHERE b IN (SELECT path FROM m))
+SELECT path, arg_min(reason, k) AS reason FROM c WHERE path IN (SELECT path FROM files) GROUP BY path""")
+def focus_on_folder(spark: SparkSession, root: str) -> DataFrame:
+    """The scope of a folder: its files, what they import, who imports them."""
+    entry = table(spark, root, "imports").agg(F.min("source_path")).first()[0] or ""
+    return graph.folder_scope(entry.rsplit("/", 1)[0], _edges(spark, root), table(spark, root, "files"))
+
+
+@query("""WITH RECURSIVE r(start, node, distance) AS (SELECT DISTINCT source_path, source_path, 0 FROM imports UNION SELECT start, i.target_path, distance + 1 FROM r JOIN imports i ON i.source_path = node WHERE distance < 6),
+n AS (SELECT start, node, min(distance) AS distance FROM r GROUP BY start, node HAVING min(distance) > 0)
+SELECT start, node, CAST(distance AS BIGINT) AS distance, count(*) OVER (PARTITION BY start) > 3 AS truncated FROM n QUALIFY row_number() OVER (PARTITION BY start ORDER BY distance, node) <= 3""")
+def nearest_three(spark: SparkSession, root: str) -> DataFrame:
+    """The three nearest files that each importing file reaches, and whether there are more."""
+    e = _edges(spark, root)
+    return graph.distances(e.select(F.col("src").alias("node")), e, most_hops=6, most_nodes=3)
+
+
+@query(f"""SELECT id, file_path AS path, start_line, end_line, CASE WHEN priority IS NULL OR isnan(priority) OR isinf(priority) THEN NULL ELSE round(priority, 3) END AS priority, language AS lang, sha256(content) AS sha, array_to_string(list_sort(coalesce(tags, [])), ',') AS role,
+ len({_SYMBOL_LIST}) AS symbols FROM {ONE_CHUNK}""")
+def jsonl_fields(spark: SparkSession, root: str) -> DataFrame:
+    """The fields of each chunk's line of JSON, read back from the line."""
+    from ..operators.render import jsonl
+
+    names = [c for c in table(spark, root, "chunks").columns if c not in ("indexed_at", "ingested_at")]
+    lines = jsonl(table(spark, root, "chunks").where("id IS NOT NULL").select(*names)).select("id", "line")
+    read = F.from_json("line", "path string, start_line bigint, end_line bigint, priority double, lang string, content string, role string, symbols array<string>")
+    r = lines.select("id", read.alias("r")).select("id", "r.path", "r.start_line", "r.end_line", "r.priority", "r.lang", F.sha2("r.content", 256).alias("sha"), "r.role", F.size("r.symbols").cast("bigint").alias("symbols"))
+    return r.dropDuplicates(["id"])
+
+
+@query("""WITH p AS (SELECT DISTINCT string_split(path, '/') AS p FROM files), r AS (SELECT array_to_string(p[:l], '/') AS path, l AS level, l < len(p) AS is_dir FROM (SELECT p, unnest(range(1, least(4, len(p)) + 1)) AS l FROM p))
+SELECT path, level, bool_or(is_dir) AS is_dir, count(*) AS files FROM r GROUP BY path, level""")
+def directory_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every folder and file to four levels, with the files below it."""
+    return scope.tree_rows(table(spark, root, "files").where("path IS NOT NULL")).drop("sort_key")
+
+
+@query("SELECT doc_id, greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) + 1) AS fence FROM documents")
+def fence_lengths(spark: SparkSession, root: str) -> DataFrame:
+    """How long a fence must be around each document."""
+    from ..operators.render import fence
+
+    return table(spark, root, "documents").select("doc_id", F.length(fence("text")).cast("bigint").alias("fence"))
+
+
+@query(f"""WITH t AS (SELECT file_path AS path, arg_min(content, chunk_index) AS text FROM chunks WHERE chunk_index = 0 GROUP BY file_path), s AS (SELECT s.*, coalesce(text, '') AS text FROM {_SIGNALS_SQL} s LEFT JOIN t USING (path))
+SELECT path, {_GEN} OR contains(lower(substr(text, 1, 2000)), 'generated') OR contains(lower(substr(text, 1, 2000)), 'do not edit') OR (NOT ends_with(name, '.json') AND strlen(split_part(text, chr(10), 1)) > 1000) AS generated FROM s""")
+def generated_files(spark: SparkSession, root: str) -> DataFrame:
+    """Whether a file counts as generated by its name, its folder or the beginning of its text."""
+    head = table(spark, root, "chunks").where("chunk_index = 0").groupBy(F.col("file_path").alias("path")).agg(F.min("content").alias("text"))
+    f = table(spark, root, "files").select("path").distinct().withColumn("rel", _relative()).join(head, "path", "left")
+    return f.select("path", classify.rank_signals("rel", "text")["generated"].alias("generated"))
+
+
+@query(f"SELECT file_path AS path, count(*) AS chunks, CAST(sum(strlen(content) // 4) AS BIGINT) AS tokens, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM {ONE_CHUNK} GROUP BY file_path")
+def tokens_per_file(spark: SparkSession, root: str) -> DataFrame:
+    c = _per_chunk(spark, root, path=F.col("file_path"), t=X.token_estimate("content"), b=F.octet_length("content").cast("bigint"))
+    return c.groupBy("path").agg(F.count("*").alias("chunks"), F.sum("t").alias("tokens"), F.sum("b").alias("bytes"))
+
+
+@query(f"SELECT reason, count(*) AS files, CAST(sum(coalesce(f.size_bytes, 0)) AS BIGINT) AS bytes FROM ({ORACLES['disposition_ladder']}) JOIN {ONE_FILE} USING (path) GROUP BY reason")
+def bytes_by_reason(spark: SparkSession, root: str) -> DataFrame:
+    """Files and bytes by why they are or aren't taken in."""
+    sizes = _one_file(spark, root).select("path", F.coalesce("size_bytes", F.lit(0)).alias("size"))
+    return disposition_ladder(spark, root).join(sizes, "path").groupBy("reason").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query(f"SELECT reason, count(*) AS applications, count(DISTINCT path) AS files FROM ({ORACLES['two_hop_neighbors']}) GROUP BY reason")
+def relation_counts(spark: SparkSession, root: str) -> DataFrame:
+    """How often each relation of the import graph applies, and to how many files."""
+    return two_hop_neighbors(spark, root).groupBy("reason").agg(F.count("*").alias("applications"), F.countDistinct("path").alias("files"))
+
+
+@query(f"SELECT id, path, start_line, score, reasons FROM ({ORACLES['seed_scores']}) ORDER BY score DESC, path, start_line, id LIMIT 64")
+def best_seeds(spark: SparkSession, root: str) -> DataFrame:
+    """The seeds that a plan starts from: the sixty-four of the highest scores."""
+    return seed_scores(spark, root).orderBy(F.desc("score"), "path", "start_line", "id").limit(retrieve.MAX_SEEDS)
+
+
+@query(f"SELECT path FROM {ONE_FILE} WHERE coalesce(f.is_readme, false) OR coalesce(f.is_config, false) OR list_contains(coalesce(f.tags, []), 'entrypoint')")
+def repository_anchors(spark: SparkSession, root: str) -> DataFrame:
+    f = _one_file(spark, root)
+    return f.where(F.coalesce("is_readme", F.lit(False)) | F.coalesce("is_config", F.lit(False)) | F.coalesce(F.array_contains("tags", "entrypoint"), F.lit(False))).select("path")
+
+
+@query("""SELECT chunk_id, kind, name, count(*) OVER (PARTITION BY chunk_id) > 2 AS truncated FROM (SELECT DISTINCT chunk_id, kind, name FROM symbols) QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY kind, name) <= 2""")
+def capped_symbols(spark: SparkSession, root: str) -> DataFrame:
+    """The first two symbols of each chunk, and whether there were more."""
+    s = table(spark, root, "symbols").select("chunk_id", "kind", "name").distinct()
+    return impact.capped(s, ["chunk_id"], [F.asc("kind"), F.asc("name")], 2)
+
+
+_FOCUS_LANGUAGES = ("python", "javascript", "typescript", "go", "rust", "java", "c")
+
+
+@query(f"""WITH s AS (SELECT DISTINCT path, regexp_replace(path, '/?[^/]*$', '') AS folder FROM files WHERE {_sql_in('language', _FOCUS_LANGUAGES)}), o AS (SELECT source_path AS path, count(DISTINCT target_path) AS n FROM imports GROUP BY 1), i AS (SELECT target_path AS path, count(DISTINCT source_path) AS n FROM imports GROUP BY 1)
+SELECT folder AS path, 'module' AS kind, CAST(sum(coalesce(o.n, 0)) AS BIGINT) AS imports, CAST(sum(coalesce(i.n, 0)) AS BIGINT) AS used_by FROM s LEFT JOIN o USING (path) LEFT JOIN i USING (path) GROUP BY folder HAVING count(*) >= 2""")
+def focus_folders(spark: SparkSession, root: str) -> DataFrame:
+    """What one may focus on: folders of two or more sources with their imports either way."""
+    return scope.focus_candidates(table(spark, root, "files"), _edges(spark, root), _FOCUS_LANGUAGES)
+
+
+@query(f"SELECT id, sha256({_rules_sql('content')}) AS sha, true AS spans_hold FROM {ONE_CHUNK}")
+def tracked_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Every chunk after the tracked rules, as a fingerprint, and whether each recorded span holds its replacement."""
+    fast = redact.Redaction(mode="fast", structure_safe=False)
+    out = redact.redact_tracked(table(spark, root, "chunks").where("id IS NOT NULL"), language_col=None, config=fast)
+    raw = F.encode("content", "UTF-8")
+    holds = F.forall("occurrences", lambda o: F.substring(raw, o["start_byte"].cast("int") + 1, (o["end_byte"] - o["start_byte"]).cast("int")) == F.encode(o["replacement"], "UTF-8"))
+    return out.select("id", F.sha2("content", 256).alias("sha"), holds.alias("spans_hold")).dropDuplicates(["id"])
+
+
+@query(f"""SELECT id, len(list_filter(string_split(content, chr(10)), lambda x: {" OR ".join(f"starts_with(ltrim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), '{d}')" for d in split.DEFINITIONS['python'])})) AS definitions FROM {ONE_CHUNK} WHERE language = 'python'""")
+def definition_lines(spark: SparkSession, root: str) -> DataFrame:
+    """How many lines of each Python chunk begin a definition, nested ones included: where code is cut."""
+    begins = lambda x: F.ltrim(F.translate(x, "\t\r\x0b\x0c", "    "))
+    marks = F.filter(F.split("content", "\n"), lambda x: reduce(or_, [begins(x).startswith(d) for d in split.DEFINITIONS["python"]]))
+    c = table(spark, root, "chunks").where("id IS NOT NULL AND language = 'python'").select("id", F.size(marks).cast("bigint").alias("definitions"))
+    return c.dropDuplicates(["id"])
