@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, spread
+from .joins import salted_join
 
 #: The first article of the Universal Declaration of Human Rights and everyday words, for letter bigrams.
 SAMPLES = {
@@ -510,7 +511,7 @@ def garbled_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "conten
         shares = weighted.withColumn("w", F.exp(F.least("score", F.lit(50.0))) * F.col("prior"))
         shares = shares.join(shares.groupBy(*line).agg(F.sum("w").alias("_all")), line).withColumn("share", F.col("w") / F.col("_all"))
         prior = shares.groupBy("source", "mapping").agg((F.sum("share") + 0.1).alias("prior"))
-        weighted = proposed.join(prior, ["source", "mapping"])
+        weighted = salted_join(proposed, prior, ["source", "mapping"], spread_by="chunk_id")
     best = weighted.groupBy("chunk_id", "line_no", "garbled").agg(F.max_by(F.struct("mapping", "restored"), F.struct(F.round(F.col("score") + F.log("prior"), 9), F.col("mapping"))).alias("b"))
     best = best.where(F.col("b.mapping") != AS_IT_STANDS)
     return best.select("chunk_id", "line_no", F.col("b.mapping").alias("mapping"), "garbled", F.col("b.restored").alias("restored"))

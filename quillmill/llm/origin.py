@@ -269,6 +269,8 @@ def _content_row(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 #: How much more a tag of an earlier scan counts than its absence, in the whole corpus: tags are often missing.
 TAG_WEIGHT = 17.0
+#: What a comment line must reach: half the margin of the classifier, as its labels are noisy.
+HEADER_MARGIN = 0.5
 
 
 def fit(examples: list[Example], tagged_rate: float = 1.0, other_rate: float = 1.0) -> Model:
@@ -386,4 +388,4 @@ def made_scores(files: DataFrame, chunks: DataFrame, tagged_bound: int = 2500, o
     joined = paths.join(per_file, "file_id", "left")
     content_score = F.round(F.col("path_score") + F.coalesce(F.col("sums") * SCALE / F.greatest(F.lit(200), F.col("grams")), F.lit(0.0)), 6)
     header_score = F.round(F.coalesce("header", F.lit(-1.0)), 6)
-    return joined.select("file_id", "path", content_score.alias("content_score"), header_score.alias("header_score"), ((content_score > 0) | (header_score > 0)).alias("made")), model.report
+    return joined.select("file_id", "path", content_score.alias("content_score"), header_score.alias("header_score"), ((content_score > 0) | (header_score > HEADER_MARGIN)).alias("made")), model.report
