@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PROGRAMMING
-from ..session import checkpointed
+from ..session import checkpointed, parts_for
 
 
 def prefix_sum(rows: DataFrame, order: list[Column], value: str, out: str = "running", partitions: int | None = None) -> DataFrame:
@@ -17,8 +17,7 @@ def prefix_sum(rows: DataFrame, order: list[Column], value: str, out: str = "run
     Rows are range-partitioned by the order; each range is summed where it lies; the ranges' sums, one number each, are
     turned to offsets. The order must be total for the result to be defined.
     """
-    spark = rows.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or parts_for(rows)
     ranged = checkpointed(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
     offsets = sums.select("_part", (F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_sum")).alias("_offset"))
@@ -84,15 +83,15 @@ def token_budget(chunks: DataFrame, limit: int, score: str = "priority") -> Data
     """``id, ord`` of the chunks that fit the limit of tokens, in the order taken.
 
     The fold is sequential by definition: whether a chunk fits depends on all before it. It runs on the driver over narrow
-    rows (no text) streamed in order. A file can have no more than ``limit`` chunks of a token or more within the budget, so
-    only so many of each are streamed. Columns: id, file_path, start_line, language, token_estimate, tags.
+    rows (no text) streamed in order, of each file ``limit`` at most; their number grows with that of the files, so this
+    is for one repository or focus at a time. Columns: id, file_path, start_line, language, token_estimate, tags.
     """
     rows = chunks.select(
         "id", F.col("file_path").alias("path"), "start_line", F.greatest(F.coalesce("token_estimate", F.lit(0)), F.lit(0)).alias("tokens"), F.coalesce(F.col("language").isin(*PROGRAMMING), F.lit(False)).alias("source"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.col(score).alias("score"),
     ).where(F.col("tokens") <= limit)
     order = [F.desc_nulls_last(F.nanvl("score", F.lit(None).cast("double"))), F.asc("path"), F.asc("start_line"), F.asc("id")]
-    # Rows of no tokens cost nothing and are all kept; the others can't be more than the limit in number.
+    # Rows of no tokens cost nothing and are all kept.
     free = rows.where("tokens = 0").select("id")
     paid = rows.where("tokens > 0")
     first = paid.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(*order))).where(F.col("_n") <= limit)

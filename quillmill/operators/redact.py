@@ -217,3 +217,15 @@ def redact_tracked(rows: DataFrame, id_col: str = "id", text_col: str = "content
     lit = F.lit("").alias
     narrow = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(language_col).alias("l") if language_col else lit("l"), F.col(path_col).alias("p") if path_col else lit("p"))
     return spread(narrow).mapInArrow(_tracker(config), "id string, content string, occurrences array<struct<rule:string,start_byte:bigint,end_byte:bigint,replacement:string>>, counts map<string,int>")
+
+
+def redact_values(value: object, redactor: Redactor | None = None) -> object:
+    """A JSON value with every text in it redacted, keys left as they are."""
+    redactor = redactor or Redactor(Redaction(structure_safe=False))
+    if isinstance(value, str):
+        return redactor.redact(value)[0]
+    if isinstance(value, dict):
+        return {k: redact_values(v, redactor) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redact_values(v, redactor) for v in value]
+    return value

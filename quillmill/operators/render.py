@@ -54,28 +54,91 @@ def fence(c: Column | str) -> Column:
     return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
 
 
-def context_pack(chunks: DataFrame, files: DataFrame, title: str, inventory: int = 200) -> DataFrame:
+def inline(c: Column | str) -> Column:
+    """A text as inline code: on one line, in more backticks than stand in it."""
+    flat = F.regexp_replace(col(c), r"[\r\n]+", " ")
+    runs = F.transform(F.regexp_extract_all(flat, F.lit("`+"), F.lit(0)), lambda r: F.length(r))
+    mark = F.repeat(F.lit("`"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
+    pad = F.when(flat.contains("`"), " ").otherwise("")
+    return F.concat(mark, pad, flat, pad, mark)
+
+
+_ORD = "struct<a:bigint,b:string,c:bigint,d:string>"
+CATEGORIES = (("Entry points", "entrypoint"), ("Configuration", "config"), ("Tests", "test"), ("Workflows", "workflow"))
+
+
+def _section(rows: DataFrame, number: int, order: Column, text: Column) -> DataFrame:
+    return rows.select(F.lit(number).alias("section"), order.cast(_ORD).alias("ord"), text.alias("text"))
+
+
+def _ord(a=0, b="", c=0, d="") -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(lit(a), lit(b), lit(c), lit(d))
+
+
+def readme_excerpt(chunks: DataFrame, most_lines: int = 15, look: int = 50) -> DataFrame:
+    """One row, ``text``: lines of the first readme's first chunk, without the blank lines and badges it begins with."""
+    first = chunks.where(F.lower(F.substring_index("file_path", "/", -1)).startswith("readme")).orderBy(F.length("file_path"), "file_path", "start_line").limit(1)
+    lines = F.slice(F.split("content", "\n"), 1, look)
+    plain = lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(\[?!\[|<img|<a |<p|<div)")
+    begin = F.array_position(F.transform(lines, plain), True)
+    return first.select(F.array_join(F.slice(lines, F.greatest(begin, F.lit(1)).cast("int"), most_lines), "\n").alias("text"))
+
+
+def code_map(files: DataFrame, languages: int = 5, folders: int = 10, names: int = 10) -> DataFrame:
+    """``language, folder, path`` of the commonest languages' folders and their first files: a map, cut as a map is."""
+    from pyspark.sql import Window
+
+    f = files.where("language IS NOT NULL").select("language", F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), "path").distinct()
+    per_language = f.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(languages)
+    per_folder = f.join(F.broadcast(per_language), "language").groupBy("language", "folder").agg(F.count("*").alias("m"))
+    top = per_folder.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("m"), "folder"))).where(F.col("r") <= folders)
+    inside = f.join(F.broadcast(top.select("language", "folder", "r")), ["language", "folder"])
+    return inside.withColumn("k", F.row_number().over(Window.partitionBy("language", "folder").orderBy("path"))).where(F.col("k") <= names)
+
+
+def context_pack(chunks: DataFrame, files: DataFrame, title: str, inventory: int = 200, task: str | None = None, scope: str | None = None) -> DataFrame:
     """``section, ord, text``: the parts of a Markdown pack; ordered by (section, ord) and joined by line breaks they are it.
 
-    Columns: chunks id, file_path, language, start_line, end_line, content, priority, tags; files path, language, size_bytes,
-    priority. Chunks that only serve retrieval are left out; overlaps are shown once; the inventory is a list of the most
-    important files.
+    Columns: chunks id, file_path, language, start_line, end_line, content, priority, tags and, where a task was given, reasons;
+    files path, language, size_bytes, priority, tags. Sections: task or focus, overview, readme, key files, code map, files,
+    contents. Chunks that only serve retrieval are left out; overlaps are shown once; lists are cut as a pack's lists are.
     """
+    from pyspark.sql import Window
+
     from .account import overlap_free
 
     spark = chunks.sparkSession
-    shown = chunks.where(~F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), "rag-only"))
+    if "tags" not in files.columns:
+        files = files.withColumn("tags", F.lit(None).cast("array<string>"))
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    shown = chunks.where(~F.array_contains(tags, "rag-only"))
     free = overlap_free(shown).select("id", "first_line")
     body = shown.join(free, "id").withColumn("text", F.array_join(F.slice(F.split("content", "\n"), F.col("first_line") - F.col("start_line") + 1, F.greatest(F.lit(1), F.size(F.split("content", "\n")))), "\n"))
-    languages = files.groupBy("language").agg(F.count("*").alias("n")).select(F.lit(1).alias("section"), F.struct(-F.col("n"), F.lit(""), F.lit(0), F.lit("")).alias("o"), F.format_string("- %s: %d", F.coalesce("language", F.lit("?")), "n").alias("text"))
+    language = F.coalesce("language", F.lit("?"))
+    spoken = files.groupBy("language").agg(F.count("*").alias("n"))
+    languages = _section(spoken.orderBy(F.desc("n"), "language").limit(5), 1, _ord(-F.col("n"), language), F.format_string("- %s: %d", language, "n"))
+    excerpt = _section(readme_excerpt(chunks), 2, _ord(), F.concat(F.lit("## Readme\n\n"), F.col("text"), F.lit("\n")))
+    ranked = []
+    for i, (name, tag) in enumerate(CATEGORIES):
+        f = files.where(F.array_contains(tags, tag)).orderBy(F.desc("priority"), "path").limit(5)
+        ranked.append(_section(f, 3, _ord(i, F.col("path")), F.concat(F.lit(f"- {name}: "), inline("path"))))
+    mapped = code_map(files)
+    maps = _section(mapped, 4, _ord(0, F.concat_ws("/", "language", F.lpad("r", 3, "0")), F.col("k"), F.col("path")), F.concat(F.lit("- "), F.col("language"), F.lit(": "), inline("path")))
     listed = files.orderBy(F.desc("priority"), "path").limit(inventory)
-    rows = listed.select(F.lit(2).alias("section"), F.struct(F.lit(0), F.col("path"), F.lit(0), F.lit("")).alias("o"), F.format_string("| %s | %s | %d |", escape_cell("path"), F.coalesce("language", F.lit("?")), F.coalesce("size_bytes", F.lit(0))).alias("text"))
-    code = body.select(F.lit(3).alias("section"), F.struct(F.lit(0), F.col("file_path"), F.col("first_line"), F.col("id")).alias("o"), F.concat(F.lit("### "), F.col("file_path"), F.format_string(" (%d-%d)\n\n", F.col("first_line"), F.col("end_line")), fence("text"), F.regexp_replace(F.coalesce("language", F.lit("")), "[^A-Za-z0-9+#-]", ""), F.lit("\n"), F.col("text"), F.lit("\n"), fence("text"), F.lit("\n")).alias("text"))
-    heads = spark.createDataFrame([(0, f"# {title}\n"), (1, "## Languages\n"), (2, "## Files\n\n| path | language | bytes |\n|-|-|-|"), (3, "\n## Contents\n")], "section int, text string").select("section", F.lit(None).alias("o"), "text")
-    cast = "struct<a:bigint,b:string,c:bigint,d:string>"
-    parts = [x.select("section", F.col("o").cast(cast).alias("ord"), "text") for x in (heads, languages, rows, code)]
-    out = parts[0]
-    for p in parts[1:]:
+    rows = _section(listed, 5, _ord(F.row_number().over(Window.orderBy(F.desc("priority"), "path"))), F.format_string("| %s | %s | %d |", escape_cell("path"), language, F.coalesce("size_bytes", F.lit(0))))
+    why = F.when(F.size("reasons") > 0, F.concat(F.lit("reason: "), F.array_join("reasons", ", "), F.lit("\n\n"))).otherwise("") if "reasons" in chunks.columns else F.lit("")
+    per_file = Window.partitionBy("file_path")
+    placed = body.withColumn("_p", F.max(F.coalesce("priority", F.lit(0.0))).over(per_file))
+    code = _section(placed, 6, _ord((-F.col("_p") * 1000).cast("bigint"), F.col("file_path"), F.col("first_line"), F.col("id")), F.concat(F.lit("### "), F.col("file_path"), F.format_string(" (%d-%d)\n\n", F.col("first_line"), F.col("end_line")), F.coalesce(why, F.lit("")), fence("text"), F.regexp_replace(F.coalesce("language", F.lit("")), "[^A-Za-z0-9+#-]", ""), F.lit("\n"), F.col("text"), F.lit("\n"), fence("text"), F.lit("\n")))
+    head = [(0, f"# {title}\n")]
+    if task:
+        head.append((0, "Task: " + re.sub(r"[`\r\n]+", " ", task).strip() + "\n"))
+    if scope:
+        head.append((0, f"Focus: {scope}\n"))
+    head += [(1, "## Overview\n"), (3, "\n## Key files\n"), (4, "\n## Code map\n"), (5, "\n## Files\n\n| path | language | bytes |\n|-|-|-|"), (6, "\n## Contents\n")]
+    out = spark.createDataFrame(head, "section int, text string").select("section", F.lit(None).cast(_ORD).alias("ord"), "text")
+    for p in (languages, excerpt, *ranked, maps, rows, code):
         out = out.union(p)
     return out
 

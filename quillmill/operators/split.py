@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chunk_id, token_estimate
 from ..session import spread
 
-PIECE = "path string, language string, start_line bigint, end_line bigint, content string, tags array<string>, token_estimate bigint, priority double"
+PIECE = "path string, language string, start_line bigint, end_line bigint, content string, tags array<string>, token_estimate bigint, priority double, byte_start bigint, byte_end bigint"
 
 
 def tokens(text: str) -> int:
@@ -192,14 +192,25 @@ def coalesce_pieces(pieces: list[dict], least: int = 200, most: int = 800) -> li
     return out
 
 
+def _placed(text: str, pieces: list[dict]) -> list[dict]:
+    """The pieces with the bytes that their lines take in the text; none for pieces that are summaries or members of JSON."""
+    ends = [0]
+    for line in _lines(text):
+        ends.append(ends[-1] + len(line.encode()))
+    for p in pieces:
+        real = p["end_line"] < len(ends) and not any(t.startswith(("json-", "json_")) for t in p["tags"])
+        p["byte_start"], p["byte_end"] = (ends[p["start_line"] - 1], ends[p["end_line"]]) if real else (None, None)
+    return pieces
+
+
 def _splitter(most: int, overlap: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, language, text, priority in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 pieces = [{"path": path, "language": language, "start_line": a, "end_line": b, "content": p, "tags": t, "token_estimate": tokens(p), "priority": priority} for a, b, p, t in split_text(text, language or "", most, overlap)]
-                rows += coalesce_pieces(pieces, least, most) if least else pieces
-            types = {"path": pa.string(), "language": pa.string(), "start_line": pa.int64(), "end_line": pa.int64(), "content": pa.string(), "tags": pa.list_(pa.string()), "token_estimate": pa.int64(), "priority": pa.float64()}
+                rows += _placed(text, coalesce_pieces(pieces, least, most) if least else pieces)
+            types = {"path": pa.string(), "language": pa.string(), "start_line": pa.int64(), "end_line": pa.int64(), "content": pa.string(), "tags": pa.list_(pa.string()), "token_estimate": pa.int64(), "priority": pa.float64(), "byte_start": pa.int64(), "byte_end": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in types.items()], list(types))
 
     return run

@@ -26,7 +26,7 @@ def refresh_plan(current: DataFrame, stored: DataFrame, key: str = "path", finge
 
 
 class Index:
-    """One directory: ``v-<id>/`` snapshots of the tables and ``_CURRENT``, which names the one that counts."""
+    """One directory: ``v-<id>/`` snapshots of the tables and ``current-<n>.json``, the highest of which names the one that counts."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -45,13 +45,18 @@ class Index:
         out = self._fs.create(temporary, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
         self._fs.rename(temporary, final)
 
     def manifest(self) -> dict | None:
-        text = self._read("current.json")
-        return json.loads(text) if text else None
+        last = self._numbers()[-1:]
+        return json.loads(self._read(f"current-{last[0]:012d}.json")) if last else None
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the manifests, in order: the highest counts. One is never replaced, so there is always a whole one."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(n[8:-5]) for n in names if n.startswith("current-") and n.endswith(".json") and n[8:-5].isdigit())
 
     def open(self, root_key: str, config: str) -> tuple[dict | None, bool]:
         """The manifest, and whether the configuration has changed since; another root, schema or raw text is refused."""
@@ -79,7 +84,8 @@ class Index:
             if name in tables:
                 tables[name].write.parquet(f"{self.root}/{snapshot}/{name}")
         manifest = {"schema": SCHEMA_VERSION, "chunker": CHUNK_VERSION, "root": root_key, "config": config, "redacted": True, "snapshot": snapshot}
-        self._write("current.json", json.dumps(manifest, sort_keys=True))
+        number = (self._numbers() or [0])[-1] + 1
+        self._write(f"current-{number:012d}.json", json.dumps(manifest, sort_keys=True))
         return manifest
 
     def refresh(self, files: DataFrame, make_chunks, imports: DataFrame, root_key: str, config: str) -> dict:

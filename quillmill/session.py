@@ -51,6 +51,20 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._quillmill_shipped = True
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the rows come from, as stored; 0 where they come from none."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
+def parts_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
+    """Partitions for a shuffle of whole rows: by the stored bytes, the session's number at least."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-input_bytes(df) // bytes_each))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores where they come from fewer files than there are cores, none of which is large enough to be
     read in several parts; else the rows as they are.

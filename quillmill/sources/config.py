@@ -26,6 +26,8 @@ class Config:
     follow_symlinks: bool = False
     include_minified: bool = False
     tree_depth: int = 4
+    use_ignore_files: bool = True
+    skip_redaction: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.chunk_tokens <= 0 or not 0 <= self.chunk_overlap < self.chunk_tokens or self.max_file_bytes <= 0:
@@ -48,7 +50,7 @@ def coerce(values: dict) -> dict:
         name = key.replace("-", "_")
         if name not in known:
             continue
-        if name in ("include_extensions", "exclude_globs"):
+        if name in ("include_extensions", "exclude_globs", "skip_redaction"):
             value = as_list(value)
         if name == "include_extensions":
             value = tuple(v.lower() if v.startswith(".") else "." + v.lower() for v in value)
