@@ -1,11 +1,12 @@
 """Source files that do not parse (problem 6).
 
-Each file's text is put together from its chunks and lexed by one regular expression of its language. The lexer yields, for
-the file, its distinct pairs of adjacent token classes as DataFrame rows; they are anti-joined against the pairs that the
-language's grammar permits, a table generated from the categories below. Nesting and statement productions that a pair
-can't show (brackets, separators inside brackets, what may begin a statement at the margin, where a line break ends a
-statement) are folded in the same pass, in which the tokens are in order at hand: one row for each token, sorted again by a
-window, would shuffle twenty times the text. Python, JSON and TOML have exact parsers, which judge those files.
+Each file's text is put together from its chunks and lexed by one regular expression of its language. The lexer yields
+DataFrame rows of two kinds: the file's distinct pairs of adjacent token classes, which are anti-joined against the pairs
+that the language's grammar permits (a table generated from the categories below), and the brackets that their own line
+doesn't close, over which windows validate the nesting: the running depth never falls below zero and ends at zero, and on
+each level every closing bracket is of the kind of the opening one before it. Productions of a statement that a pair can't
+show (separators inside brackets, what may begin a statement at the margin, where a line break ends a statement) are looked
+at while lexing, where the tokens are in order at hand. Python, JSON and TOML have exact parsers, which judge those files.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, parts_for
+
 #: Extension to grammar. Fixed values.
 GRAMMARS = {"py": "python", "json": "json", "toml": "toml", "js": "js", "mjs": "js", "ts": "ts", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c"}
 
@@ -44,12 +47,57 @@ def exact_error(grammar: str, text: str) -> str | None:
         else:
             tomllib.loads(text)
     except (RecursionError, MemoryError):
-        return None  # deeper than the parser goes: no verdict
+        return deep_json_error(text) if grammar == "json" else None if balanced(text) else "brackets are not closed"
     except (SyntaxError, ValueError) as e:
         return type(e).__name__ + ": " + str(e).split("(", 1)[0].strip()[:80]
     return None
 
 
+_JSON_TOKEN = re.compile(r"[ \t\r\n]*(?:(?P<mark>[{}\[\],:])|(?P<text>\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")|(?P<value>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)|(?P<end>\Z)|(?P<bad>[\s\S]))")
+
+
+def deep_json_error(text: str) -> str | None:
+    """What speaks against a JSON text however deep it is: its tokens against a stack of open objects and arrays."""
+    stack: list[str] = []
+    want = "value"  # value, first (value or ]), key, firstkey (key or }), colon, comma
+    for m in _JSON_TOKEN.finditer(text):
+        kind, token = m.lastgroup, m.group(m.lastgroup)
+        if kind == "end":
+            return None if want == "comma" and not stack else "the text ends early"
+        if want == "comma" and not stack or kind == "bad":
+            return "what can't stand here"
+        if want in ("value", "first") and (kind in ("text", "value") or token in ("{", "[")):
+            if token in ("{", "["):
+                stack.append(token)
+                want = "firstkey" if token == "{" else "first"
+            else:
+                want = "comma"
+        elif token == "]" and want in ("first", "comma") and stack[-1:] == ["["] or token == "}" and want in ("firstkey", "comma") and stack[-1:] == ["{"]:
+            stack.pop()
+            want = "comma"
+        elif want in ("key", "firstkey") and kind == "text":
+            want = "colon"
+        elif want == "colon" and token == ":":
+            want = "value"
+        elif want == "comma" and token == ",":
+            want = "key" if stack[-1] == "{" else "value"
+        else:
+            return "what can't stand here"
+    return "the text ends early"
+
+
+def balanced(text: str) -> bool:
+    """Whether the brackets of a text close each other, literals and comments left out."""
+    stack = []
+    for m in re.finditer(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|#[^\n]*|[()\[\]{}]", text):
+        c = m.group()
+        if c in "([{":
+            stack.append(c)
+        elif c in ")]}" and (not stack or stack.pop() != {")": "(", "]": "[", "}": "{"}[c]):
+            return False
+    return not stack
+
+
 # ---- lexers --------------------------------------------------------------------------------------------------------
 
 _BLOCK_COMMENT = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
@@ -120,13 +168,16 @@ _LITERAL_BEFORE = frozenset("= ( (k (c (g (f [ , : ? return && || ?? ... [i += =
 _TYPE_WORDS = frozenset("boolean byte char double float int long short void String".split())
 
 
-def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str | None]:
-    """The distinct pairs of adjacent token classes (first, second, whether a line break that counts lies between), and the
-    first breach of nesting or of a statement production, or None."""
+def lex(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], list[tuple[int, str]], str | None]:
+    """The distinct pairs of adjacent token classes (first, second, whether a line break that counts lies between), the brackets
+    that their line doesn't close, with their place, and the first breach of a statement production, or None. Lexing ends at
+    a bracket that closes nothing or another kind: the windows over the brackets tell."""
     reserved, contextual, control = RESERVED[grammar], CONTEXTUAL[grammar], _CONTROL[grammar]
     script = grammar in ("js", "ts")
     breaks = script or grammar == "go"
     pairs: set[tuple[str, str, bool]] = set()
+    left: list[tuple[int, str]] = []
+    line_from = 0  # brackets of the line begin here
     stack: list[str] = []
     prev, prev2 = "BOF", "BOF"
     ids = 0  # identifiers in a row
@@ -159,14 +210,14 @@ def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str
             c = "tpl" if token[0] == "`" and script else "str"
         elif kind in ("pre", "bang"):
             if not newline:
-                return pairs, "a directive within a line"
+                return pairs, left, "a directive within a line"
             if stack and stack[-1][0] in "([" and re.match(r"#[ \t]*include", token):
-                return pairs, "a directive inside brackets"
+                return pairs, left, "a directive inside brackets"
             continue
         elif token == "/*":
-            return pairs, "a comment is not closed"
+            return pairs, left, "a comment is not closed"
         else:
-            return pairs, f"{token[:8]!r} can't stand here"
+            return pairs, left, f"{token[:8]!r} can't stand here"
         inner = stack[-1] if stack else ""
         # A regular expression stands where an operand must.
         if c in ("/", "/=") and script and prev not in _OPERAND_END and prev != "}b" and (r := regex_at(text, start)):
@@ -177,8 +228,15 @@ def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str
         if c in ("func", "class", "interface", "type", "struct", "if", "for", "switch", "select", "else", "case", "enum", "namespace", "module", "map", "default"):
             line_words.add(c)
         if grammar == "go" and counts and not inner and (prev in _OPERAND_END or prev == "}b") and token not in _GO_ITEMS:
-            return pairs, f"{token[:20]} at the margin"
+            return pairs, left, f"{token[:20]} at the margin"
+        if newline:
+            line_from = len(left)
         # Brackets, by what they are.
+        if token in _BRACKETS and kind == "op":
+            if len(left) > line_from and token in ")]}" and left[-1][1] == _OPENS.get(token):
+                left.pop()
+            else:
+                left.append((start, token))
         if c == "(":
             c = "(k" if prev in control or (prev == "ctx" and prev2 == "for" and script) else "(f" if grammar == "go" and "func" in line_words else "(c" if prev in _OPERAND_END or prev in ("}b", ">", ">>", "!", "?", "function", "import", "catch", "fn", "?.") and not (prev == "!" and script) else "(g"
             if grammar == "java" and prev2 == "@":
@@ -189,7 +247,7 @@ def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str
             stack.append("[")
         elif c == "{":
             if inner and inner[0] in "([" and prev in ("id", "num", "str") and (grammar == "c" or script and "class" not in line_words and not (counts or newline) or grammar == "java" and inner == "(k" and "new" not in line_words):
-                return pairs, "a block begins before its brackets are closed"
+                return pairs, left, "a block begins before its brackets are closed"
             literal = script and (prev in _LITERAL_BEFORE and prev != "=>" or (prev == "(g"))
             if grammar == "go":
                 literal = prev in ("id", "]", "}o", "{o", ",", ":", "}b", "map", "(c", "(g") and not (line_words & {"if", "for", "switch", "select", "func", "interface", "struct"} and not (inner and inner[0] in "([" or prev in ("]", "map"))) and prev not in ("struct", "interface")
@@ -203,7 +261,7 @@ def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str
             stack.append(c)
         elif c == ")" or c == "]" or c == "}":
             if not inner or inner[0] != {")": "(", "]": "[", "}": "{"}[c]:
-                return pairs, f"{c} closes nothing" if not inner else f"{c} closes {inner[0]}"
+                return pairs, left, None
             stack.pop()
             if c == ")":
                 c = ")" + inner[1]
@@ -212,33 +270,33 @@ def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str
                 c = "}" + inner[1]
         elif c == ";":
             if inner and (inner[0] == "(" and inner != "(k" or inner[0] == "[" and grammar != "rust" or inner == "{o" and grammar != "rust" and not (grammar == "ts")):
-                return pairs, "; inside brackets"
+                return pairs, left, "; inside brackets"
         # Statement productions at the margin.
         if not stack or (len(stack) == 1 and c[0] in "({[" and c[-1] in "bcgkofi["):
             if statement_start and (reason := _margin(grammar, c, token)):
-                return pairs, reason
+                return pairs, left, reason
         if prev == "?" and prev2 == "<" and c not in ("extends", "super", ">", ",", ">>") or prev == "@" and c == "@":
-            return pairs, "a marker of a template or patch"
+            return pairs, left, "a marker of a template or patch"
         # Identifiers in a row.
         if c == "id":
             ids = ids + 1 if prev == "id" and not counts else 1
             if ids >= 3 and grammar in ("go", "java", "c") and not (grammar == "c" and newline):
-                return pairs, "three names in a row"
+                return pairs, left, "three names in a row"
         if c == ":" and prev == "str" and prev2 == "{b" and script:
-            return pairs, "a field outside an object"
+            return pairs, left, "a field outside an object"
         if grammar == "go" and newline and inner == "{o" and prev in _OPERAND_END and c not in ("}o",) and not (prev == "}o" and c == "}o"):
-            return pairs, "a line of a literal ends without a comma"
+            return pairs, left, "a line of a literal ends without a comma"
         pairs.add((prev, c, counts))
-        statement_start = c == ";" or c in ("}b", "}o") or (counts and False) or (grammar == "go" and False)
+        statement_start = c == ";" or c in ("}b", "}o")
         if grammar == "go" and not stack:
             statement_start = False
         prev2, prev = prev, c
-    if stack:
-        return pairs, f"{stack[-1][0]} is not closed"
     pairs.add((prev, "EOF", False))
-    return pairs, None
+    return pairs, left, None
 
 
+_BRACKETS = frozenset("()[]{}")
+_OPENS = {")": "(", "]": "[", "}": "{"}
 _GO_ITEMS = frozenset("func type var const import package ) ] } ;".split())
 _RUST_ITEMS = frozenset("pub fn struct enum impl use mod const static type trait extern unsafe async macro_rules union crate self super".split())
 _JAVA_ITEMS = frozenset("package import class interface enum record public protected private abstract final static strictfp sealed non module open synchronized".split())
@@ -280,14 +338,14 @@ def permitted(grammar: str, a: str, b: str, newline: bool) -> bool:
     # A statement can't begin with an operator that needs a left side.
     if a in (";", "{b", "}b", ")k") and b in ("<", ">", "%", "==", "!=", "===", "=", "<=", ">=", "&&", "||", "?", ":", ".", ",", "=>", "->", "^", "|", ">>", "<<"):
         if a == "}b":  # a function, class or block that is an operand
-            return b not in ("<", "%", "<<", ">>", "->", "^") or (b == "<<" and False)
+            return b not in ("<", "%", "<<", ">>", "->", "^")
         if grammar == "rust" and b in ("||", "|", "<"):
             return True
         if grammar in ("ts", "java") and b in ("<", "|") or grammar == "java" and b == ":":
             return b != "<" or a != ";" or grammar == "ts"
         if a == ")k":
             return b in (",", ".", "->") and grammar == "java" or b in (".",) and grammar == "java"
-        return (a, b) == (";", ",") and False
+        return False
     if a in _ASSIGN or a in _BINARY or a in ("||", "=>", "instanceof"):
         if b in _CLOSERS or b == ";" or (b in _BINARY and b not in ("in",)) or b in (".", "?.", ":", "?", "=", "==", ">"):
             if grammar == "rust" and (a == "||" or b == "?" or (a == "=" and b in ("..",)) or a == "=>" and b in ("..",)):
@@ -296,7 +354,7 @@ def permitted(grammar: str, a: str, b: str, newline: bool) -> bool:
                 return True
             if grammar == "ts" and a == "=>" and b == ")g":
                 return False
-            return (b == "=" and a in ("<<",)) or (grammar == "c" and a == "%" and False)
+            return b == "=" and a == "<<"
         return True
     if a in ("+", "-", "!", "~") and (b in _CLOSERS or b == ";" or b in ("=", "/", "%", "==", "*", ".", "?", ":", "&&", "||", "<", ">", "<=", ">=")):
         if a == "!" and grammar == "ts" or a == "!" and grammar == "rust" or a in ("+", "-") and grammar == "ts" and b in ("?",):
@@ -366,7 +424,7 @@ def permitted(grammar: str, a: str, b: str, newline: bool) -> bool:
     if a in ("new",):
         return b in ("id", "ctx", "(g", "(c", "function", "class", "this", ".", "[") or b in word or grammar in ("c", "go", "rust")
     if a in ("break", "continue") and not newline:
-        return b in (";", "id", "ctx", "}b", "life") or grammar == "rust" or b in _PLAIN and grammar == "rust" or b == "case" and False
+        return b in (";", "id", "ctx", "}b", "life") or grammar == "rust" or b in _PLAIN and grammar == "rust"
     # Two operands without an operator between.
     ends = a in _PLAIN or a in (")c", "]", "this", "null", "true", "false", "}o", "nil")
     starts = b in _PLAIN or b in ("this", "null", "true", "false", "function", "new", "{o")
@@ -387,13 +445,13 @@ def permitted(grammar: str, a: str, b: str, newline: bool) -> bool:
                 return True
             if a in ("id", "}o", ")c", ")f") and b == "if" or b == "{o":
                 return b == "{o"
-            return b in ("case",) and False
+            return False
         if grammar == "c":
             if a == "str" and b in ("str", "id") or a == "id" and b in ("str",):
                 return True
             if a == "id" and (b in ("const", "static", "int", "char", "void", "struct", "long", "double", "unsigned", "enum", "return", "if", "for", "while", "switch", "do", "break", "continue")):
                 return True  # macros
-            return a == "]" and b == "id" and False
+            return False
         if grammar == "java":
             if a == "id" and b in ("class", "static", "final", "public", "private", "void", "int", "boolean", "long", "double", "char", "new", "enum", "this"):
                 return True  # after an annotation
@@ -449,25 +507,27 @@ def assemble(pieces: list[dict]) -> str:
     return "\n".join(lines)
 
 
-_STAGE = "file_id string, repo_id bigint, language string, grammar string, reason string, first string, second string, line_break boolean"
+_STAGE = "file_id string, repo_id bigint, language string, grammar string, reason string, first string, second string, line_break boolean, at bigint, bracket string"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _STAGE.split(", ")]
-    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string())
     for whole in batches:
         for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
             out: list[list] = [[] for _ in names]
             for file_id, repo, language, grammar, pieces in zip(*(c.to_pylist() for c in batch.columns)):
                 text = assemble(pieces)
                 rows: list[tuple] = []
+                nothing = (None,) * 6
                 if grammar in ("python", "json", "toml"):
-                    rows.append((exact_error(grammar, text), None, None, None))
+                    rows.append((exact_error(grammar, text), *nothing[1:]))
                 else:
-                    pairs, reason = lex_errors(grammar, text)
-                    rows.append((reason, None, None, None))
+                    pairs, left, reason = lex(grammar, text)
+                    rows.append((reason, *nothing[1:]))
                     if reason is None:  # one breach is enough
-                        rows += [(None, *p) for p in pairs if not _common(grammar, *p)]
+                        rows += [(None, *p, None, None) for p in pairs if not _common(grammar, *p)]
+                        rows += [(*nothing[:4], at, bracket) for at, bracket in left]
                 for r in rows:
                     for column, value in zip(out, (file_id, repo, language, grammar, *r)):
                         column.append(value)
@@ -494,20 +554,37 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
         F.max_by(F.struct(F.col("repo_id").cast("bigint").alias("repo_id"), "language", kinds[ext].alias("grammar")), F.struct("scanned_at", "extension")).alias("f")
     )
     claimed = claimed.where("f.grammar IS NOT NULL").select("file_id", "f.*")
-    # A fixed number of partitions: few bytes of text make much work, so they are not to be coalesced by their size.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    narrow = chunks.where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "start_line", "chunk_index", "content").repartition(parts, "file_id")
+    # Few bytes of text make much work: partitions by the bytes stored, not to be coalesced.
+    narrow = chunks.where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "start_line", "chunk_index", "content").repartition(parts_for(chunks), "file_id")
     pieces = narrow.groupBy("file_id").agg(F.collect_list(F.struct("start_line", "chunk_index", "content")).alias("pieces"))
     whole = pieces.join(claimed, "file_id").select("file_id", "repo_id", "language", "grammar", "pieces")
-    judged = whole.mapInArrow(_judge, _STAGE)
+    judged = checkpointed(whole.mapInArrow(_judge, _STAGE))
     # The anti-join: pairs of a file that no rule of its grammar permits. The table's size is set by the grammars.
     known = F.broadcast(permitted_pairs(spark).withColumn("permitted", F.lit(True)))
-    marked = judged.join(known, ["grammar", "first", "second", "line_break"], "left")
+    marked = judged.where("bracket IS NULL").join(known, ["grammar", "first", "second", "line_break"], "left")
     bad_pair = F.when(F.col("first").isNotNull() & F.col("permitted").isNull(), F.concat(F.col("first"), F.lit(" before "), F.col("second")))
     per_file = marked.groupBy("file_id").agg(
         F.any_value("repo_id").alias("repo_id"), F.any_value("language").alias("language"), F.any_value("grammar").alias("grammar"), F.coalesce(F.min("reason"), F.min(bad_pair)).alias("reason")
     )
-    return per_file.select("file_id", "repo_id", "language", "grammar", F.col("reason").isNull().alias("valid"), "reason")
+    per_file = per_file.join(nesting_errors(judged.where("bracket IS NOT NULL").select("file_id", "at", "bracket")), "file_id", "left")
+    reason = F.coalesce("reason", "nesting")
+    return per_file.select("file_id", "repo_id", "language", "grammar", reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+def nesting_errors(brackets: DataFrame) -> DataFrame:
+    """``file_id, nesting`` of the files whose brackets (file_id, at, bracket) don't close each other.
+
+    Two windows over one shuffle: the running depth, then on each level of a file what opened last.
+    """
+    opens = F.col("bracket").isin("(", "[", "{")
+    rows = brackets.withColumn("step", F.when(opens, 1).otherwise(-1))
+    rows = rows.withColumn("depth", F.sum("step").over(Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("level", F.when(opens, F.col("depth")).otherwise(F.col("depth") + 1))
+    before = F.lag("bracket").over(Window.partitionBy("file_id", "level").orderBy("at"))
+    fits = F.when(opens, True).otherwise(F.coalesce(F.translate("bracket", ")]}", "([{") == before, F.lit(False)))
+    per_file = rows.withColumn("fits", fits).groupBy("file_id").agg(F.sum("step").alias("open"), F.min("depth").alias("least"), F.min("fits").alias("fits"))
+    said = F.when(F.col("least") < 0, "a bracket closes nothing").when(~F.col("fits"), "a bracket closes one of another kind").when(F.col("open") > 0, "a bracket is not closed")
+    return per_file.select("file_id", said.alias("nesting")).where("nesting IS NOT NULL")
 
 
 def invalid_rates(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -515,3 +592,15 @@ def invalid_rates(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return judged_files(files, chunks).groupBy("repo_id", "grammar").agg(
         F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"), F.round(F.count_if(~F.col("valid")) / F.count("*"), 6).alias("rate")
     )
+
+
+def lex_errors(grammar: str, text: str) -> tuple[set[tuple[str, str, bool]], str | None]:
+    """Pairs and the first breach of a single text, its brackets checked with a stack: for small texts and for tests of the windows."""
+    pairs, left, reason = lex(grammar, text)
+    stack: list[str] = []
+    for _, c in left:
+        if c in "([{":
+            stack.append(c)
+        elif not stack or stack.pop() != _OPENS[c]:
+            return pairs, reason or "a bracket closes nothing or another kind"
+    return pairs, reason or ("a bracket is not closed" if stack else None)

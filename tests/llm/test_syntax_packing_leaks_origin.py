@@ -6,7 +6,7 @@ import pytest
 from quillmill.llm.leaks import leaked_items, words_of
 from quillmill.llm.origin import Example, fit, header_grams, header_of, made_scores, masked, seed_label
 from quillmill.llm.packing import container_fill, encoder, pack_documents, pack_histogram
-from quillmill.llm.syntax import assemble, exact_error, judged_files, lex_errors, permitted
+from quillmill.llm.syntax import assemble, deep_json_error, exact_error, judged_files, lex_errors, nesting_errors, permitted
 
 GOOD = {
     "js": ['"use strict";\nclass A {\n  constructor(x) {\n    this.x = x;\n  }\n  get(k) {\n    return this.m.get(k) ?? `a-${k}-1`;\n  }\n}\n', "const f = async (a) => {\n  const r = await a.b({ limit: 1, name: \"x\" });\n  return r.rows.filter((y) => y.c !== null);\n};\n", 'const re = /[{("\']+/;\nconst s = "{[("; // not closed: ({[\n', "for (let i = 0; i < n; i++) { x += y / 2; }\n", "export default function () {}\n", "var A = (function () { function A(_a) { var b = _a.c, d = b === void 0 ? 1 : b; } return A; }());\n"],
@@ -63,6 +63,33 @@ def test_judged_table(spark):
     assert judged_files(spark.createDataFrame([], FILES), spark.createDataFrame([], CHUNKS)).count() == 0
 
 
+def test_nesting_windows(spark):
+    """The windows over the brackets agree with a stack."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("()[]{}\n") for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["([{}])", "([)]", "(", ")", "{\n(\n)\n}"]
+    rows, want = [], set()
+    for i, text in enumerate(texts):
+        stack: list[str] = []
+        for at, c in enumerate(text):
+            if c != "\n":
+                rows.append((str(i), at, c))
+            if c in "([{":
+                stack.append(c)
+            elif c != "\n" and (not stack or stack.pop() != {")": "(", "]": "[", "}": "{"}[c]):
+                want.add(str(i))
+                break
+        else:
+            if stack:
+                want.add(str(i))
+    got = {r["file_id"] for r in nesting_errors(spark.createDataFrame(rows, "file_id string, at bigint, bracket string")).collect()}
+    assert got == want and 5 < len(want) < len(texts)
+
+
+def test_deep_texts():
+    assert exact_error("json", "[" * 200_000) and exact_error("json", "[" * 200_000 + "]" * 200_000) is None and exact_error("json", "[" * 200_000 + "1," + "]" * 200_000)
+    assert deep_json_error('{"a": [1, {"b": null}], "c": "d"}') is None and deep_json_error('{"a" 1}') and deep_json_error("[1,]") and deep_json_error("1 2") and deep_json_error("{,}")
+
+
 def test_packing_patterns():
     rng = random.Random(1)
     for sizes in ([rng.randint(1, 2048) for _ in range(3000)], [3] * 5000, [2048] * 7, [1500] * 10, [], [rng.choice((700, 701, 30)) for _ in range(999)]):
