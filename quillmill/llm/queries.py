@@ -68,6 +68,13 @@ def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
     return redact_credentials(table(spark, root, "chunks"))
 
 
+def p3_shapes(spark: SparkSession, root: str) -> DataFrame:
+    """Every chunk after redaction, by its shape: letters and digits drawn together, everything else as it is."""
+    c = redact_credentials(table(spark, root, "chunks"), only_found=False)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", "[a-z]", "x"), "[A-Z]", "X"), "[0-9]", "0")
+    return c.select("chunk_id", F.sha2(shape, 256).alias("shape"), F.length("content").cast("bigint").alias("characters"))
+
+
 def p4_lines(spark: SparkSession, root: str) -> DataFrame:
     """Every garbled line with its mapping and, where it can be restored, the original."""
     return garbled_lines(table(spark, root, "chunks"))
@@ -118,6 +125,16 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return container_fill(p7_packed(spark, root))
 
 
+def p7_checked(spark: SparkSession, root: str) -> DataFrame:
+    """For every text whether its pieces cover its tokens without a gap, and whether its containers hold no more than they may."""
+    packed = p7_packed(spark, root)
+    full = packed.where("container_id IS NOT NULL").groupBy("container_id").agg((F.sum(F.col("token_end") - F.col("token_start")) <= F.max("container_tokens")).alias("fits"))
+    per_doc = packed.join(full, "container_id", "left").groupBy("doc_id").agg(
+        (F.min("token_start") == 0).alias("begins"), (F.sum(F.col("token_end") - F.col("token_start")) == F.max("token_end")).alias("covers"), F.min(F.coalesce("fits", F.lit(True))).alias("fits"), (F.max("container_tokens") <= 2048).alias("within")
+    )
+    return per_doc.select("doc_id", (F.col("begins") & F.col("covers")).alias("covered"), (F.col("fits") & F.coalesce("within", F.lit(True))).alias("fits"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the evaluation items they hold a passage of."""
     return leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
@@ -141,6 +158,27 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return p9_scores(spark, root).where("flagged").select("doc_id")
 
 
+def p9_checked(spark: SparkSession, root: str) -> DataFrame:
+    """For every document whether its score is one and its spans lie within its text, in order and apart."""
+    ends = table(spark, root, "documents").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("n"))
+    s = p9_scores(spark, root).join(ends, "doc_id")
+    inside = F.forall("spans", lambda x: (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.col("n")))
+    apart = F.forall(F.transform("spans", lambda x, i: F.coalesce(F.get("spans", i - 1)["end"] <= x["start"], F.lit(True))), lambda x: x)
+    return s.select("doc_id", F.col("score").between(0, 1).alias("scored"), (inside & apart).alias("spans_hold"))
+
+
+def p1_checked(spark: SparkSession, root: str) -> DataFrame:
+    """For every file whether it is judged once and by what its scores say."""
+    s = p1_scores(spark, root)
+    return s.groupBy("file_id").agg((F.count("*") == 1).alias("once"))
+
+
+def p6_checked(spark: SparkSession, root: str) -> DataFrame:
+    """The verdicts on JSON files of one chunk."""
+    one = table(spark, root, "chunks").where("file_id IS NOT NULL").groupBy("file_id").agg(F.countDistinct("chunk_index").alias("n")).where("n = 1").select("file_id")
+    return p6_judged(spark, root).where("grammar = 'json'").join(one, "file_id", "left_semi").select("file_id", "valid")
+
+
 def p9_rates(spark: SparkSession, root: str) -> DataFrame:
     """Share of flagged documents per source."""
     return source_rates(p9_scores(spark, root))
@@ -171,6 +209,11 @@ QUERIES: dict[str, Query] = {
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
+    "p1_checked": p1_checked,
+    "p3_shapes": p3_shapes,
+    "p6_checked": p6_checked,
+    "p7_checked": p7_checked,
+    "p9_checked": p9_checked,
 }
 
 def _windows_sql(table_name: str, key: str) -> str:
@@ -180,7 +223,26 @@ def _windows_sql(table_name: str, key: str) -> str:
 
 _LEAKS_SQL = f"SELECT DISTINCT doc_id, item_id FROM {_windows_sql('documents', 'doc_id')} d JOIN {_windows_sql('eval_items', 'item_id')} e USING (w)"
 
+_FOLD = r"regexp_replace(replace(replace(lower({c}), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]', '', 'g')"
+_FIELD_SQL = r"""^[ \t]*(?:"[\p{L}\p{N}][^"]*"|'[\p{L}\p{N}][^']*'|[\p{L}\p{N}][\p{L}\p{N}_ .\-/]*?)[ \t]*[:=].*$"""
+_LINES = "list_filter(list_transform(string_split(replace(content, chr(13), ''), chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '')"
+_VALUE = r"regexp_replace(trim(regexp_replace(x, '^[^:=]*[:=]', ''), ' ' || chr(9)), '[ \t]*,?[ \t]*$', '')"
+#: Letters and digits, and for flat texts the sorted fields; classes fall to the least id by letters, by fields, by letters.
+_RECORDS_SQL = f"""WITH c AS (SELECT DISTINCT id, content FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL), l AS (SELECT id, {_FOLD.replace('{c}', 'content')} AS seq, trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS body, content, {_LINES} AS lines FROM c),
+j AS (SELECT id, seq, lines, CASE WHEN starts_with(body, '{{' ) AND json_valid(body) THEN body END AS js, body FROM l),
+k AS (SELECT id, seq, CASE WHEN js IS NOT NULL THEN CASE WHEN len(json_keys(js)) > 1 AND NOT list_bool_or(list_transform(json_keys(js), lambda x: coalesce(json_type(js, '$."' || x || '"'), '') IN ('OBJECT', 'ARRAY'))) THEN array_to_string(list_sort(list_transform(json_keys(js), lambda x: {_FOLD.replace('{c}', 'x')} || ':' || {_FOLD.replace('{c}', "coalesce(json_extract_string(js, '$.' || chr(34) || x || chr(34)), 'null')")})), '|') END
+ WHEN NOT starts_with(body, '{{') AND len(lines) > 1 AND list_bool_and(list_transform(lines, lambda x: regexp_full_match(x, '{_FIELD_SQL.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches({_VALUE}, '^[\[{{(]|[{{(;\[]$')))
+ THEN array_to_string(list_sort(list_transform(lines, lambda x: {_FOLD.replace('{c}', "regexp_extract(x, '^[^:=]*')")} || ':' || {_FOLD.replace('{c}', _VALUE)})), '|') END AS fields FROM j),
+a AS (SELECT id, seq, fields, min(id) OVER (PARTITION BY seq) AS x FROM k), b AS (SELECT *, CASE WHEN fields IS NULL THEN x ELSE min(x) OVER (PARTITION BY fields) END AS y FROM a), r AS (SELECT id, min(y) OVER (PARTITION BY seq) AS record FROM b)"""
+
 ORACLES: dict[str, str] = {
+    "p5_found": f"{_RECORDS_SQL} SELECT record AS keep_id, id AS copy_id FROM r WHERE id <> record",
+    "p5_records": f"{_RECORDS_SQL} SELECT record AS record_id, id, count(*) OVER (PARTITION BY record) AS copies FROM r",
+    "p3_shapes": "SELECT DISTINCT id AS chunk_id, sha256(regexp_replace(regexp_replace(regexp_replace(content, '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', '0', 'g')) AS shape, length(content) AS characters FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL",
+    "p7_checked": "SELECT DISTINCT doc_id, true AS covered, true AS fits FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
+    "p9_checked": "SELECT DISTINCT doc_id, true AS scored, true AS spans_hold FROM documents WHERE doc_id IS NOT NULL",
+    "p1_checked": "SELECT DISTINCT file_id, true AS once FROM files WHERE file_id IS NOT NULL AND path IS NOT NULL",
+    "p6_checked": "SELECT file_id, json_valid(any_value(content)) AS valid FROM chunks JOIN (SELECT file_id FROM files GROUP BY file_id HAVING lower(replace(max_by(extension, scanned_at), '.', '')) = 'json') USING (file_id) WHERE content IS NOT NULL GROUP BY file_id HAVING count(DISTINCT chunk_index) = 1",
     "p8_found": _LEAKS_SQL,
     "p8_items": f"WITH h AS ({_LEAKS_SQL}), s AS (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) SELECT i.item_id, suite, count(h.doc_id) AS documents, count(DISTINCT source) AS sources FROM (SELECT DISTINCT ON (item_id) item_id, suite FROM eval_items) i LEFT JOIN h USING (item_id) LEFT JOIN s USING (doc_id) GROUP BY i.item_id, suite",
     "p2_rejoined": "SELECT DISTINCT id AS chunk_id, sha256(content) AS sha, coalesce(start_line, 1) AS start_line, coalesce(start_line, 1) + length(content) - length(replace(content, chr(10), '')) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END AS end_line, true AS fits FROM chunks WHERE strlen(content) // 4 > 800",

@@ -402,15 +402,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))], ["chunk_id", "line_no", "rule", "start_byte", "end_byte", "checksum"])
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, counts, texts = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if found := find_credentials(text):
-                keys.append(key)
-                counts.append(len(found))
-                texts.append(redact_text(text, found))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], ["chunk_id", "credentials", "content"])
+def _redactor(only_found: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, counts, texts = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = find_credentials(text)
+                if found or not only_found:
+                    keys.append(key)
+                    counts.append(len(found))
+                    texts.append(redact_text(text, found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], ["chunk_id", "credentials", "content"])
+
+    return run
 
 
 def _rows(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -428,6 +432,7 @@ def credential_spans(chunks: DataFrame, id_col: str = "id", text_col: str = "con
     return _rows(chunks, id_col, text_col).mapInArrow(_scan, _SPANS).distinct()
 
 
-def redact_credentials(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``chunk_id, credentials, content`` of every chunk that holds a credential, with placeholders in their place."""
-    return _rows(chunks, id_col, text_col).mapInArrow(_redact, "chunk_id string, credentials bigint, content string").dropDuplicates(["chunk_id", "content"])
+def redact_credentials(chunks: DataFrame, id_col: str = "id", text_col: str = "content", only_found: bool = True) -> DataFrame:
+    """``chunk_id, credentials, content`` with placeholders in the credentials' place: of the chunks that hold some, or of all."""
+    rows = _rows(chunks, id_col, text_col).mapInArrow(_redactor(only_found), "chunk_id string, credentials bigint, content string")
+    return rows.dropDuplicates(["chunk_id", "content"])
