@@ -473,14 +473,6 @@ def source_context_tokens(spark: SparkSession, root: str) -> DataFrame:
 _CUT = "(SELECT quantile_disc(epoch_us(scanned_at), 0.5) FROM files)"
 
 
-def _sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The files as scanned up to the median time of all scans, and as of the last scan without the first tenth of them."""
-    f = table(spark, root, "files").where("path IS NOT NULL")
-    cut = f.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(scanned_at))").alias("c")).first()["c"]
-    last = lambda d: d.groupBy("path").agg(F.max_by("content_hash", F.struct("scanned_at", "ingested_at")).alias("content_hash"))
-    return last(f.where(F.col("repo_id") % 11 != 3)), last(f.where(F.unix_micros("scanned_at") <= F.lit(int(cut or 0))))
-
-
 def _snapshots(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """All files as of the last scan, and as of the median time of all scans."""
     f = table(spark, root, "files").where("path IS NOT NULL")
@@ -489,21 +481,22 @@ def _snapshots(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return last(f), last(f.where(F.unix_micros("scanned_at") <= F.lit(int(cut or 0))))
 
 
-_SIDES = f"""a AS (SELECT path, max_by(content_hash, struct_pack(s := scanned_at, i := ingested_at)) AS h FROM files WHERE repo_id % 11 <> 3 GROUP BY path),
+_SIDES = f"""a AS (SELECT path, max_by(content_hash, struct_pack(s := scanned_at, i := ingested_at)) AS h FROM files GROUP BY path),
 b AS (SELECT path, max_by(content_hash, struct_pack(s := scanned_at, i := ingested_at)) AS h FROM files WHERE epoch_us(scanned_at) <= {_CUT} GROUP BY path)"""
 
 
 @query(f"WITH {_SIDES} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'removed' WHEN b.path IS NULL THEN 'added' WHEN a.h IS DISTINCT FROM b.h THEN 'updated' ELSE 'reused' END AS action FROM a FULL JOIN b ON a.path = b.path")
 def index_refresh_plan(spark: SparkSession, root: str) -> DataFrame:
-    """What a refresh of an older snapshot has to do: a corpus without one repository in eleven against its first half."""
-    now, was = _sides(spark, root)
+    """What a refresh of an older snapshot has to do: all files as of their last scan against those of the first half of all scans."""
+    now, was = _snapshots(spark, root)
     return store.refresh_plan(now, was).withColumnRenamed("key", "path")
 
 
-@query(f"WITH {_SIDES} SELECT path FROM b WHERE path NOT IN (SELECT path FROM a)")
+@query(f"WITH {_SIDES} SELECT path FROM a WHERE path NOT IN (SELECT path FROM b)")
 def removed_paths(spark: SparkSession, root: str) -> DataFrame:
-    now, was = _sides(spark, root)
-    return was.join(now, "path", "left_anti").select("path")
+    """What going back to the older snapshot removes."""
+    now, was = _snapshots(spark, root)
+    return store.refresh_plan(was, now).where("action = 'removed'").select(F.col("key").alias("path"))
 
 
 @query("""WITH s AS (SELECT DISTINCT c.file_path AS path, CASE WHEN c.chunk_index % 2 = 0 THEN 'old' ELSE 'new' END AS side, s.kind, s.name, c.start_line AS a, c.end_line AS b FROM symbols s JOIN (SELECT DISTINCT id, file_path, chunk_index, start_line, end_line FROM chunks) c ON c.id = s.chunk_id),
@@ -720,3 +713,31 @@ def definition_lines(spark: SparkSession, root: str) -> DataFrame:
     marks = F.filter(F.split("content", "\n"), lambda x: reduce(or_, [begins(x).startswith(d) for d in split.DEFINITIONS["python"]]))
     c = table(spark, root, "chunks").where("id IS NOT NULL AND language = 'python'").select("id", F.size(marks).cast("bigint").alias("definitions"))
     return c.dropDuplicates(["id"])
+
+
+@query(f"SELECT id FROM ({ORACLES['seed_scores']})")
+def plan_seeds(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks that a plan takes for themselves: every one that the task speaks of."""
+    return retrieval_plan(spark, root).where("depth = 0").select("id")
+
+
+@query("SELECT DISTINCT coalesce(source, '?') || '/' || doc_id || '.txt' AS path, true AS holds FROM documents WHERE text <> ''")
+def split_holds(spark: SparkSession, root: str) -> DataFrame:
+    """For every document whether each of its pieces is what its lines say."""
+    d = table(spark, root, "documents").select(F.concat(F.coalesce("source", F.lit("?")), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.when(F.col("doc_kind").isin("readme", "guide", "changelog"), "markdown").otherwise("text").alias("language"), "text")
+    raw = F.encode("text", "UTF-8")
+    pieces = split.split_files(d, text_col="text").select("path", "byte_start", "byte_end", F.encode("content", "UTF-8").alias("piece"))
+    held = pieces.join(d.select("path", raw.alias("raw")), "path").select("path", (F.substring(F.col("raw"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")) == F.col("piece")).alias("holds"))
+    return held.groupBy("path").agg(F.min("holds").alias("holds"))
+
+
+@query("SELECT true AS within, true AS has_source, true AS chosen_once")
+def two_pool_holds(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the chunks chosen fit the limit, hold source, and are each chosen once."""
+    c = _one_chunk(spark, root, "token_estimate", "language")
+    kept = two_pool_budget(spark, root).join(c, "id")
+    tokens = F.greatest(F.coalesce("token_estimate", F.lit(0)), F.lit(0))
+    return kept.agg((F.sum(tokens) <= 20_000).alias("within"), (F.count_if(F.col("language").isin(*X.PROGRAMMING)) > 0).alias("has_source"), (F.count("*") == F.countDistinct("id")).alias("chosen_once"))
+
+
+ORACLES["related_to_changes"] = ORACLES["related_to_rescans"].replace(_RESCANNED, f"SELECT path AS node FROM ({ORACLES['index_refresh_plan']}) WHERE action IN ('added', 'updated')")
