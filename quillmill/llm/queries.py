@@ -16,7 +16,7 @@ from .origin import made_scores
 from .packing import container_fill, pack_documents
 from .pieces import rejoined, split_oversized
 from .secrets import credential_spans, redact_credentials
-from .syntax import invalid_rates, judged_files
+from .syntax import GRAMMARS, invalid_rates, judged_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -179,6 +179,19 @@ def p6_checked(spark: SparkSession, root: str) -> DataFrame:
     return p6_judged(spark, root).where("grammar = 'json'").join(one, "file_id", "left_semi").select("file_id", "valid")
 
 
+def p4_checked(spark: SparkSession, root: str) -> DataFrame:
+    """For every chunk whether restoring keeps its lines; chunks without garbled text are as they were."""
+    chunks = table(spark, root, "chunks").where("id IS NOT NULL")
+    lines = chunks.select(F.col("id").alias("chunk_id"), F.size(F.split("content", "\n")).alias("n")).distinct()
+    restored = p4_restored(spark, root).select("chunk_id", F.size(F.split("content", "\n")).alias("m"))
+    return lines.join(restored, "chunk_id", "left").select("chunk_id", F.coalesce(F.col("m") == F.col("n"), F.lit(True)).alias("same_lines"))
+
+
+def p6_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files judged per repository and language."""
+    return p6_rates(spark, root).select("repo_id", "grammar", "files")
+
+
 def p9_rates(spark: SparkSession, root: str) -> DataFrame:
     """Share of flagged documents per source."""
     return source_rates(p9_scores(spark, root))
@@ -211,7 +224,9 @@ QUERIES: dict[str, Query] = {
     "p9_rates": p9_rates,
     "p1_checked": p1_checked,
     "p3_shapes": p3_shapes,
+    "p4_checked": p4_checked,
     "p6_checked": p6_checked,
+    "p6_files": p6_files,
     "p7_checked": p7_checked,
     "p9_checked": p9_checked,
 }
@@ -239,6 +254,8 @@ ORACLES: dict[str, str] = {
     "p5_found": f"{_RECORDS_SQL} SELECT record AS keep_id, id AS copy_id FROM r WHERE id <> record",
     "p5_records": f"{_RECORDS_SQL} SELECT record AS record_id, id, count(*) OVER (PARTITION BY record) AS copies FROM r",
     "p3_shapes": "SELECT DISTINCT id AS chunk_id, sha256(regexp_replace(regexp_replace(regexp_replace(content, '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', '0', 'g')) AS shape, length(content) AS characters FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL",
+    "p4_checked": "SELECT DISTINCT id AS chunk_id, true AS same_lines FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL",
+    "p6_files": "WITH g(ext, grammar) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in GRAMMARS.items()) + "), f AS (SELECT file_id, max_by(struct_pack(r := repo_id, e := lower(replace(extension, '.', ''))), scanned_at) AS f FROM files WHERE file_id IS NOT NULL AND extension IS NOT NULL GROUP BY file_id) SELECT f.r AS repo_id, grammar, count(*) AS files FROM f JOIN g ON f.e = g.ext WHERE file_id IN (SELECT file_id FROM chunks WHERE content IS NOT NULL) GROUP BY 1, 2",
     "p7_checked": "SELECT DISTINCT doc_id, true AS covered, true AS fits FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
     "p9_checked": "SELECT DISTINCT doc_id, true AS scored, true AS spans_hold FROM documents WHERE doc_id IS NOT NULL",
     "p1_checked": "SELECT DISTINCT file_id, true AS once FROM files WHERE file_id IS NOT NULL AND path IS NOT NULL",
