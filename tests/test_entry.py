@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillmill.session import checkpointed, spread, table
+from quillmill.session import checkpointed, input_bytes, parts_for, spread, table
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
@@ -29,9 +29,13 @@ def test_every_document_has_one_place_in_the_line_table(spark):
     assert ends.join(sizes, "id").where("end <> size").count() == 0
 
 
-def test_spread_and_checkpoint(spark):
-    small = spark.range(10).coalesce(1)
+def test_spread_and_checkpoint(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(small).count() == 10
-    wide = spark.range(10).repartition(64)
-    assert spread(wide) is wide
+    spark.range(10).repartition(64).write.parquet(str(tmp_path / "w"))
+    wide = spark.read.parquet(str(tmp_path / "w"))
+    assert spread(wide) is wide and input_bytes(small) > 0 and parts_for(small) == 4
+    made = spark.range(3)
+    assert spread(made) is made
     assert checkpointed(small).count() == 10
