@@ -243,7 +243,7 @@ _FIELD_SQL = r"""^[ \t]*(?:"[\p{L}\p{N}][^"]*"|'[\p{L}\p{N}][^']*'|[\p{L}\p{N}][
 _LINES = "list_filter(list_transform(string_split(replace(content, chr(13), ''), chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '')"
 _VALUE = r"regexp_replace(trim(regexp_replace(x, '^[^:=]*[:=]', ''), ' ' || chr(9)), '[ \t]*,?[ \t]*$', '')"
 #: Letters and digits, and for flat texts the sorted fields; classes fall to the least id by letters, by fields, by letters.
-_RECORDS_SQL = f"""WITH c AS (SELECT DISTINCT id, content FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL), l AS (SELECT id, {_FOLD.replace('{c}', 'content')} AS seq, trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS body, content, {_LINES} AS lines FROM c),
+_RECORDS_SQL = rf"""WITH c AS (SELECT DISTINCT id, content FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL), l AS (SELECT id, {_FOLD.replace('{c}', 'content')} AS seq, trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS body, content, {_LINES} AS lines FROM c),
 j AS (SELECT id, seq, lines, CASE WHEN starts_with(body, '{{' ) AND json_valid(body) THEN body END AS js, body FROM l),
 k AS (SELECT id, seq, CASE WHEN js IS NOT NULL THEN CASE WHEN len(json_keys(js)) > 1 AND NOT list_bool_or(list_transform(json_keys(js), lambda x: coalesce(json_type(js, '$."' || x || '"'), '') IN ('OBJECT', 'ARRAY'))) THEN array_to_string(list_sort(list_transform(json_keys(js), lambda x: {_FOLD.replace('{c}', 'x')} || ':' || {_FOLD.replace('{c}', "coalesce(json_extract_string(js, '$.' || chr(34) || x || chr(34)), 'null')")})), '|') END
  WHEN NOT starts_with(body, '{{') AND len(lines) > 1 AND list_bool_and(list_transform(lines, lambda x: regexp_full_match(x, '{_FIELD_SQL.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches({_VALUE}, '^[\[{{(]|[{{(;\[]$')))
