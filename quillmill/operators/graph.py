@@ -87,6 +87,10 @@ def distances(starts: DataFrame, edges: DataFrame, most_hops: int = 16, most_nod
         if frontier.isEmpty():
             break
         reached = checkpointed(reached.union(frontier))
+        if most_nodes is not None:
+            # A start that has more than it may keep goes no further: what lies beyond is farther away.
+            open_starts = reached.where("distance > 0").groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") <= most_nodes)
+            frontier = frontier.join(open_starts.select("start"), "start", "left_semi")
     if most_nodes is None:
         return reached
     order = Window.partitionBy("start").orderBy("distance", "node")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import account, budget, classify, graph, impact, redact, retrieve, scope, split, store
-from ..session import table
+from ..session import spread, table
 from ..sources import remotes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +51,8 @@ def _one_chunk(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 
 def _per_chunk(spark: SparkSession, root: str, **values) -> DataFrame:
     """What is computed from each chunk, once for each id: texts are read where they lie, only the results are shuffled."""
-    return table(spark, root, "chunks").where("id IS NOT NULL").select("id", *[v.alias(k) for k, v in values.items()]).dropDuplicates(["id"])
+    chunks = spread(table(spark, root, "chunks").where("id IS NOT NULL"))
+    return chunks.select("id", *[v.alias(k) for k, v in values.items()]).dropDuplicates(["id"])
 
 
 ONE_FILE = "(SELECT path, max_by(struct_pack(repo_id := repo_id, language := language, extension := extension, size_bytes := size_bytes, priority := priority, tags := tags, is_readme := is_readme, is_config := is_config, is_doc := is_doc, file_id := file_id, content_hash := content_hash, token_estimate := token_estimate), struct_pack(s := scanned_at, i := ingested_at)) AS f FROM files GROUP BY path)"
@@ -250,8 +251,8 @@ def _rules_sql(c: str) -> str:
 @query(f"SELECT id, sha256({_rules_sql('content')}) AS sha, ({_rules_sql('content')}) <> content AS changed FROM {ONE_CHUNK}")
 def redact_rules_text(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk after all rules, as a fingerprint."""
-    c = table(spark, root, "chunks").where("id IS NOT NULL").select("id", "content", redact.redact_text_column("content").alias("r"))
-    return c.select("id", F.sha2("r", 256).alias("sha"), (F.col("r") != F.col("content")).alias("changed")).dropDuplicates(["id"])
+    c = _per_chunk(spark, root, sha=F.sha2(redact.redact_text_column("content"), 256), own=F.sha2("content", 256))
+    return c.select("id", "sha", (F.col("sha") != F.col("own")).alias("changed"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(sum(len(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}'))) AS BIGINT) AS hits FROM {ONE_CHUNK}" for n, p, _ in redact.RULES))
